@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, tokens
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_token_counts": tokens.op5_token_counts,
 }
 
 SQL = {
