@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, tokens
+from . import decontaminate, fingerprint, tokens
 
 QUERIES = {
+    "op1_quartile_digest": fingerprint.op1_quartile_digest,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_token_counts": tokens.op5_token_counts,
 }
