@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, quality, tokens
+from . import decontaminate, fingerprint, quality, tokens, toxicity
 
 QUERIES = {
     "op1_quartile_digest": fingerprint.op1_quartile_digest,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_token_counts": tokens.op5_token_counts,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_quality": quality.op8_quality,
 }
 
