@@ -26,12 +26,12 @@ BITS = 18
 SIZE = 8
 LEAST_GRAM, MOST_GRAM = 3, 5
 SAMPLE_ROWS = 12_000
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 20 << 20
 EPOCHS = 8
 BATCH = 64
-RATE = 0.5
+RATE = 0.3
 #: Adagrad's sum of squares starts here.
-FLOOR = 0.03
+FLOOR = 0.1
 #: A bucket met in fewer words of sampled texts than this has no vector: too
 #: little to learn from, and it would only let the model remember single texts.
 LEAST_MET = 5
@@ -84,21 +84,34 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 6) -> tup
     """
     if not rows:
         return np.zeros(1 << BITS), 0.0
-    joined = [t.encode() for t, _ in rows]
-    data = np.frombuffer(b"".join(joined), np.uint8)
-    off = np.concatenate([[0], np.cumsum([len(x) for x in joined])])
     label = np.array([y for _, y in rows], float)
-    low, start, end, h, first = words(data, off)
-    keys, where, word = np.unique(h, return_index=True, return_inverse=True)
-    bucket, size = grams(low, start[where], end[where], keys)
-    text = np.repeat(np.arange(len(rows)), np.diff(first))
-    pairs = np.unique(text * len(keys) + word)  # distinct words of each text
-    met = np.bincount(bucket, weights=np.repeat(np.bincount(pairs % len(keys), minlength=len(keys)), size), minlength=1 << BITS)
+    # texts are taken a few MB at a time; what stays is each text's distinct
+    # words with their counts, and each word's n-grams
+    known_words, parts = texts.HashIndex(np.zeros(0, np.uint64)), []
+    place_of, buckets, sizes = np.zeros(0, np.int64), [], []
+    for _, data, off in texts.blocks(pa.record_batch({"t": pa.array([t for t, _ in rows], pa.large_string())}), "t"):
+        low, start, end, h, first = words(data, off)
+        new = np.flatnonzero(known_words.find(h) < 0)
+        keys, where = np.unique(h[new], return_index=True)
+        bucket, size = grams(low, start[new][where], end[new][where], keys)
+        order = np.argsort(np.concatenate([known_words.keys, keys]), kind="stable")
+        place_of = np.concatenate([place_of, len(place_of) + np.arange(len(keys))])[order]
+        known_words = texts.HashIndex(np.concatenate([known_words.keys, keys])[order])
+        buckets.append(bucket)
+        sizes.append(size.astype(np.int32))
+        parts.append((place_of[known_words.find(h)].astype(np.int32), np.diff(first)))
+    bucket, whole = np.concatenate(buckets), np.concatenate(sizes)
+    word = np.concatenate([w for w, _ in parts])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in parts]))])
+    del buckets, parts, known_words
+    total = len(whole)
+    pairs = np.unique(np.repeat(np.arange(len(rows)), np.diff(first)) * total + word)  # distinct words of each text
+    met = np.bincount(bucket, weights=np.repeat(np.bincount(pairs % total, minlength=total).astype(np.float32), whole), minlength=1 << BITS)
+    del pairs
     known = met >= LEAST_MET
     keep = known[bucket]
-    whole = size
-    owner = np.repeat(np.arange(len(keys)), size)[keep]
-    bucket, size = bucket[keep], np.bincount(owner, minlength=len(keys))
+    size = np.bincount(np.repeat(np.arange(total, dtype=np.int32), whole)[keep], minlength=total)
+    bucket = bucket[keep]
     begin = np.cumsum(size) - size
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (1 << BITS, SIZE)).astype(np.float32)
