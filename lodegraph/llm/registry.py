@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, quality, tokens, toxicity
+from . import decontaminate, fingerprint, language, packing, quality, tokens, toxicity
 
 QUERIES = {
     "op1_quartile_digest": fingerprint.op1_quartile_digest,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_counts": tokens.op5_token_counts,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_quality": quality.op8_quality,
+    "op9_packing": packing.op9_packing,
     "op10_language": language.op10_language,
 }
 
