@@ -90,22 +90,29 @@ class Model:
     def __init__(self, names: list[str], rows: list[tuple[str, int]]):
         self.names = names
         count = len(names)
-        joined = [t.encode() for t, _ in rows]
-        data = np.frombuffer(b"".join(joined), np.uint8)
-        off = np.concatenate([[0], np.cumsum([len(x) for x in joined])]).astype(np.int64)
-        out, place, length, _ = symbols(data, off)
-        tongue = np.repeat(np.array([k for _, k in rows], np.int64), length)
-        running = _hashes(out)
-        # the types of each order with their counts by language
+        # the types of each order with their counts by language, gathered over
+        # small blocks so that only types, not positions, stay in memory
+        found: list[list[tuple]] = [[] for _ in range(ORDER)]
+        sampled = pa.record_batch({"text": pa.array([t for t, _ in rows], pa.large_string()), "lang": pa.array([k for _, k in rows], pa.int64())})
+        for part, data, off in texts.blocks(sampled, "text", 1 << 20):
+            out, place, length, _ = symbols(data, off)
+            tongue = np.repeat(part.column(1).to_numpy(), length)
+            running = _hashes(out)
+            for n in range(1, ORDER + 1):
+                h = texts.span_hash(running, place - n + 1, place + 1)
+                keys, first, back = np.unique(h, return_index=True, return_inverse=True)
+                end = place[first]
+                context = texts.span_hash(running, end - n + 1, end) if n > 1 else np.zeros(len(keys), np.uint64)
+                suffix = texts.span_hash(running, end - n + 2, end + 1) if n > 1 else np.zeros(len(keys), np.uint64)
+                seen = np.bincount(back * count + tongue, minlength=len(keys) * count).reshape(-1, count)
+                found[n - 1].append((keys, seen.astype(np.float32), context, suffix))
         kinds: list[tuple] = []
-        for n in range(1, ORDER + 1):
-            h = texts.span_hash(running, place - n + 1, place + 1)
-            keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-            seen = np.bincount(back * count + tongue, minlength=len(keys) * count).reshape(-1, count).astype(np.float64)
-            end = place[first]
-            context = texts.span_hash(running, end - n + 1, end) if n > 1 else np.zeros(len(keys), np.uint64)
-            suffix = texts.span_hash(running, end - n + 2, end + 1) if n > 1 else np.zeros(len(keys), np.uint64)
-            kinds.append((keys, seen, context, suffix))
+        for parts in found:
+            keys, first, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+            counts = np.concatenate([p[1] for p in parts])
+            seen = np.stack([np.bincount(back, weights=counts[:, k], minlength=len(keys)) for k in range(count)], axis=1)
+            kinds.append((keys, seen, np.concatenate([p[2] for p in parts])[first], np.concatenate([p[3] for p in parts])[first]))
+            parts.clear()
         for n in range(ORDER - 1):  # lower orders count the kinds of what stands before
             keys, seen, context, suffix = kinds[n]
             above = kinds[n + 1]
@@ -174,9 +181,8 @@ class Model:
         return -mean / np.maximum(length, 1)[:, None], length, letters
 
     def calibrate(self, rows: list[tuple[str, int]]) -> None:
-        joined = [t.encode() for t, _ in rows]
-        off = np.concatenate([[0], np.cumsum([len(x) for x in joined])]).astype(np.int64)
-        found, _, letters = self.entropies(np.frombuffer(b"".join(joined), np.uint8), off)
+        parts = [self.entropies(data, off) for _, data, off in texts.blocks(pa.record_batch({"text": pa.array([t for t, _ in rows], pa.large_string())}), "text", 1 << 20)]
+        found, letters = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
         own = np.array([k for _, k in rows])
         for k in range(len(self.names)):
             mine = found[(own == k) & letters, k]
