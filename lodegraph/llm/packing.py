@@ -37,12 +37,18 @@ ROUNDS = 4
 #: Distinct pre-tokens a worker keeps; beyond it the store starts anew.
 STORE_ENTRIES = 600_000
 
+#: Ids and their places take many times a text's bytes.
+BLOCK_BYTES = 1 << 20
+
 #: Code points below this are looked up; others go through the library.
 PLAIN = 0x250
 
 
 @cache
 def _library(path: str):
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
@@ -158,7 +164,7 @@ class Encoder:
                 new = np.arange(len(h))
             keys, where = np.unique(h[new], return_index=True)
             words = [low[a:b].astype("<u4").tobytes().decode("utf-32-le") for a, b in zip(start[new][where], end[new][where])]
-            coded = [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
+            coded = [e.ids for k in range(0, len(words), 4096) for e in self.library.encode_batch(words[k : k + 4096], add_special_tokens=False)]
             size = np.array([len(c) for c in coded], np.int64)
             begin = len(self.ids) + np.cumsum(size) - size
             self.ids = np.concatenate([self.ids, np.fromiter((i for c in coded for i in c), np.uint32, int(size.sum()))])
@@ -177,7 +183,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary_path(vocabulary))
         for batch in batches:
-            for part, data, off in texts.blocks(batch, "text"):
+            for part, data, off in texts.blocks(batch, "text", BLOCK_BYTES):
                 ids, edge = encoder(data, off)
                 total = np.diff(edge) + 1
                 row, piece = texts.ragged(-(-total // capacity))
