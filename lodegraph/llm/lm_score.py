@@ -20,6 +20,7 @@ are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +31,11 @@ from pyspark.sql import types as T
 
 from . import shared, texts
 
-DEPTH = 5
+DEPTH = 6
 #: Begins and ends every text; no UTF-8 text has it.
 EDGE = 0xFF
 #: Grams or words of one look-up table; larger models are scored in passes.
-TABLE_ENTRIES = 6_000_000
+TABLE_ENTRIES = 10_000_000
 #: Distinct grams or words a counting task holds before it hands them on.
 HELD_ENTRIES = 5_000_000
 LOG2 = np.log(2.0)
@@ -262,10 +263,13 @@ def _coder(top):
     return run
 
 
-def _tables(rows, kind) -> tuple[np.ndarray, np.ndarray]:
+def _tables(rows, kind, spread) -> tuple[np.ndarray, np.ndarray]:
+    """Look-up keys, evenly spread and sorted, with their values."""
     keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in rows)])
     value = np.concatenate([np.zeros(0, kind), *(np.frombuffer(r["value"], kind) for r in rows)])
-    return keys, value
+    keys = spread(keys)
+    order = np.argsort(keys)
+    return keys[order], value[order]
 
 
 def score(docs: DataFrame, held_out: int | None = 1, modulus: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,7 +300,7 @@ def score(docs: DataFrame, held_out: int | None = 1, modulus: int = 5, doc_id: s
     found = None
     for k in range(passes):
         part = F.pmod("bucket", F.lit(passes)) == k
-        tables = (_tables(codes.where(part).select("keys", "value").collect(), np.float32), _tables(gathered.where("kind = 1").where(part).select("keys", F.col("counts").alias("value")).collect(), np.int64))
+        tables = (_tables(codes.where(part).select("keys", "value").collect(), np.float32, texts.mix), _tables(gathered.where("kind = 1").where(part).select("keys", F.col("counts").alias("value")).collect(), np.int64, np.asarray))
         shipped = shared.ship(spark, tables)
         scored = frame.mapInArrow(_scorer(shipped, facts, passes, k, buckets), _scored_schema(frame))
         if passes == 1:
@@ -319,16 +323,19 @@ def _scored_schema(frame: DataFrame) -> T.StructType:
     return T.StructType([frame.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *longs, *(T.StructField(k, T.DoubleType()) for k in ("base_score", "score")), T.StructField("place", T.LongType())])
 
 
+_INDEXES: dict[str, tuple] = {}
+
+
 def _scorer(shipped, facts: dict, passes: int, turn: int, buckets: int):
     """Sums over the grams and words of this turn's buckets."""
+    label = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, value), (names, counts) = shipped.value
-        spread = texts.mix(keys)
-        order = np.argsort(spread)
-        index, value = texts.HashIndex(spread[order]), value[order].astype(np.float64)
-        order = np.argsort(names)
-        words_index, counts = texts.HashIndex(names[order]), counts[order]
+        if label not in _INDEXES:  # once a worker, not once a task
+            (keys, value), (names, counts) = shipped.value
+            _INDEXES.clear()
+            _INDEXES[label] = texts.HashIndex(keys), value, texts.HashIndex(names), counts
+        index, value, words_index, counts = _INDEXES[label]
         size, kinds, ends = facts["tokens"], facts["vocabulary"], facts["ends"]
         cost = lambda c: np.log10((c + 0.5) / (size + 0.5 * (kinds + 1)))
         for batch in batches:
@@ -337,7 +344,7 @@ def _scorer(shipped, facts: dict, passes: int, turn: int, buckets: int):
                 got, first = grams(data, off)
                 at = index.find(texts.mix(got))
                 each = np.where(at >= 0, value[np.maximum(at, 0)], 0.0) if len(value) else np.zeros(len(got))
-                total = np.add.reduceat(each, first[:-1]) if len(first) > 1 else np.zeros(0)
+                total = np.add.reduceat(each, first[:-1], dtype=np.float64) if len(first) > 1 else np.zeros(0)
                 h, begin = words(data, off)
                 row = np.repeat(np.arange(len(off) - 1), np.diff(begin))
                 at = words_index.find(h)

@@ -147,8 +147,8 @@ class HashIndex:
     def __init__(self, keys: np.ndarray):
         self.keys = keys
         self.bits = max(1, int(len(keys)).bit_length())
-        edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
-        self.start = np.searchsorted(keys, edges, "left").astype(np.int32 if len(keys) < 2**31 else np.int64)
+        led = np.bincount((keys >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
+        self.start = (np.cumsum(led) - led).astype(np.int32 if len(keys) < 2**31 else np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
