@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, lm_score, packing, quality, tokens, toxicity
+from . import decontaminate, fingerprint, jaccard, language, lm_score, packing, quality, tokens, toxicity
 
 QUERIES = {
     "op1_quartile_digest": fingerprint.op1_quartile_digest,
     "op2_context_tree": lm_score.op2_context_tree,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_toxicity": toxicity.op6_toxicity,
