@@ -111,19 +111,20 @@ def scan(data: np.ndarray, off: np.ndarray, items: list[tuple[int, str]], n: int
     return starts, ends, first, hit, found
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items, spans.
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, carried, n_words, n_hit, items, spans.
 
+    ``carried`` is a struct of the columns named by `carry`.
     ``items`` lists the ids of the items with a window in the text; ``spans``
     the (start, end) of each run of hit words, in code points of the original.
     The document table is read once and never shuffled.
     """
     spark = docs.sparkSession
-    frame = shared.pick(docs, doc_id=doc_id, text=text)
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    frame = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), carried.alias("carried"), F.col(f"`{text}`").alias("text"))
     parts = [[(r[0], r[1]) for r in part] for part in _shards(items, item_id, item_text)]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    kind = frame.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(items.schema[item_id].dataType)), T.StructField("spans", span)])
+    schema = T.StructType([frame.schema["doc_id"], frame.schema["carried"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(items.schema[item_id].dataType)), T.StructField("spans", span)])
     return frame.mapInArrow(_scanner([shared.ship(spark, p) for p in parts], window, _arrow(schema)), schema)
 
 
@@ -163,7 +164,7 @@ def _scanner(parts, window, schema):
                         base = points[off[row]]
                         spans[row].append({"start": int(points[starts[a]] - base), "end": int(points[ends[b - 1]] - base)})
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in found], schema.field("items").type), pa.array(spans, schema.field("spans").type)],
+                    [piece.column(0), piece.column(1), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in found], schema.field("items").type), pa.array(spans, schema.field("spans").type)],
                     schema=schema,
                 )
 
