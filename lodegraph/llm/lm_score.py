@@ -37,7 +37,9 @@ EDGE = 0xFF
 #: Grams or words of one look-up table; larger models are scored in passes.
 TABLE_ENTRIES = 10_000_000
 #: Distinct grams or words a counting task holds before it hands them on.
-HELD_ENTRIES = 5_000_000
+HELD_ENTRIES = 2_500_000
+#: Look-ups take many times a text's bytes, so blocks are smaller here.
+COUNT_BYTES, SCORE_BYTES = 2 << 20, 1 << 20
 LOG2 = np.log(2.0)
 
 
@@ -199,7 +201,7 @@ def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple]] = [[], []]
         for batch in batches:
-            for piece, data, off in texts.blocks(batch, "text"):
+            for piece, data, off in texts.blocks(batch, "text", COUNT_BYTES):
                 train = piece.column(0).to_numpy(zero_copy_only=False).astype(bool)
                 for kind, (keys, first) in enumerate((grams(data, off), words(data, off))):
                     mine = np.repeat(train, np.diff(first))
@@ -339,7 +341,7 @@ def _scorer(shipped, facts: dict, passes: int, turn: int, buckets: int):
         size, kinds, ends = facts["tokens"], facts["vocabulary"], facts["ends"]
         cost = lambda c: np.log10((c + 0.5) / (size + 0.5 * (kinds + 1)))
         for batch in batches:
-            for piece, data, off in texts.blocks(batch, "text"):
+            for piece, data, off in texts.blocks(batch, "text", SCORE_BYTES):
                 train = piece.column("train").to_numpy(zero_copy_only=False).astype(bool)
                 got, first = grams(data, off)
                 at = index.find(texts.mix(got))

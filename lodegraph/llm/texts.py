@@ -146,7 +146,7 @@ class HashIndex:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.bits = max(1, int(len(keys)).bit_length())
+        self.bits = max(1, int(len(keys)).bit_length() - 1)
         led = np.bincount((keys >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
         self.start = (np.cumsum(led) - led).astype(np.int32 if len(keys) < 2**31 else np.int64)
 
