@@ -35,7 +35,7 @@ DEPTH = 6
 #: Begins and ends every text; no UTF-8 text has it.
 EDGE = 0xFF
 #: Grams or words of one look-up table; larger models are scored in passes.
-TABLE_ENTRIES = 10_000_000
+TABLE_ENTRIES = 5_000_000
 #: Distinct grams or words a counting task holds before it hands them on.
 HELD_ENTRIES = 2_500_000
 #: Look-ups take many times a text's bytes, so blocks are smaller here.
@@ -269,6 +269,7 @@ def _tables(rows, kind, spread) -> tuple[np.ndarray, np.ndarray]:
     """Look-up keys, evenly spread and sorted, with their values."""
     keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in rows)])
     value = np.concatenate([np.zeros(0, kind), *(np.frombuffer(r["value"], kind) for r in rows)])
+    rows.clear()
     keys = spread(keys)
     order = np.argsort(keys)
     return keys[order], value[order]
@@ -285,7 +286,7 @@ def score(docs: DataFrame, held_out: int | None = 1, modulus: int = 5, doc_id: s
     spark = docs.sparkSession
     stage = shared.Stage(spark, "lm")
     train = F.lit(True) if held_out is None else shared.remainder("doc_id", modulus) != held_out
-    frame = shared.pick(docs, doc_id=doc_id, text=text).withColumn("train", train)
+    frame = shared.pick(docs, doc_id=doc_id, text=text).withColumn("train", train).withColumn("place", F.xxhash64("text"))
     buckets = max(1, min(4096, shared.partitions(spark)))
     counted = frame.select("train", "text").mapInArrow(_count(buckets), _COUNTED)
     gathered = stage.write(counted.groupBy("kind", "bucket").applyInArrow(_gather, _GATHERED))
@@ -358,9 +359,8 @@ def _scorer(shipped, facts: dict, passes: int, turn: int, buckets: int):
                     base += cost(ends)
                     known += ends > 0
                 rows = len(off) - 1
-                place = [hash(piece.column("text")[k].as_py()) for k in range(rows)] if passes > 1 else [0] * rows
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(~train), pa.array(np.diff(off)), pa.array(np.diff(begin) + 1), pa.array(known), pa.array(np.full(rows, size)), pa.array(base), pa.array(total), pa.array(place, pa.int64())],
+                    [piece.column("doc_id"), pa.array(~train), pa.array(np.diff(off)), pa.array(np.diff(begin) + 1), pa.array(known), pa.array(np.full(rows, size)), pa.array(base), pa.array(total), piece.column("place")],
                     names=["doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score", "place"],
                 )
 
