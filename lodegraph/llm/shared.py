@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-import os
+import gc
 import uuid
 import weakref
 
@@ -55,6 +55,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished steps, whose results are
+    written; it does so whenever the driver's JVM collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -76,7 +83,3 @@ def partitions(spark: SparkSession) -> int:
 def ship(spark: SparkSession, value):
     """A broadcast variable; callers bound the size of what they ship."""
     return spark.sparkContext.broadcast(value)
-
-
-def here(*parts: str) -> str:
-    return os.path.join(*parts)

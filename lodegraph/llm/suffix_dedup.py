@@ -87,11 +87,23 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
 
 
 def _words(values: np.ndarray) -> tuple[bytes, bytes]:
-    return values.astype(np.uint32).tobytes(), (values >> np.uint64(32)).astype(np.uint16).tobytes()
+    """Bits 8 to 47 of the names in five bytes each."""
+    return (values >> np.uint64(8)).astype(np.uint32).tobytes(), (values >> np.uint64(40)).astype(np.uint8).tobytes()
 
 
 def _values(low: bytes, high: bytes) -> np.ndarray:
-    return np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)
+    return np.frombuffer(low, np.uint32).astype(np.uint64) << np.uint64(8) | np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(40)
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Numbers in two bytes each if they fit, else in four and one more byte."""
+    if not len(values) or values.max() < 65536:
+        return values.astype(np.uint16).tobytes()
+    return values.astype(np.uint32).tobytes() + b"+"
+
+
+def _numbers(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob[:-1], np.uint32).astype(np.int64) if len(blob) % 2 else np.frombuffer(blob, np.uint16).astype(np.int64)
 
 
 _ANCHORED = "bucket int, low binary, high binary, around_low binary, around_high binary, number binary, rids binary, ids binary, counts binary"
@@ -129,7 +141,7 @@ def _deal_anchors(buckets: int, length: int, gram: int):
             part = slice(a, a + n)
             own, count = _runs_of(rid[part])
             pairs = (b"", b"", b"", b"") if where[a] < 0 else (*_words(name[part]), *_words(around[part]))
-            yield _blob(_ANCHOR_NAMES, int(where[a]), *pairs, number[part].astype(np.uint32).tobytes(), rid[part][own].tobytes(), doc[part][own].tobytes(), count.astype(np.uint32).tobytes())
+            yield _blob(_ANCHOR_NAMES, int(where[a]), *pairs, _small(number[part]), rid[part][own].tobytes(), doc[part][own].tobytes(), _small(count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -158,7 +170,7 @@ def _home(rid: np.ndarray, buckets: int) -> np.ndarray:
 _SETTLED = "home int, done boolean, rids binary, numbers binary"
 
 
-def _settled(rid, number, done, buckets, bits):
+def _settled(rid, number, done, buckets):
     """Rows (home, done, rids, numbers) of what was found out."""
     home = _home(rid, buckets) * 2 + done
     order = np.lexsort((number, rid, home))
@@ -176,13 +188,13 @@ def _rank(buckets: int):
         column = lambda k: table.column(k).to_pylist()
         rid, doc = [], []
         for r, d, c in zip(column("rids"), column("ids"), column("counts")):
-            n = np.frombuffer(c, np.uint32)
+            n = _numbers(c)
             rid.append(np.repeat(np.frombuffer(r, np.int64), n))
             doc.append(np.repeat(np.frombuffer(d, np.int64), n))
         rid, doc = np.concatenate(rid), np.concatenate(doc)
-        number = np.concatenate([np.frombuffer(x, np.uint32) for x in column("number")])
+        number = np.concatenate([_numbers(x) for x in column("number")])
         if column("bucket")[0] < 0:
-            return _settled(rid, number, np.ones(len(rid), bool), buckets, 0)
+            return _settled(rid, number, np.ones(len(rid), bool), buckets)
         name = np.concatenate([_values(a, b) for a, b in zip(column("low"), column("high"))])
         around = np.concatenate([_values(a, b) for a, b in zip(column("around_low"), column("around_high"))])
         order = np.argsort(name, kind="stable")  # unique ones leave at once
@@ -209,7 +221,7 @@ def _rank(buckets: int):
         else:
             still = covered
         keep = covered | still
-        return _settled(rid[keep], number[keep], covered[keep], buckets, 0)
+        return _settled(rid[keep], number[keep], covered[keep], buckets)
 
     return run
 
@@ -232,7 +244,8 @@ def _by_row(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(rid[first]), pa.array([n[d].tobytes() for n, d in parts], pa.binary()), pa.array([n[~d].tobytes() for n, d in parts], pa.binary())], names=["rid", "done", "open"])
 
 
-_WINDOWED = "bucket int, names binary, starts binary, rids binary, ids binary, counts binary"
+_WINDOWED = "bucket int, low binary, high binary, windows_low binary, windows_high binary, starts binary, counts binary, rids binary, ids binary"
+_WINDOW_NAMES = [x.split()[0] for x in _WINDOWED.split(", ")]
 
 
 def _numbered(piece, column: str, row: np.ndarray) -> np.ndarray:
@@ -245,30 +258,36 @@ def _numbered(piece, column: str, row: np.ndarray) -> np.ndarray:
 
 
 def _deal_windows(buckets: int, length: int, gram: int):
+    """The names of open anchors' windows, dealt by what stands for them, so that
+    an anchor's windows stay together: its first start tells the others'."""
+
     def hand_on(held):
-        rid, doc, start, name = (np.concatenate([x[k] for x in held]) for k in range(4))
-        where = (name >> np.uint64(40)).astype(np.int64) % buckets
-        order = np.lexsort((start, rid, where))
-        rid, doc, start, name, where = rid[order], doc[order], start[order], name[order], where[order]
-        first, counts = _runs_of(where)
-        for a, n in zip(first.tolist(), counts.tolist()):
-            part = slice(a, a + n)
-            own, count = _runs_of(rid[part])
-            yield _blob(["bucket", "names", "starts", "rids", "ids", "counts"], int(where[a]), name[part].tobytes(), start[part].astype(np.uint32).tobytes(), rid[part][own].tobytes(), doc[part][own].tobytes(), count.astype(np.uint32).tobytes())
+        name, start, count, rid, doc = (np.concatenate([x[k] for x in held]) for k in range(5))
+        windows = np.concatenate([x[5] for x in held])
+        first = np.cumsum(count) - count
+        where = (name >> np.uint64(48)).astype(np.int64) % buckets
+        order = np.argsort(where, kind="stable")
+        for a, n in zip(*(x.tolist() for x in _runs_of(where[order]))):
+            part = order[a : a + n]
+            item, place = texts.ragged(count[part])
+            mine = windows[first[part][item] + place]
+            pairs = (mine.astype(np.uint32).tobytes(), (mine >> np.uint64(32)).astype(np.uint16).tobytes())
+            yield _blob(_WINDOW_NAMES, int(where[part[0]]), *_words(name[part]), *pairs, start[part].astype(np.uint32).tobytes(), _small(count[part]), rid[part].tobytes(), doc[part].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in batches:
             for piece, data, off in texts.blocks(batch, "text"):
-                row, _, low, high, _, _, running = anchors(data, off, length, gram)
+                row, _, low, high, name, _, running = anchors(data, off, length, gram)
                 at = _numbered(piece, "open", row)
-                item, place = texts.ragged((high - low + 1)[at])
-                if not len(item):
+                if not len(at):
                     continue
+                count = (high - low + 1)[at]
+                item, place = texts.ragged(count)
                 start = low[at][item] + place
-                own = row[at][item]
+                own = row[at]
                 rid, doc = piece.column("rid").to_numpy(), piece.column("doc_id").to_numpy()
-                held.append((rid[own], doc[own], start - off[own], texts.span_hash(running, start, start + length)))
+                held.append((name[at], low[at] - off[own], count, rid[own], doc[own], texts.span_hash(running, start, start + length)))
                 total += len(item)
                 if total > HELD_WINDOWS:
                     yield from hand_on(held)
@@ -280,21 +299,27 @@ def _deal_windows(buckets: int, length: int, gram: int):
 
 
 def _rank_windows(buckets: int):
+    """Windows are equal if their names are, of 48 bits, and what stands for them
+    is, of which 16 more bits are put before; those of smaller documents win."""
+
     def run(table: pa.Table) -> pa.Table:
         column = lambda k: table.column(k).to_pylist()
-        rid, doc = [], []
-        for r, d, c in zip(column("rids"), column("ids"), column("counts")):
-            n = np.frombuffer(c, np.uint32)
-            rid.append(np.repeat(np.frombuffer(r, np.int64), n))
-            doc.append(np.repeat(np.frombuffer(d, np.int64), n))
-        rid, doc = np.concatenate(rid), np.concatenate(doc)
-        start = np.concatenate([np.frombuffer(x, np.uint32) for x in column("starts")])
-        name = np.concatenate([np.frombuffer(x, np.uint64) for x in column("names")])
-        kinds, back = np.unique(name, return_inverse=True)
-        least = np.full(len(kinds), np.iinfo(np.int64).max)
-        np.minimum.at(least, back, doc)
-        covered = doc > least[back]
-        return _settled(rid[covered], start[covered], np.ones(int(covered.sum()), bool), buckets, 0)
+        join = lambda k, f: np.concatenate([f(x) for x in column(k)])
+        stand = np.concatenate([_values(a, b) for a, b in zip(column("low"), column("high"))])
+        count = join("counts", _numbers)
+        item, place = texts.ragged(count)
+        name = join("windows_low", lambda x: np.frombuffer(x, np.uint32)).astype(np.uint64)
+        name |= join("windows_high", lambda x: np.frombuffer(x, np.uint16)).astype(np.uint64) << np.uint64(32)
+        name |= (texts.mix(stand) >> np.uint64(48) << np.uint64(48))[item]
+        start = join("starts", lambda x: np.frombuffer(x, np.uint32)).astype(np.int64)[item] + place
+        rid, doc = (join(k, lambda x: np.frombuffer(x, np.int64))[item] for k in ("rids", "ids"))
+        order = np.lexsort((doc, name))
+        opens = np.ones(len(order), bool)
+        opens[1:] = name[order][1:] != name[order][:-1]
+        least = np.empty(len(order), np.int64)
+        least[order] = doc[order][np.flatnonzero(opens)][np.cumsum(opens) - 1]
+        covered = doc > least
+        return _settled(rid[covered], start[covered], np.ones(int(covered.sum()), bool), buckets)
 
     return run
 
@@ -342,6 +367,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
     known = frame.where("doc_id is not null").withColumn("rid", F.monotonically_increasing_id())
     name = f"lodegraph_texts_{uuid.uuid4().hex[:12]}"
     known.repartition(buckets, "rid").write.option("compression", "zstd").bucketBy(buckets, "rid").option("path", f"{stage.root}/texts").saveAsTable(name)
+    shared.forget(spark)
     dealt = spark.table(name)
     ranked = dealt.select("rid", "doc_id", "text").mapInArrow(_deal_anchors(buckets, length, gram), _ANCHORED).groupBy("bucket").applyInArrow(_rank(buckets), _SETTLED)
     found = stage.write(ranked.groupBy("home").applyInArrow(_by_row, _BY_ROW))
