@@ -34,8 +34,9 @@ from . import shared, texts
 DEPTH = 6
 #: Begins and ends every text; no UTF-8 text has it.
 EDGE = 0xFF
-#: Grams or words of one look-up table; larger models are scored in passes.
-TABLE_ENTRIES = 5_000_000
+#: Grams or words of one look-up table; larger models are scored in passes, each
+#: over the grams or the words of some buckets.
+TABLE_ENTRIES = 4_000_000
 #: Distinct grams or words a counting task holds before it hands them on.
 HELD_ENTRIES = 2_500_000
 #: Look-ups take many times a text's bytes, so blocks are smaller here.
@@ -199,6 +200,7 @@ def _count(buckets: int):
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _INDEXES.clear()  # of an earlier run
         held: list[list[tuple]] = [[], []]
         for batch in batches:
             for piece, data, off in texts.blocks(batch, "text", COUNT_BYTES):
@@ -265,12 +267,17 @@ def _coder(top):
     return run
 
 
-def _tables(rows, kind, spread) -> tuple[np.ndarray, np.ndarray]:
-    """Look-up keys, evenly spread and sorted, with their values."""
-    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in rows)])
-    value = np.concatenate([np.zeros(0, kind), *(np.frombuffer(r["value"], kind) for r in rows)])
-    rows.clear()
-    keys = spread(keys)
+def _tables(source: DataFrame, kind, spread) -> tuple[np.ndarray, np.ndarray]:
+    """Look-up keys, evenly spread and sorted, with their values; gathered in
+    portions, so that the driver holds a table once and little more."""
+    keys, value = [np.zeros(0, np.uint64)], [np.zeros(0, kind)]
+    for k in range(4):
+        for r in source.where(F.pmod(F.xxhash64("bucket"), F.lit(4)) == k).select("keys", "value").collect():
+            keys.append(spread(np.frombuffer(r["keys"], np.uint64)))
+            value.append(np.frombuffer(r["value"], kind))
+    keys, value = np.concatenate(keys), np.concatenate(value)
+    if kind is np.int64 and (not len(value) or value.max() < 2**32):
+        value = value.astype(np.uint32)
     order = np.argsort(keys)
     return keys[order], value[order]
 
@@ -287,7 +294,7 @@ def score(docs: DataFrame, held_out: int | None = 1, modulus: int = 5, doc_id: s
     stage = shared.Stage(spark, "lm")
     train = F.lit(True) if held_out is None else shared.remainder("doc_id", modulus) != held_out
     frame = shared.pick(docs, doc_id=doc_id, text=text).withColumn("train", train).withColumn("place", F.xxhash64("text"))
-    buckets = max(1, min(4096, shared.partitions(spark)))
+    buckets = max(1, min(4096, 4 * shared.partitions(spark)))
     counted = frame.select("train", "text").mapInArrow(_count(buckets), _COUNTED)
     gathered = stage.write(counted.groupBy("kind", "bucket").applyInArrow(_gather, _GATHERED))
     sums = {r["kind"]: r for r in gathered.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("total").alias("total")).collect()}
@@ -297,28 +304,29 @@ def score(docs: DataFrame, held_out: int | None = 1, modulus: int = 5, doc_id: s
     tops = grams_.mapInArrow(_tops, "node int, zeros double, ones double, weighted double").groupBy("node").agg(*(F.sum(k).alias(k) for k in ("zeros", "ones", "weighted"))).toPandas()
     top = shared.ship(spark, Top(tops["node"].to_numpy(), *(tops[k].to_numpy(float) for k in ("zeros", "ones", "weighted"))))
     codes = stage.write(grams_.mapInArrow(_coder(top), "bucket int, keys binary, value binary"))
-    entries = sum(int(r["n"]) for r in sums.values())
-    passes = max(1, -(-entries // TABLE_ENTRIES))
     facts = {"tokens": total + ends, "vocabulary": seen + (ends > 0), "ends": ends}
-    found = None
-    for k in range(passes):
-        part = F.pmod("bucket", F.lit(passes)) == k
-        tables = (_tables(codes.where(part).select("keys", "value").collect(), np.float32, texts.mix), _tables(gathered.where("kind = 1").where(part).select("keys", F.col("counts").alias("value")).collect(), np.int64, np.asarray))
-        shipped = shared.ship(spark, tables)
-        scored = frame.mapInArrow(_scorer(shipped, facts, passes, k, buckets), _scored_schema(frame))
-        if passes == 1:
-            found = scored.drop("place")
-            break
-        scored = stage.write(scored.withColumn("turn", F.lit(k)))
-        shipped.unpersist()
-        found = scored if found is None else found.unionByName(scored)
-    if passes > 1:  # rows that are alike in id and text have like sums
-        sums = [F.sum(c).alias(c) for c in ("n_known", "base_score", "score")]
-        same = [F.first(c).alias(c) for c in ("held_out", "n_bytes", "n_tokens", "train_tokens")]
-        joined = found.groupBy("doc_id", "place").agg(*same, *sums, (F.count(F.lit(1)) / passes).cast("int").alias("copies"))
-        per_copy = [(F.col(c) / F.col("copies")).cast(found.schema[c].dataType).alias(c) for c in ("n_known", "base_score", "score")]
-        found = joined.select("doc_id", "held_out", "n_bytes", "n_tokens", per_copy[0], "train_tokens", *per_copy[1:], F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
-    return found
+    entries = [int(sums[kind]["n"]) if kind in sums else 0 for kind in (0, 1)]
+    words_ = gathered.where("kind = 1").select("bucket", "keys", F.col("counts").alias("value"))
+    if sum(entries) <= TABLE_ENTRIES:
+        tables = _tables(codes, np.float32, texts.mix), _tables(words_, np.int64, np.asarray)
+        return frame.mapInArrow(_scorer(shared.ship(spark, tables), facts, 1, 0, buckets), _scored_schema(frame)).drop("place")
+    found, turns = None, 0
+    for kind, source in ((0, codes), (1, words_)):
+        passes = max(1, -(-entries[kind] // TABLE_ENTRIES))
+        for k in range(passes):
+            part = source.where(F.pmod("bucket", F.lit(passes)) == k)
+            tables = (_tables(part, np.float32, texts.mix), None) if kind == 0 else (None, _tables(part, np.int64, np.asarray))
+            shipped = shared.ship(spark, tables)
+            del tables
+            scored = stage.write(frame.mapInArrow(_scorer(shipped, facts, passes, k, buckets), _scored_schema(frame)))
+            shipped.unpersist()
+            found, turns = scored if found is None else found.unionByName(scored), turns + 1
+    # rows that are alike in id and text have like sums
+    sums = [F.sum(c).alias(c) for c in ("n_known", "base_score", "score")]
+    same = [F.first(c).alias(c) for c in ("held_out", "n_bytes", "train_tokens")] + [F.max("n_tokens").alias("n_tokens")]
+    joined = found.groupBy("doc_id", "place").agg(*same, *sums, (F.count(F.lit(1)) / turns).cast("int").alias("copies"))
+    per_copy = [(F.col(c) / F.col("copies")).cast(found.schema[c].dataType).alias(c) for c in ("n_known", "base_score", "score")]
+    return joined.select("doc_id", "held_out", "n_bytes", "n_tokens", per_copy[0], "train_tokens", *per_copy[1:], F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
 
 
 def _scored_schema(frame: DataFrame) -> T.StructType:
@@ -335,32 +343,37 @@ def _scorer(shipped, facts: dict, passes: int, turn: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if label not in _INDEXES:  # once a worker, not once a task
-            (keys, value), (names, counts) = shipped.value
             _INDEXES.clear()
-            _INDEXES[label] = texts.HashIndex(keys), value, texts.HashIndex(names), counts
-        index, value, words_index, counts = _INDEXES[label]
+            _INDEXES[label] = [t and (texts.HashIndex(t[0]), t[1]) for t in shipped.value]
+        gram_table, word_table = _INDEXES[label]
         size, kinds, ends = facts["tokens"], facts["vocabulary"], facts["ends"]
         cost = lambda c: np.log10((c + 0.5) / (size + 0.5 * (kinds + 1)))
         for batch in batches:
             for piece, data, off in texts.blocks(batch, "text", SCORE_BYTES):
                 train = piece.column("train").to_numpy(zero_copy_only=False).astype(bool)
-                got, first = grams(data, off)
-                at = index.find(texts.mix(got))
-                each = np.where(at >= 0, value[np.maximum(at, 0)], 0.0) if len(value) else np.zeros(len(got))
-                total = np.add.reduceat(each, first[:-1], dtype=np.float64) if len(first) > 1 else np.zeros(0)
-                h, begin = words(data, off)
-                row = np.repeat(np.arange(len(off) - 1), np.diff(begin))
-                at = words_index.find(h)
-                c = np.where(at >= 0, counts[np.maximum(at, 0)], train[row]) if len(counts) else train[row].astype(np.int64)
-                mine = np.ones(len(h), bool) if passes == 1 else (h >> np.uint64(33)).astype(np.int64) % buckets % passes == turn
-                base = np.bincount(row[mine], weights=cost(c[mine]), minlength=len(off) - 1).astype(float)
-                known = np.bincount(row[mine], weights=c[mine] > 0, minlength=len(off) - 1).astype(np.int64)
-                if turn == 0:
-                    base += cost(ends)
-                    known += ends > 0
                 rows = len(off) - 1
+                total, base, known, tokens = np.zeros(rows), np.zeros(rows), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+                if gram_table:
+                    got, first = grams(data, off)
+                    index, value = gram_table
+                    at = index.find(texts.mix(got))
+                    each = np.where(at >= 0, value[np.maximum(at, 0)], 0.0) if len(value) else np.zeros(len(got))
+                    total = np.add.reduceat(each, first[:-1], dtype=np.float64)
+                if word_table:
+                    h, begin = words(data, off)
+                    row = np.repeat(np.arange(rows), np.diff(begin))
+                    index, counts = word_table
+                    at = index.find(h)
+                    c = np.where(at >= 0, counts[np.maximum(at, 0)], train[row]) if len(counts) else train[row].astype(np.int64)
+                    mine = np.ones(len(h), bool) if passes == 1 else (h >> np.uint64(33)).astype(np.int64) % buckets % passes == turn
+                    base = np.bincount(row[mine], weights=cost(c[mine]), minlength=rows).astype(float)
+                    known = np.bincount(row[mine], weights=c[mine] > 0, minlength=rows).astype(np.int64)
+                    tokens = np.diff(begin) + 1
+                    if turn == 0:
+                        base += cost(ends)
+                        known += ends > 0
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(~train), pa.array(np.diff(off)), pa.array(np.diff(begin) + 1), pa.array(known), pa.array(np.full(rows, size)), pa.array(base), pa.array(total), piece.column("place")],
+                    [piece.column("doc_id"), pa.array(~train), pa.array(np.diff(off)), pa.array(tokens), pa.array(known), pa.array(np.full(rows, size)), pa.array(base), pa.array(total), piece.column("place")],
                     names=["doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score", "place"],
                 )
 
