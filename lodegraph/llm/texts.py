@@ -1,7 +1,7 @@
 """Byte-level numpy helpers shared by the text operators.
 
 Texts travel as Arrow batches.  Operators look at a *block*: the bytes of a few
-consecutive rows with their offsets, a few MB at most unless one text alone is
+consecutive rows with their offsets, a MB at most unless one text alone is
 larger, so memory in a Python worker does not follow the batch size.
 """
 
@@ -10,7 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+#: Work arrays take up to a hundred times a block's bytes.
+BLOCK_BYTES = 1 << 20
+#: For operators whose store of known words is rebuilt after each block.
+STORE_BLOCK_BYTES = 4 << 20
 
 #: Seeded tables of the polynomial hash; every task must see the same ones.
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -297,7 +297,7 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary_path(vocabulary))
         for batch in batches:
-            for piece, data, off in texts.blocks(batch, "text"):
+            for piece, data, off in texts.blocks(batch, "text", texts.STORE_BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(off)), pa.array(counter(data, off))], names=["doc_id", "n_bytes", "n_tokens"])
 
     return frame.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ BITS = 18
 SIZE = 8
 LEAST_GRAM, MOST_GRAM = 3, 5
 SAMPLE_ROWS = 12_000
-SAMPLE_BYTES = 20 << 20
+SAMPLE_BYTES = 16 << 20
 EPOCHS = 8
 BATCH = 64
 RATE = 0.3
@@ -197,7 +197,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for batch in batches:
-            for piece, data, off in texts.blocks(batch, text):
+            for piece, data, off in texts.blocks(batch, text, texts.STORE_BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scorer(data, off))], names=[*piece.schema.names, "toxicity_score"])
 
     return frame.mapInArrow(run, schema)
