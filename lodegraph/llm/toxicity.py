@@ -27,7 +27,8 @@ SIZE = 8
 LEAST_GRAM, MOST_GRAM = 3, 5
 SAMPLE_ROWS = 12_000
 SAMPLE_BYTES = 16 << 20
-EPOCHS = 8
+#: Updates; a small sample is gone through more often.
+STEPS = 800
 BATCH = 64
 RATE = 0.3
 #: Adagrad's sum of squares starts here.
@@ -74,7 +75,7 @@ def grams(low: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) ->
     return buckets[order], np.bincount(owner, minlength=len(h))
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 6) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[str, int]], epochs: int | None = None, seed: int = 6) -> tuple[np.ndarray, float]:
     """Each bucket's share of the logit, and the bias.
 
     The logit is the text's average embedding times the difference of the two
@@ -84,6 +85,7 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 6) -> tup
     """
     if not rows:
         return np.zeros(1 << BITS), 0.0
+    epochs = epochs or max(4, -(-STEPS * BATCH // len(rows)))
     label = np.array([y for _, y in rows], float)
     # texts are taken a few MB at a time; what stays is each text's distinct
     # words with their counts, and each word's n-grams
@@ -131,7 +133,8 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 6) -> tup
             b = bucket[begin[w][item] + inner]
             share = (1.0 / (np.maximum(1, count)[text] * whole[w]))[item]  # an average of averages
             owner = text[item]
-            logit = np.bincount(owner, weights=(table[b] @ column.astype(np.float32)) * share, minlength=len(part)) * SCALE + bias
+            value = table @ column.astype(np.float32)  # of each bucket; cheaper than gathering vectors
+            logit = np.bincount(owner, weights=value[b] * share, minlength=len(part)) * SCALE + bias
             g = 1 / (1 + np.exp(-np.clip(logit, -35, 35))) - label[part]
             pull = np.bincount(b, weights=g[owner] * share * SCALE, minlength=1 << BITS)
             hit = np.flatnonzero(pull)
