@@ -7,13 +7,15 @@ larger, so memory in a Python worker does not follow the batch size.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 #: Work arrays take up to a hundred times a block's bytes.
 BLOCK_BYTES = 1 << 20
 #: For operators whose store of known words is rebuilt after each block.
-STORE_BLOCK_BYTES = 4 << 20
+STORE_BLOCK_BYTES = 2 << 20
 
 #: Seeded tables of the polynomial hash; every task must see the same ones.
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -21,6 +23,11 @@ _TABLES: dict[int, np.ndarray] = {}
 _POW = np.ones(1, np.uint64)
 _INV = np.ones(1, np.uint64)
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library keeps what it likes
+    _LIBC = None
+
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
@@ -99,6 +106,20 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES):
         part = batch.slice(low, high - low)
         yield (part, *buffers(part.column(at)))
         low = high
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: workers live on, and share a limit with others."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def merged(keys: np.ndarray, value: np.ndarray, more: np.ndarray, more_value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their values with others, sorted and not among them."""
+    at = np.searchsorted(keys, more)
+    return np.insert(keys, at, more), np.insert(value, at, more_value)
 
 
 def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from . import shared, texts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pre-tokens a worker keeps; beyond it the store starts anew.
-STORE_ENTRIES = 1_500_000
+STORE_ENTRIES = 800_000
 #: Symbols merged together at a time.
 MERGE_SYMBOLS = 4_000_000
 
@@ -264,10 +264,8 @@ class Counter:
         return self.count[at].astype(np.int64)
 
     def _add(self, keys, counts):
-        both = np.concatenate([self.index.keys, keys])
-        order = np.argsort(both, kind="stable")
-        self.count = np.concatenate([self.count, counts])[order]
-        self.index = texts.HashIndex(both[order])
+        keys, self.count = texts.merged(self.index.keys, self.count, keys, counts)
+        self.index = texts.HashIndex(keys)
 
     def _again(self, h, keys, counts, data, start, end):
         """The store was emptied: what it knew is counted anew for this block."""

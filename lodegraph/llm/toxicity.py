@@ -37,7 +37,7 @@ FLOOR = 0.1
 #: little to learn from, and it would only let the model remember single texts.
 LEAST_MET = 5
 #: Words whose sums a worker keeps; beyond it the store starts anew.
-STORE_ENTRIES = 2_000_000
+STORE_ENTRIES = 600_000
 
 #: White space and the punctuation that stands around words.
 IS_WORD = texts.IS_PLAIN_WORD.copy()
@@ -175,9 +175,8 @@ class Scorer:
             bucket, size = grams(low, start[new][where], end[new][where], keys)
             begin = np.cumsum(size) - size
             value = np.add.reduceat(self.share[bucket], begin) / size if len(keys) else np.zeros(0)
-            both = np.concatenate([self.index.keys, keys])
-            order = np.argsort(both, kind="stable")
-            self.index, self.value = texts.HashIndex(both[order]), np.concatenate([self.value, value])[order]
+            keys, self.value = texts.merged(self.index.keys, self.value, keys, value)
+            self.index = texts.HashIndex(keys)
             at = self.index.find(h)
         total = np.zeros(len(h) + 1)
         np.cumsum(self.value[at], out=total[1:])
