@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..errors import PlanError
 from ..functions.expressions import Aggregate as AggregateCall
 from ..functions.expressions import Expr, Property, named
+from ..operators.traverse import directed, simple_paths
 from ..types import GraphType
 
 
@@ -107,12 +108,9 @@ def _edges(graph, table, var: str) -> DataFrame:
 
 
 def _directed(graph, table, var: str, direction: str) -> DataFrame:
-    """Edges as (from, to): as they are, turned round, or one after the other."""
-    edges = _edges(graph, table, var)
-    rest = [named(f"{var}.{k}") for k in ["_id", *(c.name for c in table.columns)]]
-    out = edges.select(named(f"{var}._src").alias(f"{var}.from"), named(f"{var}._dst").alias(f"{var}.to"), *rest)
-    back = edges.select(named(f"{var}._dst").alias(f"{var}.from"), named(f"{var}._src").alias(f"{var}.to"), *rest)
-    return {"out": lambda: out, "in": lambda: back, "both": lambda: out.unionByName(back)}[direction]()
+    """Edges as `var.from`, `var.to`, `var._id` and properties."""
+    out = directed(_edges(graph, table, var), direction, f"{var}._src", f"{var}._dst")
+    return out.withColumnsRenamed({"from": f"{var}.from", "to": f"{var}.to"})
 
 
 @dataclass(frozen=True)
@@ -167,9 +165,8 @@ _DIRECTION = {"out": "Forward", "in": "Backward", "both": "Both"}
 class PathExpand(Plan):
     """Paths of low to high relationships, no node twice, a row for each path.
 
-    The hops are unrolled into joins of the edges' end points; a path's nodes
-    stay in columns of their own, compared one by one, so no arrays are built
-    and the source's filters prune before the first hop.
+    The walk sees the edges' end points only, and starts at the nodes that pass
+    the source's filters.
     """
 
     input: Plan
@@ -193,35 +190,20 @@ class PathExpand(Plan):
         return self.input.schema | {f"{self.path_var}.length": GraphType.INT64} | self.target.schema
 
     def frame(self, graph):
-        edges = _directed(graph, self.rel, "e", self.direction).select(named("e.from").alias("from"), named("e.to").alias("to"))
+        steps = directed(graph.rels(self.rel.name).select("_src", "_dst"), self.direction)
+        # a node of another table is another node, whatever its id
         one_kind = self.rel.source == self.rel.target
-        if one_kind:  # a node of another table is another node, whatever its id
-            edges = edges.where("from != to")
         high = self.high if one_kind or self.direction == "both" else min(self.high, 1)
         source, target = self.input, self.target
         # the walk carries ids only; properties join at its two ends
-        bare = isinstance(source, NodeScan) and not source.filters and graph.is_whole(self.rel.name)
-        paths = None
-        if not bare:
-            starts = source.frame(graph).select(named(f"{self.source_var}._id").alias("n0")).distinct() if not isinstance(source, NodeScan) else replace(source, columns=()).frame(graph).select(named(f"{self.source_var}._id").alias("n0"))
-        found = None
-        for hop in range(1, high + 1):
-            if hop == 1:
-                paths = edges.select(F.col("from").alias("n0"), F.col("to").alias("n1"))
-                paths = paths if bare else paths.join(starts, "n0")
-            else:
-                step = edges.select(F.col("from").alias(f"n{hop - 1}"), F.col("to").alias(f"n{hop}"))
-                seen = range(hop - 1) if one_kind else range(hop % 2, hop - 1, 2)
-                fresh = F.lit(True)
-                for k in seen:
-                    fresh = fresh & (F.col(f"n{hop}") != F.col(f"n{k}"))
-                paths = paths.join(step, f"n{hop - 1}").where(fresh)
-            if hop >= max(1, self.low):
-                part = paths.select(F.col("n0").alias("first"), F.col(f"n{hop}").alias("last"), F.lit(hop).cast("long").alias(f"{self.path_var}.length"))
-                found = part if found is None else found.unionByName(part)
+        starts = None
+        if not (isinstance(source, NodeScan) and not source.filters and graph.is_whole(self.rel.name)):
+            ids = replace(source, columns=()) if isinstance(source, NodeScan) else source
+            starts = ids.frame(graph).select(named(f"{self.source_var}._id").alias("n0")).distinct()
+        found = simple_paths(steps, self.low, high, starts, one_kind)
         if found is None:
-            spark = graph.spark
-            found = spark.createDataFrame([], T.StructType([T.StructField(k, T.LongType()) for k in ("first", "last", f"{self.path_var}.length")]))
+            found = graph.spark.createDataFrame([], "first long, last long, length long")
+        found = found.withColumnRenamed("length", f"{self.path_var}.length")
         for plan, var, end in ((source, self.source_var, "first"), (target, self.target_var, "last")):
             if isinstance(plan, NodeScan) and plan.columns == () and (end == "first" or not plan.filters) and graph.is_whole(self.rel.name):
                 found = found.withColumn(f"{var}._id", F.col(end))

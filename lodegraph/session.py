@@ -66,6 +66,7 @@ class GraphSession:
         self._next = CREATED
         self._imports = 0
         self._log = 0
+        self._epochs: dict[str, int] = {}  # of streams, the last one taken in
         self._files = Files(spark, path) if path else None
         if path:
             self._load()
@@ -305,7 +306,7 @@ class GraphSession:
             raw = csv.numbered(raw).where(F.col("__row") >= config.skip_rows).drop("__row")
         return raw, {w: F.col(f"f{k}") for w, k in places.items()}
 
-    def _settle(self, staged: DataFrame, path: str, config: CsvImportConfig, began: float, progress) -> tuple[DataFrame, int, int, list[str]]:
+    def _settle(self, staged: DataFrame, config: CsvImportConfig, began: float, progress) -> tuple[DataFrame, int, int, list[str]]:
         """Good rows, and the account of bad ones; without ignore_errors any ends it."""
         total, failed = staged.agg(F.count(F.lit(1)).alias("n"), F.count("__error").alias("bad")).first()
         reasons: list[str] = []
@@ -332,6 +333,11 @@ class GraphSession:
         if progress:
             progress(ImportProgress())
         raw, at = self._fields(path, config, [c.name for c in schema.columns])
+        return self._take_nodes(schema, raw, at, config, began, progress)
+
+    def _take_nodes(self, schema: NodeTable, raw: DataFrame, at: dict, config: CsvImportConfig, began: float, progress) -> ImportResult:
+        """Parse, check and append rows whose fields `at` are text."""
+        table = schema.name
         values = [csv.parsed(at[c.name], c.type, "node").cast(c.type.spark) for c in schema.columns]
         reasons = [csv.failure(at[c.name], v, c.type, c.name) for c, v in zip(schema.columns, values)]
         if not config.ignore_errors:
@@ -339,7 +345,7 @@ class GraphSession:
         base = F.lit(self._imports << 50)
         typed = raw.select((base + F.col(csv.ORDINAL)).alias("_id"), F.col(csv.ORDINAL), *[v.alias(c.name) for c, v in zip(schema.columns, values)], csv.first_of(reasons).alias("__error"))
         staged = self._written(typed, table)
-        good, imported, failed, errors = self._settle(staged, path, config, began, progress)
+        good, imported, failed, errors = self._settle(staged, config, began, progress)
         rows = good.drop("__error", csv.ORDINAL)
         keys = [F.col(f"`{k}`") for k in schema.primary_key]
         twice = rows.groupBy(*keys).count().where("count > 1").limit(1).collect()
@@ -383,7 +389,7 @@ class GraphSession:
         base = F.lit(self._imports << 50)
         names = [c.name for c in schema.columns]
         staged = self._written(typed.select((base + F.col(csv.ORDINAL)).alias("_id"), "_src", "_dst", *names, csv.ORDINAL, "__error"), table)
-        good, imported, failed, errors = self._settle(staged, path, config, began, progress)
+        good, imported, failed, errors = self._settle(staged, config, began, progress)
         self._append(table, staged, good.drop("__error", csv.ORDINAL))
         return ImportResult(imported, failed, 0, errors)
 
@@ -400,7 +406,7 @@ class GraphSession:
             return
         root = f"{self.path.rstrip('/')}/"
         data = {name: [p.removeprefix(root) for p in t.paths] for name, t in self._tables.items()}
-        self._files.write("manifest.json", json.dumps({"format": 1, "catalog": self.catalog.to_json(), "data": data, "imports": self._imports, "next": self._next, "log": self._folded}))
+        self._files.write("manifest.json", json.dumps({"format": 1, "catalog": self.catalog.to_json(), "data": data, "imports": self._imports, "next": self._next, "log": self._folded, "epochs": self._epochs}))
 
     _folded = 0
 
@@ -418,6 +424,7 @@ class GraphSession:
         for table in Catalog.from_json(saved["catalog"]).tables.values():
             self._add(table)
         self._imports, self._next, self._folded = saved["imports"], saved["next"], saved["log"]
+        self._epochs = saved.get("epochs", {})
         self._log = self._folded
         for name, paths in saved["data"].items():
             state = self._tables[name]
