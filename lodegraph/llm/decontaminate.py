@@ -120,6 +120,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     The document table is read once and never shuffled.
     """
     spark = docs.sparkSession
+    shared.small_batches(spark)
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     frame = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), carried.alias("carried"), F.col(f"`{text}`").alias("text"))
     parts = [[(r[0], r[1]) for r in part] for part in _shards(items, item_id, item_text)]

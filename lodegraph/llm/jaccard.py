@@ -41,7 +41,7 @@ MOST_MATCHES = 8
 CLUSTER = 4096
 BLOCK = 2048
 #: Shingles a task holds before it deals them out.
-HELD_SHINGLES = 4_000_000
+HELD_SHINGLES = 1_000_000
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -155,7 +155,7 @@ def _share(homes: int):
         bucket = table.column("bucket")[0].as_py()
         tokens, owners, sizes = [], [], []
         for r in table.to_batches():
-            for low, high, own, classes, size in zip(*(r.column(k).to_pylist() for k in ("low", "high", "own", "classes", "sizes"))):
+            for low, high, own, classes, size in zip(*(texts.blobs(r.column(k)) for k in ("low", "high", "own", "classes", "sizes"))):
                 name = np.frombuffer(classes, np.int64)
                 at = np.frombuffer(own, np.uint16 if len(name) <= 65536 else np.uint32)
                 tokens.append(_unsix(low, high))
@@ -222,7 +222,7 @@ def _prefixes(percent: int, most: int):
     def run(table: pa.Table) -> pa.Table:
         owners, tokens, oftens, sizes = [], [], [], {}
         for r in table.to_batches():
-            for bucket, classes, size, counts, low, high, often in zip(*(r.column(k).to_pylist() for k in ("bucket", "classes", "sizes", "counts", "low", "high", "often"))):
+            for bucket, classes, size, counts, low, high, often in zip(r.column("bucket").to_pylist(), *(texts.blobs(r.column(k)) for k in ("classes", "sizes", "counts", "low", "high", "often"))):
                 name = np.frombuffer(classes, np.int64)
                 owners.append(np.repeat(name, np.frombuffer(counts, np.uint32)))
                 tokens.append(_unsix(low, high) | np.uint64(bucket) << np.uint64(48))
@@ -252,7 +252,7 @@ def _prefixes(percent: int, most: int):
 def _prefix_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         name, prefix = batch.column("class").to_pylist(), batch.column("prefix").to_pylist()
-        got = [np.frombuffer(t, np.int64)[:p] for t, p in zip(batch.column("tokens").to_pylist(), prefix)]
+        got = [np.frombuffer(t, np.int64)[:p] for t, p in zip(texts.blobs(batch.column("tokens")), prefix)]
         if got:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(np.repeat(np.array(name, np.int64), prefix))], names=["token", "class"])
 
@@ -313,7 +313,7 @@ def _join(percent: int):
         get = lambda k: table.column(k).combine_chunks().to_numpy(zero_copy_only=False)
         name = get("class")
         side = get("side")
-        links = join_links(get("n"), get("matches").astype(np.int64), get("prefix").astype(np.int64), [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()], percent, side if side.max() > 0 else None)
+        links = join_links(get("n"), get("matches").astype(np.int64), get("prefix").astype(np.int64), [np.frombuffer(t, np.uint64) for t in texts.blobs(table.column("tokens"))], percent, side if side.max() > 0 else None)
         return pa.table([pa.array([int(name[x]) for x, _ in links], pa.int64()), pa.array([int(name[y]) for _, y in links], pa.int64())], names=["a", "b"])
 
     return run

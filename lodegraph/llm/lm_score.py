@@ -229,7 +229,7 @@ def _gather(table: pa.Table) -> pa.Table:
     A word that is not in the table has count 1 in a training row, its own, and
     count 0 in any other: words met once, and not held out, need no entry.
     """
-    load = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    load = lambda name, kind: [np.frombuffer(x, kind) for x in texts.blobs(table.column(name))]
     keys, counts, aside = _merge(list(zip(load("keys", np.uint64), load("counts", np.int64), load("aside", bool))))
     kind = table.column("kind")[0].as_py()
     distinct, total = int((counts > 0).sum()), int(counts.sum())

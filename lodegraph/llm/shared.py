@@ -71,8 +71,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: What a batch between the JVM and Python holds at most; texts are large, and
+#: both sides hold a batch or two a core.  A session's own settings stand.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    given = spark.sparkContext.getConf()
+    for key, value in BATCH.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
+
+
 def pick(frame: DataFrame, **names: str) -> DataFrame:
     """Only the named columns under our own names, so others can't clash."""
+    small_batches(frame.sparkSession)
     return frame.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
 
 

@@ -43,9 +43,9 @@ from . import shared, texts
 LENGTH = 50
 GRAM = 16
 #: Anchors a task holds before it deals them out.
-HELD_ANCHORS = 2_000_000
+HELD_ANCHORS = 800_000
 #: Window names a task holds before it deals them out.
-HELD_WINDOWS = 2_000_000
+HELD_WINDOWS = 800_000
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -362,6 +362,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
     spark = docs.sparkSession
     stage = shared.Stage(spark, "suffix")
     buckets = max(1, min(65536, shared.partitions(spark)))
+    shared.small_batches(spark)
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     frame = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), carried.alias("carried"))
     known = frame.where("doc_id is not null").withColumn("rid", F.monotonically_increasing_id())

@@ -122,6 +122,11 @@ def merged(keys: np.ndarray, value: np.ndarray, more: np.ndarray, more_value: np
     return np.insert(keys, at, more), np.insert(value, at, more_value)
 
 
+def blobs(column) -> list:
+    """Binary values as buffers, which are not copied."""
+    return [memoryview(b"") if v.as_buffer() is None else v.as_buffer() for v in column]
+
+
 def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True, none across a row's border."""
     if not len(mask):

@@ -193,6 +193,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0,
     """
     rows = sample.labelled(docs, labels, label, held_out, modulus, sample_rows, sample_bytes, doc_id, text)
     model = shared.ship(docs.sparkSession, fit(rows))
+    shared.small_batches(docs.sparkSession)
     frame = docs.drop("toxicity_score")
     schema = T.StructType([*frame.schema.fields, T.StructField("toxicity_score", T.DoubleType())])
 
