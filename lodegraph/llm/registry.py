@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_jaccard_join": jaccard.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
 }
