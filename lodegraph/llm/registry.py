@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op7_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op3_jaccard_join": jaccard.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
 }

@@ -388,3 +388,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(shared.documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS g FROM (SELECT doc_id, h, unnest(generate_series(0, n - 50)) AS k FROM b WHERE n >= 50)),
+f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g),
+c AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS prev FROM w JOIN f USING (g) WHERE first < doc_id),
+i AS (SELECT doc_id, k, sum(CASE WHEN prev IS NULL OR k > prev + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM c),
+r AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS z FROM i GROUP BY doc_id, run),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed FROM r GROUP BY doc_id),
+p AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM r
+      UNION ALL SELECT b.doc_id, coalesce(max(z), 0), max(n) FROM b LEFT JOIN r USING (doc_id) GROUP BY b.doc_id),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS h FROM p JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM b JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
