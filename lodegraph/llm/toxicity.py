@@ -26,7 +26,7 @@ BITS = 18
 SIZE = 8
 LEAST_GRAM, MOST_GRAM = 3, 5
 SAMPLE_ROWS = 12_000
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES = 32 << 20
 #: Updates; a small sample is gone through more often.
 STEPS = 800
 BATCH = 64
@@ -102,18 +102,24 @@ def fit(rows: list[tuple[str, int]], epochs: int | None = None, seed: int = 6) -
         buckets.append(bucket)
         sizes.append(size.astype(np.int32))
         parts.append((place_of[known_words.find(h)].astype(np.int32), np.diff(first)))
-    bucket, whole = np.concatenate(buckets), np.concatenate(sizes)
+    whole = np.concatenate(sizes)
     word = np.concatenate([w for w, _ in parts])
     first = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in parts]))])
-    del buckets, parts, known_words
     total = len(whole)
-    pairs = np.unique(np.repeat(np.arange(len(rows)), np.diff(first)) * total + word)  # distinct words of each text
-    met = np.bincount(bucket, weights=np.repeat(np.bincount(pairs % total, minlength=total).astype(np.float32), whole), minlength=1 << BITS)
-    del pairs
+    of = np.zeros(total, np.int64)  # how many texts have each word
+    for k in range(len(rows)):
+        of[np.unique(word[first[k] : first[k + 1]])] += 1
+    met, low = np.zeros(1 << BITS), 0
+    for bucket, size in zip(buckets, sizes):
+        met += np.bincount(bucket, weights=np.repeat(of[low : low + len(size)], size), minlength=1 << BITS)
+        low += len(size)
     known = met >= LEAST_MET
-    keep = known[bucket]
-    size = np.bincount(np.repeat(np.arange(total, dtype=np.int32), whole)[keep], minlength=total)
-    bucket = bucket[keep]
+    for k, (bucket, size) in enumerate(zip(buckets, sizes)):
+        keep = known[bucket]
+        sizes[k] = np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size)).astype(np.int32)
+        buckets[k] = bucket[keep]
+    bucket, size = np.concatenate(buckets), np.concatenate(sizes)
+    del buckets, sizes, parts, known_words
     begin = np.cumsum(size) - size
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (1 << BITS, SIZE)).astype(np.float32)
