@@ -357,8 +357,9 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
     named = least.join(part, least["class"] == part["node"]).groupBy("label").agg(F.min("first").alias("component"))
     linked = part.join(named, "label").select(F.col("node").alias("class"), "component")
-    final = least.join(linked, "class", "left").select("class", F.coalesce("component", "first").alias("component_id"))
-    # a class of very many copies is a hot key; adaptive execution splits it
+    # a class of very many copies is a hot key; of two written tables joined as
+    # they are, adaptive execution splits it
+    final = stage.write(least.join(linked, "class", "left").select("class", F.coalesce("component", "first").alias("component_id")))
     single = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "class")
     joined = rows.where("n > 0").join(final, "class").select("doc_id", "n", "component_id", "class")
     return joined.unionByName(single).withColumnRenamed("n", "n_shingles")

@@ -160,7 +160,8 @@ class Encoder:
                 self._empty()
                 new = np.arange(len(h))
             keys, where = np.unique(h[new], return_index=True)
-            words = [low[a:b].astype("<u4").tobytes().decode("utf-32-le") for a, b in zip(start[new][where], end[new][where])]
+            text = low.astype("<u4").tobytes().decode("utf-32-le")
+            words = [text[a:b] for a, b in zip(start[new][where].tolist(), end[new][where].tolist())]
             coded = [e.ids for k in range(0, len(words), 4096) for e in self.library.encode_batch(words[k : k + 4096], add_special_tokens=False)]
             size = np.array([len(c) for c in coded], np.int64)
             begin = len(self.ids) + np.cumsum(size) - size
@@ -172,13 +173,19 @@ class Encoder:
         return at
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """A worker's own; what it knows serves the worker's later tasks too."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
     frame = shared.pick(docs, doc_id=doc_id, text=text)
     schema = T.StructType([frame.schema["doc_id"]] + [T.StructField(k, T.IntegerType() if k == "piece" else T.LongType()) for k in ("piece", "start", "length", "ids_crc32")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary_path(vocabulary))
+        encoder = _encoder(vocabulary_path(vocabulary))
         for batch in batches:
             for part, data, off in texts.blocks(batch, "text"):
                 ids, edge = encoder(data, off)
