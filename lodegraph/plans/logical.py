@@ -113,12 +113,30 @@ def _directed(graph, table, var: str, direction: str) -> DataFrame:
     return out.withColumnsRenamed({"from": f"{var}.from", "to": f"{var}.to"})
 
 
+def _told_by_edges(plan: Plan, graph, rel) -> bool:
+    """Do the edges' ends tell all that is read of these nodes?  They do where no
+    edge dangles and nothing is read but a key that serves as the id."""
+    if not (isinstance(plan, NodeScan) and plan.columns is not None and graph.is_whole(rel.name)):
+        return False
+    read = {f"{plan.var}.{c}" for c in plan.columns}.union(*(f.uses for f in plan.filters))
+    return read <= ({f"{plan.var}.{plan.table.primary_key[0]}"} if graph.key_is_id(plan.table.name) else set())
+
+
+def _with_ends(frame: DataFrame, plan: NodeScan, var: str, end: str) -> DataFrame:
+    """The columns of nodes that the edges tell of, and the nodes' filters."""
+    frame = frame.withColumn(f"{var}._id", named(end))
+    if plan.columns or plan.filters:
+        frame = frame.withColumn(f"{var}.{plan.table.primary_key[0]}", named(end))
+    for f in plan.filters:
+        frame = frame.where(f.column())
+    return frame
+
+
 @dataclass(frozen=True)
 class Extend(Plan):
     """Follow one relationship from the input's source to the target's nodes.
 
-    A side that only the edges' end points are needed of is not joined, if the
-    table is known to have no dangling end.
+    A side of which the edges' end points tell all that is read is not joined.
     """
 
     input: Plan
@@ -140,15 +158,12 @@ class Extend(Plan):
         edge = {f"{self.rel_var}._id": GraphType.INT64} | {f"{self.rel_var}.{c.name}": c.type for c in self.rel.columns}
         return self.input.schema | edge | self.target.schema
 
-    def _bare(self, plan, graph) -> bool:
-        return isinstance(plan, NodeScan) and not plan.filters and plan.columns == () and graph.is_whole(self.rel.name)
-
     def frame(self, graph):
         r = self.rel_var
         out = _directed(graph, self.rel, r, self.direction)
         for plan, var, end in ((self.input, self.source_var, "from"), (self.target, self.target_var, "to")):
-            if self._bare(plan, graph):
-                out = out.withColumn(f"{var}._id", named(f"{r}.{end}"))
+            if _told_by_edges(plan, graph, self.rel):
+                out = _with_ends(out, plan, var, f"{r}.{end}")
             else:
                 nodes = plan.frame(graph)
                 out = nodes.join(out, nodes[f"`{var}._id`"] == out[f"`{r}.{end}`"])
@@ -198,15 +213,18 @@ class PathExpand(Plan):
         # the walk carries ids only; properties join at its two ends
         starts = None
         if not (isinstance(source, NodeScan) and not source.filters and graph.is_whole(self.rel.name)):
-            ids = replace(source, columns=()) if isinstance(source, NodeScan) else source
-            starts = ids.frame(graph).select(named(f"{self.source_var}._id").alias("n0")).distinct()
+            scan = isinstance(source, NodeScan)  # whose ids are unique
+            ids = (replace(source, columns=()) if scan else source).frame(graph).select(named(f"{self.source_var}._id").alias("n0"))
+            starts = ids if scan else ids.distinct()
         found = simple_paths(steps, self.low, high, starts, one_kind)
         if found is None:
             found = graph.spark.createDataFrame([], "first long, last long, length long")
         found = found.withColumnRenamed("length", f"{self.path_var}.length")
         for plan, var, end in ((source, self.source_var, "first"), (target, self.target_var, "last")):
-            if isinstance(plan, NodeScan) and plan.columns == () and (end == "first" or not plan.filters) and graph.is_whole(self.rel.name):
-                found = found.withColumn(f"{var}._id", F.col(end))
+            filtered = plan.filters if isinstance(plan, NodeScan) else ()
+            bare = replace(plan, filters=()) if filtered and end == "first" else plan  # the walk began at nodes that pass
+            if _told_by_edges(bare, graph, self.rel):
+                found = _with_ends(found, bare, var, end)
             else:
                 nodes = plan.frame(graph)
                 found = found.join(nodes, found[end] == nodes[f"`{var}._id`"])

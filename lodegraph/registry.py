@@ -156,7 +156,7 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared or tempfile.gettempdir()}/lodegraph-{uuid.uuid4().hex[:12]}"
 
 
-@built("create_and_match", """SELECT * FROM (VALUES ('Alice', 25.5, true), ('Bob', 30.0, false)) t("p.name", "p.score", "p.active")""")
+@built("create_and_match", """SELECT * FROM (VALUES ('Alice', CAST(25.5 AS DOUBLE), true), ('Bob', 30.0, false)) t("p.name", "p.score", "p.active")""")
 def create_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = GraphSession(spark)
     g.execute("CREATE NODE TABLE Person(name STRING, score FLOAT64, active BOOL, PRIMARY KEY(name))")

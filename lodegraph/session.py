@@ -36,6 +36,7 @@ class _Table:
         self.paths: list[str] = []
         self.created: list[tuple] = []
         self.whole = True  # no relationship without both its nodes
+        self.keyed = False  # the key serves as the id
         self._cached: tuple[int, DataFrame] | None = None
 
     def frame(self, spark: SparkSession) -> DataFrame:
@@ -95,8 +96,14 @@ class GraphSession:
         return self._tables[name].frame(self.spark)
 
     def is_whole(self, name: str) -> bool:
+        """Does every relationship of the table have both its nodes?"""
         return self._tables[name].whole
 
+    def key_is_id(self, name: str) -> bool:
+        """Is the primary key of every node its id?"""
+        table = self._tables[name]
+        return table.keyed and len(table.parts) == 1 and not table.created
+
     # schemas
     def _add(self, table: NodeTable | RelTable) -> None:
         self.catalog.add(table)
@@ -122,6 +129,7 @@ class GraphSession:
         self._add(table)
         if len(keys) == 1 and kinds[keys[0]] is GraphType.INT64:
             part = typed.select(F.col(f"`{keys[0]}`").alias("_id"), "*")
+            self._tables[name].keyed = True
         else:
             part = self._written(typed.select(F.monotonically_increasing_id().alias("_id"), "*"), name)
         self._tables[name].parts.append(part)

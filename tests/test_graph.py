@@ -283,3 +283,14 @@ def test_both_directions_of_optimizer_agree(spark):
 
         plain = Binder(g.catalog).query(parse(q)).frame(g)
         assert rows(plain) == rows(g.execute(q))
+
+
+def test_ends_told_by_edges_are_not_joined(spark):
+    g = graph_of(spark, [(1, 2), (2, 3), (3, 1)], 4)
+    q = "MATCH (a:N)-[:E]->(b:N {id: 3}) WHERE a.id > 1 RETURN a.id, b.id"
+    got = g.execute(q)
+    assert rows(got) == [(2, 3)] and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    path = g.execute("MATCH (a:N {id: 1})-[:E*1..2]->(b:N) WHERE b.id <> 2 RETURN a.id, b.id")
+    assert rows(path) == [(1, 3)]
+    g.execute("CREATE (:N {id: 9, name: 'new'})")
+    assert rows(g.execute(q)) == [(2, 3)]
