@@ -7,8 +7,8 @@ them after the training texts.  A context that training never met has no say:
 the mix ends at the deepest one that it met.
 
 Training gathers the counts of all byte grams and words, per task first, then
-by bucket.  A bucket holds all deeper contexts of some two-byte contexts, so it
-is weighted on its own; the two shallowest depths, at most 65,536 nodes, meet on
+by hash.  The distinct grams are then dealt by their two nearest bytes of context:
+a part holds all deeper contexts of its own, so it is weighted by itself; the two shallowest depths, at most 65,536 nodes, meet on
 the driver.  Every distinct gram of the corpus gets its code length once, and
 scoring a text is a sum of look-ups.
 
@@ -37,6 +37,8 @@ EDGE = 0xFF
 #: Grams or words of one look-up table; larger models are scored in passes, each
 #: over the grams or the words of some buckets.
 TABLE_ENTRIES = 4_000_000
+#: Parts that the contexts of two bytes are dealt to.
+SUBTREES = 256
 #: Distinct grams or words a counting task holds before it hands them on.
 HELD_ENTRIES = 2_500_000
 #: Look-ups take many times a text's bytes, so blocks are smaller here.
@@ -175,17 +177,21 @@ def _merge(parts: list[tuple]) -> tuple:
     return keys, counts, aside
 
 
+def _dealt(spread: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The places of each bucket's items, by evenly spread hashes of them."""
+    where = (spread >> np.uint64(33)).astype(np.int64) % buckets
+    order = np.argsort(where, kind="stable")
+    edge = np.searchsorted(where[order], np.arange(buckets + 1))
+    return [(int(b), order[edge[b] : edge[b + 1]]) for b in np.flatnonzero(np.diff(edge))]
+
+
 _COUNTED = "kind int, bucket int, keys binary, counts binary, aside binary"
 
 
 def _count(buckets: int):
     def hand_on(kind: int, parts: list[tuple]):
         keys, counts, aside = _merge(parts)
-        spread = texts.mix(keys >> np.uint64(8 * (DEPTH - 1))) if kind == 0 else keys
-        where = (spread >> np.uint64(33)).astype(np.int64) % buckets
-        order = np.argsort(where, kind="stable")
-        edge = np.searchsorted(where[order], np.arange(buckets + 1))
-        rows = [(b, order[edge[b] : edge[b + 1]]) for b in range(buckets) if edge[b] < edge[b + 1]]
+        rows = _dealt(texts.mix(keys) if kind == 0 else keys, buckets)
         for low in range(0, len(rows), 64):
             part = rows[low : low + 64]
             yield pa.RecordBatch.from_arrays(
@@ -223,26 +229,43 @@ def _count(buckets: int):
     return run
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """One bucket's grams, or the words of it that scoring has to look up.
+def _gather(subtrees: int):
+    """One bucket's grams, dealt on by their two nearest bytes of context, or the
+    words of it that scoring has to look up.
 
     A word that is not in the table has count 1 in a training row, its own, and
     count 0 in any other: words met once, and not held out, need no entry.
     """
-    load = lambda name, kind: [np.frombuffer(x, kind) for x in texts.blobs(table.column(name))]
-    keys, counts, aside = _merge(list(zip(load("keys", np.uint64), load("counts", np.int64), load("aside", bool))))
-    kind = table.column("kind")[0].as_py()
-    distinct, total = int((counts > 0).sum()), int(counts.sum())
-    if kind:
-        keep = (counts > 1) | ((counts == 1) & aside)
-        keys, counts = keys[keep], counts[keep]
-    row = [[kind], [table.column("bucket")[0].as_py()], [keys.tobytes()], [counts.tobytes()], [len(keys)], [distinct], [total]]
-    return pa.table([pa.array(row[0], pa.int32()), pa.array(row[1], pa.int32()), pa.array(row[2], pa.binary()), pa.array(row[3], pa.binary()), *(pa.array(x, pa.int64()) for x in row[4:])], names=["kind", "bucket", "keys", "counts", "n", "seen", "total"])
+
+    def run(table: pa.Table) -> pa.Table:
+        load = lambda name, kind: [np.frombuffer(x, kind) for x in texts.blobs(table.column(name))]
+        keys, counts, aside = _merge(list(zip(load("keys", np.uint64), load("counts", np.int64), load("aside", bool))))
+        kind = table.column("kind")[0].as_py()
+        if kind:
+            distinct, total = int((counts > 0).sum()), int(counts.sum())
+            keep = (counts > 1) | ((counts == 1) & aside)
+            keys, counts = keys[keep], counts[keep]
+            rows = [(kind, table.column("bucket")[0].as_py(), keys.tobytes(), counts.tobytes(), len(keys), distinct, total)]
+        else:
+            near = texts.mix(keys >> np.uint64(8 * (DEPTH - 1)))
+            rows = [(kind, b, keys[at].tobytes(), counts[at].tobytes(), len(at), 0, 0) for b, at in _dealt(near, subtrees)]
+        columns = list(zip(*rows))
+        kinds = [pa.int32()] * 2 + [pa.binary()] * 2 + [pa.int64()] * 3
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["kind", "bucket", "keys", "counts", "n", "seen", "total"])
+
+    return run
 
 
 _GATHERED = "kind int, bucket int, keys binary, counts binary, n long, seen long, total long"
 
 
+def _subtree(table: pa.Table) -> pa.Table:
+    """All grams of some two-byte contexts together."""
+    join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in texts.blobs(table.column(name))])
+    keys, counts = join("keys", np.uint64), join("counts", np.int64)
+    return pa.table([pa.array([table.column("bucket")[0].as_py()], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["bucket", "keys", "counts"])
+
+
 def _loaded(batches):
     for batch in batches:
         for keys, counts, bucket in zip(batch.column("keys"), batch.column("counts"), batch.column("bucket")):
@@ -296,11 +319,13 @@ def score(docs: DataFrame, held_out: int | None = 1, modulus: int = 5, doc_id: s
     frame = shared.pick(docs, doc_id=doc_id, text=text).withColumn("train", train).withColumn("place", F.xxhash64("text"))
     buckets = max(1, min(4096, 4 * shared.partitions(spark)))
     counted = frame.select("train", "text").mapInArrow(_count(buckets), _COUNTED)
-    gathered = stage.write(counted.groupBy("kind", "bucket").applyInArrow(_gather, _GATHERED))
+    subtrees = min(buckets, SUBTREES)
+    gathered = stage.write(counted.groupBy("kind", "bucket").applyInArrow(_gather(subtrees), _GATHERED))
     sums = {r["kind"]: r for r in gathered.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("total").alias("total")).collect()}
     ends = frame.where("train").count()
     seen, total = (int(sums[1]["seen"]), int(sums[1]["total"])) if 1 in sums else (0, 0)
-    grams_ = gathered.where("kind = 0").repartition(buckets, "bucket")
+    gathered_grams = gathered.where("kind = 0").select("bucket", "keys", "counts")
+    grams_ = stage.write(gathered_grams.groupBy("bucket").applyInArrow(_subtree, "bucket int, keys binary, counts binary")).repartition(subtrees, "bucket")
     tops = grams_.mapInArrow(_tops, "node int, zeros double, ones double, weighted double").groupBy("node").agg(*(F.sum(k).alias(k) for k in ("zeros", "ones", "weighted"))).toPandas()
     top = shared.ship(spark, Top(tops["node"].to_numpy(), *(tops[k].to_numpy(float) for k in ("zeros", "ones", "weighted"))))
     codes = stage.write(grams_.mapInArrow(_coder(top), "bucket int, keys binary, value binary"))
