@@ -198,7 +198,7 @@ def _count(buckets: int):
                 [
                     pa.array([kind] * len(part), pa.int32()),
                     pa.array([b for b, _ in part], pa.int32()),
-                    pa.array([keys[o].tobytes() for _, o in part], pa.binary()),
+                    pa.array([np.diff(keys[o], prepend=np.uint64(0)).tobytes() for _, o in part], pa.binary()),  # steps, which compress
                     pa.array([counts[o].tobytes() for _, o in part], pa.binary()),
                     pa.array([aside[o].tobytes() for _, o in part], pa.binary()),
                 ],
@@ -239,7 +239,8 @@ def _gather(subtrees: int):
 
     def run(table: pa.Table) -> pa.Table:
         load = lambda name, kind: [np.frombuffer(x, kind) for x in texts.blobs(table.column(name))]
-        keys, counts, aside = _merge(list(zip(load("keys", np.uint64), load("counts", np.int64), load("aside", bool))))
+        steps = load("keys", np.uint64)
+        keys, counts, aside = _merge(list(zip(map(np.cumsum, steps), load("counts", np.int64), load("aside", bool))))
         kind = table.column("kind")[0].as_py()
         if kind:
             distinct, total = int((counts > 0).sum()), int(counts.sum())
