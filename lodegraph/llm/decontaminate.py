@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 from . import shared, texts
 
 WINDOW = 10
-#: Bytes of item texts that one automaton may hold; larger sets take several
-#: passes, so neither the driver nor a worker holds more than this at once.
-AUTOMATON_BYTES = 24 << 20
+#: Bytes of item texts in one automaton, whose nodes take some 600 bytes for each
+#: of them; larger sets take several automata and as many scans of a text.
+AUTOMATON_BYTES = 512 << 10
 
 #: Bytes of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z is lower-cased.
 IS_WORD = np.zeros(256, bool)
@@ -34,8 +34,6 @@ IS_WORD[48:58] = True
 IS_WORD[97:123] = True
 IS_WORD[128:] = True
 
-_AUTOMATA: dict[str, tuple] = {}
-
 
 def normalised(data: np.ndarray, off: np.ndarray):
     """Words of all rows, each followed by a space, rows begun by one more.
@@ -70,8 +68,9 @@ def windows(text: str | None, n: int = WINDOW) -> list[tuple[str, int]]:
 def _automaton(items: list[tuple[int, str]], n: int):
     import ahocorasick
 
+    held = texts.hold("automata", dict)
     key = hashlib.sha256(repr((n, items)).encode()).hexdigest()
-    if key not in _AUTOMATA:
+    if key not in held:
         patterns: dict[str, tuple[int, set]] = {}
         for item, text in items:
             for pattern, words in windows(text, n):
@@ -81,9 +80,8 @@ def _automaton(items: list[tuple[int, str]], n: int):
             built.add_word(pattern, (words, tuple(sorted(where))))
         if patterns:
             built.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = (built, bool(patterns))
-    return _AUTOMATA[key]
+        held[key] = built, bool(patterns)
+    return held[key]
 
 
 def scan(data: np.ndarray, off: np.ndarray, items: list[tuple[int, str]], n: int = WINDOW):

@@ -122,6 +122,7 @@ def _deal(buckets: int, size: int):
             yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["bucket", "low", "high", "own", "classes", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts.hold("jaccard")
         seen: set[int] = set()  # copies within the task are dealt once
         held, count = [], 0
         for batch in batches:
@@ -153,23 +154,32 @@ def _share(homes: int):
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        tokens, owners, sizes = [], [], []
+        texts.hold("jaccard")
+        parts = []
         for r in table.to_batches():
             for low, high, own, classes, size in zip(*(texts.blobs(r.column(k)) for k in ("low", "high", "own", "classes", "sizes"))):
                 name = np.frombuffer(classes, np.int64)
                 at = np.frombuffer(own, np.uint16 if len(name) <= 65536 else np.uint32)
-                tokens.append(_unsix(low, high))
-                owners.append(name[at])
-                sizes.append(np.frombuffer(size, np.uint32)[at])
-        token, owner, size = np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes)
-        del tokens, owners, sizes
+                parts.append((low, high, name, at, np.frombuffer(size, np.uint32)))
+        # most shingles are a class's own: they go before owners are looked up
+        token = np.concatenate([_unsix(low, high) for low, high, *_ in parts])
         order = np.argsort(token, kind="stable")
         ranked = token[order]
         twin = np.zeros(len(ranked), bool)
         twin[1:] = ranked[1:] == ranked[:-1]
         twin[:-1] |= twin[1:]
-        order = order[twin]
-        token, owner, size = token[order], owner[order], size[order]
+        del ranked
+        mine = np.zeros(len(token), bool)
+        mine[order[twin]] = True
+        del order, twin
+        token, owners, sizes, low = token[mine], [], [], 0
+        for *_, name, at, size in parts:
+            own = at[mine[low : low + len(at)]]
+            owners.append(name[own])
+            sizes.append(size[own])
+            low += len(at)
+        owner, size = np.concatenate(owners), np.concatenate(sizes)
+        del owners, sizes, parts, mine
         order = np.lexsort((owner, token))
         token, owner, size = token[order], owner[order], size[order]
         keep = np.ones(len(token), bool)
@@ -347,7 +357,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     schema = f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, n long, class long"
     rows = stage.write(frame.mapInArrow(_classes(size), schema))
     dealt = frame.select("text").mapInArrow(_deal(buckets, size), _DEALT)
-    common = dealt.groupBy("bucket").applyInArrow(_share(buckets), _SHARED)
+    common = dealt.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_share(buckets), _SHARED)
     survivors = stage.write(common.groupBy("home").applyInArrow(_prefixes(percent, most), _PREFIXED))
     met = stage.write(survivors.mapInArrow(_prefix_tokens, "token long, class long"))
     hubs = met.groupBy("token").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")

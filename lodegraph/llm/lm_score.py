@@ -206,7 +206,7 @@ def _count(buckets: int):
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _INDEXES.clear()  # of an earlier run
+        texts.hold("counting")
         held: list[list[tuple]] = [[], []]
         for batch in batches:
             for piece, data, off in texts.blocks(batch, "text", COUNT_BYTES):
@@ -360,18 +360,13 @@ def _scored_schema(frame: DataFrame) -> T.StructType:
     return T.StructType([frame.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *longs, *(T.StructField(k, T.DoubleType()) for k in ("base_score", "score")), T.StructField("place", T.LongType())])
 
 
-_INDEXES: dict[str, tuple] = {}
-
-
 def _scorer(shipped, facts: dict, passes: int, turn: int, buckets: int):
     """Sums over the grams and words of this turn's buckets."""
     label = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if label not in _INDEXES:  # once a worker, not once a task
-            _INDEXES.clear()
-            _INDEXES[label] = [t and (texts.HashIndex(t[0]), t[1]) for t in shipped.value]
-        gram_table, word_table = _INDEXES[label]
+        # once a worker, not once a task
+        gram_table, word_table = texts.hold(label, lambda: [t and (texts.HashIndex(t[0]), t[1]) for t in shipped.value])
         size, kinds, ends = facts["tokens"], facts["vocabulary"], facts["ends"]
         cost = lambda c: np.log10((c + 0.5) / (size + 0.5 * (kinds + 1)))
         for batch in batches:

@@ -173,19 +173,14 @@ class Encoder:
         return at
 
 
-@cache
-def _encoder(path: str) -> Encoder:
-    """A worker's own; what it knows serves the worker's later tasks too."""
-    return Encoder(path)
-
-
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
     frame = shared.pick(docs, doc_id=doc_id, text=text)
     schema = T.StructType([frame.schema["doc_id"]] + [T.StructField(k, T.IntegerType() if k == "piece" else T.LongType()) for k in ("piece", "start", "length", "ids_crc32")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary_path(vocabulary))
+        path = vocabulary_path(vocabulary)
+        encoder = texts.hold(("ids", path), lambda: Encoder(path))  # what it knows serves later tasks
         for batch in batches:
             for part, data, off in texts.blocks(batch, "text"):
                 ids, edge = encoder(data, off)

@@ -144,6 +144,7 @@ def _deal_anchors(buckets: int, length: int, gram: int):
             yield _blob(_ANCHOR_NAMES, int(where[a]), *pairs, _small(number[part]), rid[part][own].tobytes(), doc[part][own].tobytes(), _small(count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts.hold("suffix")
         held, total = [], 0
         for batch in batches:
             for piece, data, off in texts.blocks(batch, "text"):
@@ -275,6 +276,7 @@ def _deal_windows(buckets: int, length: int, gram: int):
             yield _blob(_WINDOW_NAMES, int(where[part[0]]), *_words(name[part]), *pairs, start[part].astype(np.uint32).tobytes(), _small(count[part]), rid[part].tobytes(), doc[part].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts.hold("suffix")
         held, total = [], 0
         for batch in batches:
             for piece, data, off in texts.blocks(batch, "text"):

@@ -116,6 +116,20 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
+_HELD: dict = {}
+
+
+def hold(key, make=None):
+    """A worker's one lasting object: another key's goes first.  Operators that
+    keep nothing call it too, so that what others kept is freed."""
+    if key not in _HELD:
+        _HELD.clear()
+        release()
+        if make is not None:
+            _HELD[key] = make()
+    return _HELD.get(key)
+
+
 def merged(keys: np.ndarray, value: np.ndarray, more: np.ndarray, more_value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and their values with others, sorted and not among them."""
     at = np.searchsorted(keys, more)

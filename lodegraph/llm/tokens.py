@@ -283,12 +283,6 @@ class Counter:
         return out
 
 
-@cache
-def _counter(path: str) -> Counter:
-    """A worker's own; what it knows serves the worker's later tasks too."""
-    return Counter(path)
-
-
 def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens.
 
@@ -299,7 +293,8 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
     schema = T.StructType([T.StructField("doc_id", frame.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(vocabulary_path(vocabulary))
+        path = vocabulary_path(vocabulary)
+        counter = texts.hold(("counts", path), lambda: Counter(path))  # what it knows serves later tasks
         for batch in batches:
             for piece, data, off in texts.blocks(batch, "text", texts.STORE_BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(off)), pa.array(counter(data, off))], names=["doc_id", "n_bytes", "n_tokens"])

@@ -204,6 +204,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0,
     schema = T.StructType([*frame.schema.fields, T.StructField("toxicity_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts.hold("toxicity")
         scorer = Scorer(*model.value)
         for batch in batches:
             for piece, data, off in texts.blocks(batch, text, texts.STORE_BLOCK_BYTES):
