@@ -26,7 +26,7 @@ BITS = 18
 SIZE = 8
 LEAST_GRAM, MOST_GRAM = 3, 5
 SAMPLE_ROWS = 12_000
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 16 << 20
 #: Updates; a small sample is gone through more often.
 STEPS = 800
 BATCH = 64
@@ -198,7 +198,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0,
     A column of that name that exists already is replaced.
     """
     rows = sample.labelled(docs, labels, label, held_out, modulus, sample_rows, sample_bytes, doc_id, text)
-    model = shared.ship(docs.sparkSession, fit(rows))
+    fitted = fit(rows)
+    del rows
+    texts.release()
+    model = shared.ship(docs.sparkSession, fitted)
     shared.small_batches(docs.sparkSession)
     frame = docs.drop("toxicity_score")
     schema = T.StructType([*frame.schema.fields, T.StructField("toxicity_score", T.DoubleType())])
