@@ -326,7 +326,7 @@ def _rank_windows(buckets: int):
     return run
 
 
-def _cut(length: int, gram: int, schema_names):
+def _cut(length: int, gram: int, decode: bool, schema_names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, data, off in texts.blocks(batch, "text"):
@@ -346,20 +346,22 @@ def _cut(length: int, gram: int, schema_names):
                 spans = [[{"start": int(a - off[r]), "end": int(b - off[r])} for a, b in zip(start[edge[r] : edge[r + 1]], end[edge[r] : edge[r + 1]])] for r in range(len(off) - 1)]
                 rows = [kept[left[r] : left[r + 1]].tobytes() for r in range(len(off) - 1)]
                 size = np.diff(off)
+                cleaned = [k.decode("utf-8", "ignore") if decode and len(k) < n else None for k, n in zip(rows, size.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("carried"), pa.array(size), pa.array(size - np.diff(left)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(rows, pa.binary())],
+                    [piece.column("doc_id"), piece.column("carried"), pa.array(size), pa.array(size - np.diff(left)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.nulls(len(rows), pa.binary()) if decode else pa.array(rows, pa.binary()), pa.array(cleaned, pa.string())],
                     names=schema_names,
                 )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), decode: bool = False) -> DataFrame:
     """One row per document: doc_id, carried, n_bytes, n_removed, spans, kept.
 
     ``spans`` are the maximal runs of removed bytes and ``kept`` the bytes that
     remain, which may begin or end within a character; ``carried`` is a struct
-    of the columns named by `carry`.
+    of the columns named by `carry`.  With `decode`, ``cleaned`` takes the place
+    of ``kept``: the remaining characters of texts that lost any, else null.
     """
     spark = docs.sparkSession
     stage = shared.Stage(spark, "suffix")
@@ -380,11 +382,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
     told = found.where("octet_length(done) > 0").select("rid", "done").join(starts, "rid", "full")
     joined = dealt.join(told, "rid", "left").select("doc_id", "carried", "text", "done", "starts")
     spans = "array<struct<start:bigint,end:bigint>>"
-    schema = f"doc_id long, carried {frame.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, spans {spans}, kept binary"
-    out = joined.mapInArrow(_cut(length, gram, ["doc_id", "carried", "n_bytes", "n_removed", "spans", "kept"]), schema)
+    schema = f"doc_id long, carried {frame.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, spans {spans}, kept binary, cleaned string"
+    out = joined.mapInArrow(_cut(length, gram, decode, ["doc_id", "carried", "n_bytes", "n_removed", "spans", "kept", "cleaned"]), schema)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    unknown = frame.where("doc_id is null").select("doc_id", "carried", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(spans).alias("spans"), F.coalesce("text", F.lit("")).cast("binary").alias("kept"))
-    return out.unionByName(unknown)
+    unknown = frame.where("doc_id is null").select("doc_id", "carried", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(spans).alias("spans"), F.coalesce("text", F.lit("")).cast("binary").alias("kept"), F.lit(None).cast("string").alias("cleaned"))
+    return out.unionByName(unknown).drop("kept" if decode else "cleaned")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
