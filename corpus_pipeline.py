@@ -17,9 +17,6 @@ Null and empty texts pass every filter; rows of a null id are never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,18 +36,10 @@ def keep_one_of_linked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(docs, carry=("text", "lang", "source", "n_chars"))
+    found = suffix_dedup.remove_repeats(docs, carry=("text", "lang", "source", "n_chars"), decode=True)
     left = found.where("n_removed < n_bytes or n_bytes = 0")
-    whole = left.select("doc_id", "carried.text", "carried.lang", "carried.source", "carried.n_chars", F.when(F.col("n_removed") > 0, F.col("kept")).alias("kept"))
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [None if k is None else k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(kept, pa.string())], names=[*COLUMNS, "cut"])
-
-    cut = whole.mapInArrow(decoded, f"{', '.join(f'{c} {whole.schema[c].dataType.simpleString()}' for c in COLUMNS)}, cut string")
-    changed = F.col("cut").isNotNull()
-    return cut.select("doc_id", F.coalesce("cut", "text").alias("text"), "lang", "source", F.when(changed, F.length("cut").cast(whole.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
+    count = F.length("cleaned").cast(left.schema["carried"].dataType["n_chars"].dataType)
+    return left.select("doc_id", F.coalesce("cleaned", "carried.text").alias("text"), "carried.lang", "carried.source", F.coalesce(count, "carried.n_chars").alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
