@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
 
-def labelled(docs: DataFrame, labels: DataFrame, value: str, held_out: int | None, modulus: int, limit: int, limit_bytes: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """(text, label) of at most `limit` rows and about `limit_bytes` of text.
+def picked(docs: DataFrame, labels: DataFrame, value: str, held_out: int | None, modulus: int, limit: int, limit_bytes: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame | None:
+    """place, text, label of at most `limit` rows and about `limit_bytes` of text.
 
     Rows whose crc32(id) mod `modulus` is `held_out` are left aside.  The ids
     come in the order of a hash, so the same tables give the same sample; null
@@ -22,10 +23,10 @@ def labelled(docs: DataFrame, labels: DataFrame, value: str, held_out: int | Non
     if held_out is not None:
         wanted = wanted.where(shared.remainder("doc_id", modulus) != held_out)
     wanted = wanted.groupBy("doc_id").agg(F.min("label").alias("label"))
-    picked = wanted.select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("place")).orderBy("place").limit(limit).collect()
-    if not picked:
-        return []
-    chosen = spark.createDataFrame(picked, "doc_id long, label int, place long")
+    first = wanted.select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("place")).orderBy("place").limit(limit).collect()
+    if not first:
+        return None
+    chosen = spark.createDataFrame(first, "doc_id long, label int, place long")
     texts = shared.pick(docs, doc_id=doc_id, text=text).where("text is not null").join(F.broadcast(chosen), "doc_id")
     sizes = texts.select("place", F.octet_length("text").alias("n")).orderBy("place").limit(2 * limit).collect()
     total, last = 0, None
@@ -34,7 +35,16 @@ def labelled(docs: DataFrame, labels: DataFrame, value: str, held_out: int | Non
         if last is not None and total > limit_bytes:
             break
         last = row["place"]
-    if last is None:
-        return []
-    rows = texts.where(F.col("place") <= last).select("place", "text", "label").toPandas().sort_values(["place", "text"], kind="stable").drop_duplicates("place")
+    return None if last is None else texts.where(F.col("place") <= last).select("place", "text", "label")
+
+
+def ordered(rows: pd.DataFrame) -> list[tuple[str, int]]:
+    """(text, label) of `picked` rows in the order of place, an id once."""
+    rows = rows.sort_values(["place", "text"], kind="stable").drop_duplicates("place")
     return list(zip(rows["text"].tolist(), rows["label"].tolist()))
+
+
+def labelled(*args, **named) -> list[tuple[str, int]]:
+    """(text, label) of the rows that `picked` gives, on the driver."""
+    rows = picked(*args, **named)
+    return [] if rows is None else ordered(rows.toPandas())

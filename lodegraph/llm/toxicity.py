@@ -3,7 +3,8 @@
 A word is its own vector and those of its character n-grams; a text is the
 average over its words, and a linear softmax on that average gives the score.
 Embeddings and softmax are trained jointly in numpy on a bounded sample of
-labelled rows.  A misspelt word still shares most of its n-grams' vectors.
+labelled rows, by one task of an executor, so that the driver holds the model
+and no texts.  A misspelt word still shares most of its n-grams' vectors.
 
 Defined results: null and wordless texts get the score of the bias alone;
 without labelled rows every score is the prior 0.5; repeated rows are scored
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ BITS = 18
 SIZE = 8
 LEAST_GRAM, MOST_GRAM = 3, 5
 SAMPLE_ROWS = 12_000
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES = 32 << 20
 #: Updates; a small sample is gone through more often.
 STEPS = 800
 BATCH = 64
@@ -190,6 +192,26 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
 
 
+def learn(rows: DataFrame | None) -> tuple[np.ndarray, float]:
+    """`fit` of a sample's rows in one task; only the model comes to the driver."""
+    if rows is None:
+        return fit([])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts.hold("toxicity_fit")
+        found = [batch.to_pandas() for batch in batches]
+        if found:
+            sampled = sample.ordered(pd.concat(found))
+            found.clear()
+            share, bias = fit(sampled)
+            del sampled
+            texts.release()
+            yield pa.RecordBatch.from_arrays([pa.array([share.tobytes()], pa.binary()), pa.array([bias])], names=["share", "bias"])
+
+    got = rows.repartition(1).mapInArrow(run, "share binary, bias double").first()
+    return (np.frombuffer(bytes(got["share"])), got["bias"]) if got else fit([])
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, modulus: int = 5, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """The documents' own columns with `toxicity_score` appended.
 
@@ -197,11 +219,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0,
     text, none of the remainder `held_out`; the model is 2 MB whatever the input.
     A column of that name that exists already is replaced.
     """
-    rows = sample.labelled(docs, labels, label, held_out, modulus, sample_rows, sample_bytes, doc_id, text)
-    fitted = fit(rows)
-    del rows
-    texts.release()
-    model = shared.ship(docs.sparkSession, fitted)
+    model = shared.ship(docs.sparkSession, learn(sample.picked(docs, labels, label, held_out, modulus, sample_rows, sample_bytes, doc_id, text)))
     shared.small_batches(docs.sparkSession)
     frame = docs.drop("toxicity_score")
     schema = T.StructType([*frame.schema.fields, T.StructField("toxicity_score", T.DoubleType())])

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from lodegraph.llm import decontaminate, fingerprint, jaccard, language, lm_score, packing, quality, registry, suffix_dedup, texts, tokens, toxicity
+from lodegraph.llm import decontaminate, fingerprint, jaccard, language, lm_score, packing, quality, registry, sample, suffix_dedup, texts, tokens, toxicity
 
 from . import brute
 
@@ -253,6 +253,21 @@ def test_toxicity_held_out(spark):
     assert area(got.toxic.to_numpy(), got.score.to_numpy()) > 0.75
 
 
+def test_toxicity_learns_from_32_mb(spark):
+    docs = spark.range(12).selectExpr("id as doc_id", "repeat('word ', 400000) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    rows = sample.picked(docs, labels, "toxic", None, 5, toxicity.SAMPLE_ROWS, toxicity.SAMPLE_BYTES)
+    assert rows.count() == 12  # 24 MB
+
+
+def test_toxicity_is_fitted_on_an_executor(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    bounds = (docs, labels, "toxic", 0, 5, 12_000, 32 << 20)
+    share, bias = toxicity.learn(sample.picked(*bounds))
+    want, want_bias = toxicity.fit(sample.labelled(*bounds))
+    assert np.allclose(share, want) and np.isclose(bias, want_bias)
+
+
 def test_misspellings_share_grams():
     rng = random.Random(7)
     plain = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
