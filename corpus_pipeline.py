@@ -3,7 +3,8 @@
 Each stage works on all that its predecessor kept and returns the columns of
 documents, the last one the packed pieces:
 
-1.  toxicity: documents scored 0.5 or more go.
+1.  toxicity: documents scored 0.5 or more go; all stay if no labelled row is
+    there to learn from.
 2.  jaccard_join: of documents that word shingles link, directly or in a chain,
     the one of the smallest id stays.
 3.  suffix_dedup: passages of 50 bytes or more that a document of smaller id has
@@ -12,7 +13,7 @@ documents, the last one the packed pieces:
 4.  decontamination: documents that hold a window of a benchmark item go.
 5.  packing: what is left is packed into sequences.
 
-Null and empty texts pass every filter; rows of a null id are never cut.
+Null and empty texts, and in the first stage wordless ones, pass every filter; rows of a null id are never cut.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score_toxicity(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("toxicity_score < 0.5").select(*COLUMNS)
+    scored = toxicity.score_toxicity(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"), judged="judged")
+    return scored.where("toxicity_score < 0.5 or not judged").select(*COLUMNS)
 
 
 def keep_one_of_linked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,14 +188,16 @@ class Scorer:
             at = self.index.find(h)
         total = np.zeros(len(h) + 1)
         np.cumsum(self.value[at], out=total[1:])
+        self.wordless = np.diff(first) == 0
         raw = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, np.diff(first)) + self.bias
         return 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
 
 
-def learn(rows: DataFrame | None) -> tuple[np.ndarray, float]:
-    """`fit` of a sample's rows in one task; only the model comes to the driver."""
+def learn(rows: DataFrame | None) -> tuple[np.ndarray, float] | None:
+    """`fit` of a sample's rows in one task; only the model comes to the driver.
+    None if there are no rows."""
     if rows is None:
-        return fit([])
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts.hold("toxicity_fit")
@@ -209,27 +211,33 @@ def learn(rows: DataFrame | None) -> tuple[np.ndarray, float]:
             yield pa.RecordBatch.from_arrays([pa.array([share.tobytes()], pa.binary()), pa.array([bias])], names=["share", "bias"])
 
     got = rows.repartition(1).mapInArrow(run, "share binary, bias double").first()
-    return (np.frombuffer(bytes(got["share"])), got["bias"]) if got else fit([])
+    return (np.frombuffer(bytes(got["share"])), got["bias"]) if got else None
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, modulus: int = 5, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """The documents' own columns with `toxicity_score` appended.
+def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, modulus: int = 5, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", judged: str | None = None) -> DataFrame:
+    """The documents' own columns with `toxicity_score` appended, and, under the
+    name `judged`, whether a model and a word of the text stand behind it.
 
     Learns from at most `sample_rows` labelled rows with about `sample_bytes` of
     text, none of the remainder `held_out`; the model is 2 MB whatever the input.
     A column of that name that exists already is replaced.
     """
-    model = shared.ship(docs.sparkSession, learn(sample.picked(docs, labels, label, held_out, modulus, sample_rows, sample_bytes, doc_id, text)))
+    fitted = learn(sample.picked(docs, labels, label, held_out, modulus, sample_rows, sample_bytes, doc_id, text))
+    learned = fitted is not None
+    model = shared.ship(docs.sparkSession, fitted if learned else fit([]))
     shared.small_batches(docs.sparkSession)
-    frame = docs.drop("toxicity_score")
-    schema = T.StructType([*frame.schema.fields, T.StructField("toxicity_score", T.DoubleType())])
+    frame = docs.drop("toxicity_score", *([judged] if judged else []))
+    schema = T.StructType([*frame.schema.fields, T.StructField("toxicity_score", T.DoubleType()), *([T.StructField(judged, T.BooleanType())] if judged else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts.hold("toxicity")
         scorer = Scorer(*model.value)
         for batch in batches:
             for piece, data, off in texts.blocks(batch, text, texts.STORE_BLOCK_BYTES):
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scorer(data, off))], names=[*piece.schema.names, "toxicity_score"])
+                found = [pa.array(scorer(data, off))]
+                if judged:
+                    found.append(pa.array(~scorer.wordless & learned))
+                yield pa.RecordBatch.from_arrays([*piece.columns, *found], names=schema.names)
 
     return frame.mapInArrow(run, schema)
 

@@ -58,6 +58,16 @@ def test_run(spark, sf, outputs):
     assert pipeline.run(spark, sf).count() == len(outputs[4])
 
 
+@pytest.mark.parametrize("toxic", [None, [1, 1, 0]])
+def test_what_toxicity_cannot_judge_stays(spark, edge, tmp_path, toxic):
+    """No labels at all; more toxic labels than clean ones, a bias above 0."""
+    docs = edge.selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as long) as n_chars")
+    rows = [] if toxic is None else list(zip((1, 4, 8), (1, 1, 1), toxic))
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = [r["doc_id"] for r in pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()]
+    assert {2, 3, 5, 9} <= set(kept) and (toxic is not None or len(kept) == docs.count())
+
+
 def test_null_and_empty_texts_pass(spark, edge, sf):
     docs = edge.selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as long) as n_chars", "score")
     for _, step in pipeline.STAGES[:-1]:
