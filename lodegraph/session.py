@@ -314,19 +314,21 @@ class GraphSession:
             raw = csv.numbered(raw).where(F.col("__row") >= config.skip_rows).drop("__row")
         return raw, {w: F.col(f"f{k}") for w, k in places.items()}
 
-    def _settle(self, staged: DataFrame, config: CsvImportConfig, began: float, progress) -> tuple[DataFrame, int, int, list[str]]:
-        """Good rows, and the account of bad ones; without ignore_errors any ends it."""
+    def _settle(self, staged: DataFrame, config: CsvImportConfig, began: float, progress) -> tuple[DataFrame, int, int, list[str], DataFrame | None]:
+        """Good rows, and the account of bad ones: the first reasons, and all as a
+        table; without ignore_errors any ends it."""
         total, failed = staged.agg(F.count(F.lit(1)).alias("n"), F.count("__error").alias("bad")).first()
         reasons: list[str] = []
+        bad = None
         if failed:
             place = csv.numbered(staged.select(csv.ORDINAL, "__error")) if not config.skip_rows else staged.withColumn("__row", F.col(csv.ORDINAL))
-            rows = place.where("__error is not null").orderBy("__row").limit(100).collect()
-            reasons = [f"Row {r['__row'] + 1 + config.has_header}, {r['__error']}" for r in rows]
+            bad = place.where("__error is not null").select((F.col("__row") + 1 + int(config.has_header)).alias("row"), F.col("__error").alias("reason"))
+            reasons = [f"Row {r['row']}, {r['reason']}" for r in bad.orderBy("row").limit(csv.PREVIEW).collect()]
             if not config.ignore_errors:
                 raise ImportFailed(reasons[0])
         if progress:
             progress(ImportProgress(total, failed, 0, 0, time.time() - began))
-        return staged.where("__error is null"), total - failed, failed, reasons
+        return staged.where("__error is null"), total - failed, failed, reasons, bad
 
     def import_nodes(self, table: str, path: str, config: CsvImportConfig | None = None, progress: ProgressCallback | None = None) -> ImportResult:
         """Append a CSV file's rows; all or none unless errors are ignored.
@@ -353,7 +355,7 @@ class GraphSession:
         base = F.lit(self._imports << 50)
         typed = raw.select((base + F.col(csv.ORDINAL)).alias("_id"), F.col(csv.ORDINAL), *[v.alias(c.name) for c, v in zip(schema.columns, values)], csv.first_of(reasons).alias("__error"))
         staged = self._written(typed, table)
-        good, imported, failed, errors = self._settle(staged, config, began, progress)
+        good, imported, failed, errors, bad = self._settle(staged, config, began, progress)
         rows = good.drop("__error", csv.ORDINAL)
         keys = [F.col(f"`{k}`") for k in schema.primary_key]
         twice = rows.groupBy(*keys).count().where("count > 1").limit(1).collect()
@@ -367,7 +369,7 @@ class GraphSession:
             if clash:
                 raise ConstraintViolation(f"a '{table}' with that primary key exists already: {tuple(clash[0][k] for k in schema.primary_key)}")
         self._append(table, staged, rows)
-        return ImportResult(imported, failed, 0, errors)
+        return ImportResult(imported, failed, 0, errors, bad)
 
     def import_relationships(self, table: str, path: str, config: CsvImportConfig | None = None, progress: ProgressCallback | None = None) -> ImportResult:
         """Append a CSV file of FROM, TO and properties; keys are looked up in
@@ -397,9 +399,9 @@ class GraphSession:
         base = F.lit(self._imports << 50)
         names = [c.name for c in schema.columns]
         staged = self._written(typed.select((base + F.col(csv.ORDINAL)).alias("_id"), "_src", "_dst", *names, csv.ORDINAL, "__error"), table)
-        good, imported, failed, errors = self._settle(staged, config, began, progress)
+        good, imported, failed, errors, bad = self._settle(staged, config, began, progress)
         self._append(table, staged, good.drop("__error", csv.ORDINAL))
-        return ImportResult(imported, failed, 0, errors)
+        return ImportResult(imported, failed, 0, errors, bad)
 
     def _append(self, table: str, staged: DataFrame, rows: DataFrame) -> None:
         state = self._tables[table]

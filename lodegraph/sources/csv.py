@@ -49,12 +49,20 @@ class CsvImportConfig:
             raise ValidationError("the delimiter is one character")
 
 
+#: Reasons in `ImportResult.errors`.
+PREVIEW = 100
+
+
 @dataclass
 class ImportResult:
+    """`errors` previews the first PREVIEW bad rows; `bad_rows` (row, reason) has
+    all of them, None if there are none."""
+
     rows_imported: int
     rows_failed: int
     bytes_processed: int = 0
     errors: list[str] = field(default_factory=list)
+    bad_rows: DataFrame | None = None
 
     @property
     def is_success(self) -> bool:

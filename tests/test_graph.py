@@ -216,6 +216,24 @@ def test_csv_nodes(spark, tmp_path):
         g.import_nodes("P", good, CsvImportConfig(num_threads=0))
 
 
+def test_csv_accounts_for_every_bad_row(spark, tmp_path):
+    from lodegraph import CsvImportConfig
+
+    g = GraphSession(spark)
+    g.execute("CREATE NODE TABLE P(name STRING, age INT64, PRIMARY KEY(name))")
+    g.execute("CREATE REL TABLE R(FROM P TO P)")
+    lines = "".join(f"n{k},{'x' if k % 2 else k}\n" for k in range(500))
+    got = g.import_nodes("P", write(tmp_path, "a.csv", f"name,age\n{lines}"), CsvImportConfig(ignore_errors=True))
+    bad = got.bad_rows.orderBy("row").collect()
+    assert got.rows_failed == len(bad) == 250 and [r["row"] for r in bad] == list(range(3, 502, 2))
+    assert all(r["reason"].startswith("column 'age': Invalid INT64") for r in bad)
+    assert got.errors == [f"Row {r['row']}, {r['reason']}" for r in bad[:100]]
+    lines = "".join(f"n0,m{k}\n" for k in range(150))
+    got = g.import_relationships("R", write(tmp_path, "b.csv", f"FROM,TO\nn0,n2\n{lines}"), CsvImportConfig(ignore_errors=True))
+    assert (got.rows_imported, got.rows_failed, got.bad_rows.count()) == (1, 150, 150)
+    assert g.import_nodes("P", write(tmp_path, "c.csv", "name,age\nz,1\n"), CsvImportConfig(ignore_errors=True)).bad_rows is None
+
+
 def test_csv_floats(spark, tmp_path):
     g = GraphSession(spark)
     g.execute("CREATE NODE TABLE F(id INT64, v FLOAT64, PRIMARY KEY(id))")
