@@ -204,29 +204,39 @@ class Model:
 
 
 def learn(docs: DataFrame, held_out: int | None, modulus: int, sample_rows: int, sample_bytes: int, doc_id: str, text: str, lang: str) -> Model | None:
-    """Fit on a sample of equal bounds a language, picked by a hash of the id."""
+    """Fit on a sample of equal bounds a language, picked by a hash of the id.
+
+    The first row with a letter always counts, whatever its size, so that every
+    language has a model; a text is cut to its language's share of the bytes.
+    """
     spark = docs.sparkSession
     rows = shared.pick(docs, doc_id=doc_id, text=text, lang=lang).where("text is not null and lang is not null")
     if held_out is not None:
         rows = rows.where(shared.remainder("doc_id", modulus) != held_out)
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()
+    span = 1 << 30
+    place = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(span))
+    first = F.min(F.when(F.col("text").rlike(r"\p{L}"), place))
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b"), first.alias("first")).collect()
     if not counted:
         return None
     share = len(counted)
-    span = 1 << 30
-    quota = [(r["lang"], int(span * min(1.0, sample_rows / share / r["n"], sample_bytes / share / max(1, r["b"])))) for r in counted]
+    quota = [(r["lang"], max(r["first"] or 0, int(span * min(1.0, sample_rows / share / r["n"], sample_bytes / share / max(1, r["b"]))))) for r in counted]
     limits = spark.createDataFrame(quota, "lang string, most long")
-    place = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(span))
-    # `most` is at most a language's share of the bounds; a lone row always counts
-    picked = rows.join(F.broadcast(limits), "lang").withColumn("place", place).where("place <= most").select("lang", "place", "text")
+    most = max(1, sample_bytes // share)
+    cut = F.when(F.octet_length("text") > most, F.substring("text", F.lit(1), F.ceil(F.char_length("text") * (most / F.octet_length("text"))).cast("int"))).otherwise(F.col("text"))
+    # `most` is a language's share of the bounds, or reaches to its first row
+    picked = rows.join(F.broadcast(limits), "lang").withColumn("place", place).where("place <= most").select("lang", "place", cut.alias("text"))
     got = picked.toPandas().sort_values(["lang", "place", "text"], kind="stable")
     names = sorted(set(got["lang"]))
     if not names:
         return None
     number = {k: i for i, k in enumerate(names)}
     sampled = [(t, number[k]) for t, k in zip(got["text"], got["lang"])]
-    aside = sampled[::CALIBRATION] if len(sampled) >= 20 * CALIBRATION else []
-    model = Model(names, [x for i, x in enumerate(sampled) if not aside or i % CALIBRATION])
+    # what is a language's only row to learn from isn't set aside
+    alone = {k for k, n in got["lang"].value_counts().items() if n < CALIBRATION}
+    apart = [len(sampled) >= 20 * CALIBRATION and i % CALIBRATION == 0 and names[x[1]] not in alone for i, x in enumerate(sampled)]
+    aside = [x for x, out in zip(sampled, apart) if out]
+    model = Model(names, [x for x, out in zip(sampled, apart) if not out])
     if aside:
         model.calibrate(aside)
     return model

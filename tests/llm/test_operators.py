@@ -283,6 +283,20 @@ def test_misspellings_share_grams():
     assert score(f"{clean} worthlesss") > 10 * score(f"{clean} {plain[30]}")
 
 
+def test_every_language_has_a_model(spark):
+    """Languages of a single row far above their share of the bytes, among many."""
+    rng = random.Random(3)
+    names = [f"l{k:02}" for k in range(26)]
+    word = lambda k: "".join(chr(97 + (k + rng.randrange(3)) % 26) for _ in range(6))
+    rows = [(k, name, " ".join(word(k) for _ in range(3000))) for k, name in enumerate(names)]
+    rows += [(1000 + i, "zz", " ".join(chr(0x3B1 + rng.randrange(20)) * 2 for _ in range(4))) for i in range(400)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"), None, 3, 12_000, 27 * 4000, "doc_id", "text", "lang")
+    assert model.names == [*names, "zz"]
+    for k, name in enumerate(names):
+        data = np.frombuffer(rows[k][2][:300].encode(), np.uint8)
+        assert model.names[model.predict(data, np.array([0, len(data)]))[0][0]] == name
+
+
 def test_language_held_out(spark):
     got = held_out_rows(spark, language.op10_language, LARGER, "lang", 1, 3)
     assert (got.lang == got.lang_pred).mean() > 0.98
