@@ -2,11 +2,14 @@
 
 Texts are cut into pre-tokens with array operations; distinct pre-tokens are
 held as ragged arrays of symbols, and in each round every sequence applies its
-own lowest-ranked pair at all its places at once, until none has a pair left.
+own lowest-ranked pair at all its places at once, and any other pair that is
+certain to come before what touches it, until none has a pair left.
 Counts of distinct pre-tokens are kept in a sorted hash array of bounded size.
 
-Defined results: a null text is empty and has no tokens; repeated rows count
-alone; an empty table gives no rows; further columns are ignored.
+Defined results: a null text is empty and has no tokens; a text of any length,
+also one unbroken word of many MB, is counted whole, in memory some 100 times
+its size; repeated rows count alone; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,6 +67,29 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _sorted_set(*parts: np.ndarray) -> np.ndarray:
+    out = np.sort(np.concatenate(parts), kind="stable")
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
+
+
+class Guards:
+    """For a symbol and the byte next to it, the least rank of a merge with any
+    symbol that begins (or ends) with that byte."""
+
+    def __init__(self, key: np.ndarray, rank: np.ndarray):
+        order = np.lexsort((rank, key))
+        key, rank = key[order], rank[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.key, self.rank = key[first], rank[first]
+
+    def __call__(self, symbol: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.full(len(symbol), NONE)
+        want = symbol << 8 | byte
+        at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        return np.where(self.key[at] == want, self.rank[at], NONE)
+
+
 class Merges:
     """A byte-level vocabulary's merges as sorted arrays of pairs."""
 
@@ -76,10 +102,23 @@ class Merges:
         for symbol, byte in _byte_symbols().items():
             self.first[byte] = ids[symbol]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        key = np.array([ids[a] << 20 | ids[b] for a, b in pairs], np.int64)
+        left, right = (np.array([ids[p[k]] for p in pairs], np.int64) for k in (0, 1))
+        self.into = np.array([ids[a + b] for a, b in pairs], np.int64)
+        key = left << 20 | right
         order = np.argsort(key, kind="stable")
         self.key, self.rank = key[order], order
-        self.into = np.array([ids[a + b] for a, b in pairs], np.int64)
+        # the bytes that a symbol begins and ends with
+        self.head, self.tail = (np.zeros(max(ids.values()) + 1, np.int64) for _ in range(2))
+        made = np.full(len(self.head), -1, np.int64)  # the rank that makes it
+        self.head[self.first] = self.tail[self.first] = np.arange(256)
+        places = np.arange(len(pairs))
+        for a, b, c, k in zip(left.tolist(), right.tolist(), self.into.tolist(), places.tolist()):
+            self.head[c], self.tail[c], made[c] = self.head[a], self.tail[b], k
+        # where every merge comes after those that make its parts, ranks only
+        # rise, and a pair of which no neighbour can come first needs no waiting
+        self.rising = bool((np.maximum(made[left], made[right]) < places).all()) and len(np.unique(self.into)) == len(pairs)
+        self.after = Guards(left << 8 | self.head[right], places)
+        self.before = Guards(right << 8 | self.tail[left], places)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         want = left << 20 | right
@@ -87,42 +126,80 @@ class Merges:
         return np.where(self.key[at] == want, self.rank[at], NONE)
 
     def survivors(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """How many symbols remain of each sequence."""
-        left = lengths.astype(np.int64).copy()
-        live = np.flatnonzero(lengths > 1)
-        seq, _ = texts.ragged(lengths)
-        keep = np.isin(seq, live) if len(live) < len(lengths) else np.ones(len(seq), bool)
-        sym = symbols[keep]
-        size = lengths[live].astype(np.int64)
+        """How many symbols remain of each sequence.
+
+        A round applies each sequence's lowest-ranked pair at all its places,
+        and with it every pair that is certain to be applied before anything
+        touches it.  Symbols are linked in arrays and a round looks only at
+        places that still have a pair, so long sequences take few cheap rounds.
+        """
+        n, lengths = len(symbols), lengths.astype(np.int64)
+        ends = np.cumsum(lengths)
+        own = np.repeat(np.arange(len(lengths)), lengths)
+        # one place more stands beyond both ends of every sequence
+        sym, rank = np.append(symbols, 0), np.full(n + 1, NONE)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[n] = before[0] = n
+        full = lengths > 0
+        after[ends[full] - 1], before[(ends - lengths)[full]] = n, n
+        left = lengths.copy()
+        live = np.flatnonzero(after[:n] != n)
+        rank[live] = self.ranks(sym[live], sym[live + 1])
+        live = check = live[rank[live] != NONE]
         while len(live):
-            start = np.cumsum(size) - size
-            rank = np.full(len(sym), NONE, np.int64)
-            rank[:-1] = self.ranks(sym[:-1], sym[1:])
-            rank[start + size - 1] = NONE
-            least = np.minimum.reduceat(rank, start)
-            go = least != NONE
-            if not go.all():  # these are done
-                left[live[~go]] = size[~go]
-                stay = np.repeat(go, size)
-                sym, rank = sym[stay], rank[stay]
-                live, size, least = live[go], size[go], least[go]
-                if not len(live):
-                    break
-            chosen = rank == np.repeat(least, size)
+            r, of = rank[live], own[live]
+            edge = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            least = np.repeat(np.minimum.reduceat(r, edge), np.diff(np.append(edge, len(live))))
             # equal neighbours overlap: of a run of places take every other one
-            at = np.flatnonzero(chosen)
+            at = live[r == least]
             opens = np.ones(len(at), bool)
-            opens[1:] = np.diff(at) > 1
+            opens[1:] = after[at[:-1]] != at[1:]
             run = np.cumsum(opens) - 1
             at = at[(np.arange(len(at)) - np.flatnonzero(opens)[run]) % 2 == 0]
-            sym[at] = self.into[rank[at]]
-            stay = np.ones(len(sym), bool)
-            stay[at + 1] = False
-            owner = np.repeat(np.arange(len(live)), size)[at]
-            size = size - np.bincount(owner, minlength=len(live))
-            sym = sym[stay]
+            if self.rising:
+                at = _sorted_set(at, self._certain(check, sym, rank, before, after))
+            gone = after[at]
+            sym[at], rank[gone] = self.into[rank[at]], NONE
+            beyond = after[gone]
+            after[at] = beyond
+            inside = beyond != n
+            before[beyond[inside]] = at[inside]
+            np.subtract.at(left, own[at], 1)
+            rank[at] = NONE
+            fresh = _sorted_set(at, before[at])  # their pairs have changed
+            fresh = fresh[after[fresh] != n]
+            rank[fresh] = self.ranks(sym[fresh], sym[after[fresh]])
+            # what was not certain may be so now, up to two places away
+            one, other = before[fresh], after[fresh]
+            check = _sorted_set(fresh, one, other, before[one], after[other])
+            check = check[rank[check] != NONE]
+            place = np.minimum(np.searchsorted(live, fresh), len(live) - 1)
+            more = fresh[live[place] != fresh]
+            live = np.insert(live, np.searchsorted(live, more), more)
+            live = live[rank[live] != NONE]
         return left
 
+    def _certain(self, places, sym, rank, before, after) -> np.ndarray:
+        """Those of the pairs that nothing next to them can forestall.
+
+        A neighbour keeps the byte that it touches the pair with, whatever it
+        grows to.  It can come first only if some merge with a symbol of that
+        byte ranks lower than the pair, and if it can itself grow before.
+        """
+        beyond = len(sym) - 1
+        r = rank[places]
+        at = places[(r < rank[before[places]]) & (r < rank[after[places]])]
+        for link, guard, near in ((before, self.before, self.tail), (after, self.after, self.head)):
+            inner = at if link is before else after[at]
+            beside = link[inner]
+            outer = link[beside]
+            # beyond the last neighbour there is nothing that it could grow with
+            held = np.flatnonzero((beside != beyond) & (outer != beyond))
+            r, beside, outer = rank[at[held]], sym[beside[held]], sym[outer[held]]
+            free = (guard(sym[inner[held]], near[beside]) > r) | (guard(beside, near[outer]) >= r)
+            at = np.delete(at, held[~free])
+        return at
+
 
 @cache
 def merges(path: str) -> Merges:

@@ -51,6 +51,48 @@ def test_token_counts(small):
     assert np.concatenate([counter(d, o) for _, d, o in texts.blocks(batch(values), "text", 50_000)]).tolist() == want
 
 
+def test_long_words_are_counted_in_time():
+    """Words of 1 MB without a break: rounds must not grow with their length."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path(tokens.VOCABULARY)
+    library, rng = Tokenizer.from_file(path), random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for value in ("".join(rng.choices(letters, k=1 << 20)), "a" * (1 << 20), "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(350_000))):
+        began = time.perf_counter()
+        want = len(library.encode(value, add_special_tokens=False).ids)
+        theirs = time.perf_counter() - began
+        began = time.perf_counter()
+        got = [tokens.Counter(path)(d, o).tolist() for _, d, o in texts.blocks(batch([value]), "text")]
+        assert got == [[want]] and time.perf_counter() - began < 20 * theirs
+
+
+def test_merging_early_changes_nothing(small):
+    """With and without the pairs that are certain ahead of their turn."""
+    made = tokens.merges(tokens.vocabulary_path(tokens.VOCABULARY))
+    rng = random.Random(8)
+    words = [w.encode() for w in set(" ".join(small.text).split())][:3000] + ["".join(rng.choices("abcdeéñ'", k=rng.randrange(1, 90))).encode() for _ in range(2000)]
+    symbols, lengths = made.first[np.frombuffer(b"".join(words), np.uint8)], np.array([len(w) for w in words])
+    assert made.rising
+    early = made.survivors(symbols, lengths)
+    made.rising = False
+    try:
+        assert made.survivors(symbols, lengths).tolist() == early.tolist()
+    finally:
+        made.rising = True
+
+
+def test_token_query(spark, small, sf):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.vocabulary_path(tokens.VOCABULARY))
+    want = {d: len(e.ids) for d, e in zip(small.doc_id, library.encode_batch(small.text.tolist(), add_special_tokens=False))}
+    got = tokens.op5_token_counts(spark, sf).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got} == {d: (len(t.encode()), want[d], want[d] > 1024) for d, t in zip(small.doc_id, small.text)}
+
+
 def test_token_store_starts_anew(small, monkeypatch):
     monkeypatch.setattr(tokens, "STORE_ENTRIES", 500)
     path = tokens.vocabulary_path(tokens.VOCABULARY)
