@@ -8,9 +8,10 @@ gap lets go of every sequence that isn't full.  What was let go is dealt anew,
 by whole sequences, among fewer groups and packed again; a new packing is taken
 only if it needs fewer sequences.
 
-Defined results: a null or empty text is one piece, the end token alone;
-repeated rows are pieces of their own; an empty table gives no rows; further
-columns are ignored.
+Defined results: a null or empty text is one piece, the end token alone; a text
+of any length is cut into as many pieces as it takes, its ids held in one task;
+repeated rows are pieces of their own, dealt and packed as any others; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ END = 1
 #: Pieces that one task packs.
 GROUP = 50_000
 ROUNDS = 4
+#: Low bits of a sequence's number that are its own in its group; a group is one
+#: Arrow table, which can't be larger.  The group has 32 bits, the round 3.
+BIN_BITS = 28
 #: Distinct pre-tokens a worker keeps; beyond it the store starts anew.
 STORE_ENTRIES = 600_000
 
@@ -253,11 +257,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     """
     spark = docs.sparkSession
     stage = shared.Stage(spark, "packing")
-    made = stage.write(pieces(docs, capacity, vocabulary, end, doc_id, text))
+    # pieces are dealt by a number of their own, so that equal rows part too
+    made = stage.write(pieces(docs, capacity, vocabulary, end, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
     count = made.count()
     groups = max(1, -(-count // group))
     state = made.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("free"))
-    state = state.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    state = state.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long"))
     kept = []
     for turn in range(rounds):
         done = stage.write(state.groupBy("group").applyInArrow(_packer(turn, capacity, turn == rounds - 1), state.schema))
@@ -283,7 +288,9 @@ def _packer(turn: int, capacity: int, last: bool):
         get = lambda k: table.column(k).combine_chunks().to_numpy(zero_copy_only=False)
         length = get("length").astype(np.int64)
         bins, offsets, used = best_fit(length, capacity)
-        number = (turn << 58) + (int(get("group")[0]) << 20) + bins
+        if used > 1 << BIN_BITS:
+            raise ValueError(f"a group of {used} sequences; 'group' must be smaller")
+        number = (turn << 60) + (int(get("group")[0]) << BIN_BITS) + bins
         if turn:
             held = get("sequence_id")
             names, old = np.unique(held, return_inverse=True)

@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+
 from lodegraph.llm import decontaminate, fingerprint, jaccard, language, lm_score, packing, quality, registry, sample, suffix_dedup, texts, tokens, toxicity
 
 from . import brute
@@ -133,6 +135,28 @@ def test_packing_round_trip(spark, small, sf, group):
     assert got.sequence_id.nunique() <= packing.lower_bound(got.length.to_numpy()) + 2
 
 
+def test_packing_of_equal_rows(spark, monkeypatch):
+    """Two million rows that are all alike: groups stay bounded, numbers unique."""
+    sizes, packer = spark.sparkContext.accumulator(0), packing._packer
+
+    def watched(*args):
+        run = packer(*args)
+
+        def counted(table):
+            sizes.add(int(table.num_rows > 60_000))
+            return run(table)
+
+        return counted
+
+    monkeypatch.setattr(packing, "_packer", watched)
+    docs = spark.range(2_000_000).selectExpr("cast(7 as long) as doc_id", "'same words here' as text")
+    got = packing.pack(docs).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("places"), F.count(F.lit(1)).alias("rows"))
+    total, most, torn, bins = got.selectExpr("sum(rows)", "max(n)", "sum(int(n != end or places != rows))", "count(*)").first()
+    each = len(packing._library(tokens.vocabulary_path(packing.VOCABULARY)).encode("same words here", add_special_tokens=False).ids) + 1
+    assert total == 2_000_000 and most <= packing.CAPACITY and torn == 0 and sizes.value == 0
+    assert bins <= -(-total // (packing.CAPACITY // each)) + 1
+
+
 def test_bounds_and_best_fit():
     rng = np.random.default_rng(3)
     for low, high in ((1, 4096), (1400, 2100), (1, 50), (2049, 4096)):
