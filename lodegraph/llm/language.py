@@ -10,8 +10,9 @@ look like none: their score is lowered.
 
 Defined results: a null text or one without letters is `und` with score 0, as
 is every text if nothing can be learned; of equal cross-entropies the first
-language in order of name wins; repeated rows are judged alone; an empty table
-gives no rows; further columns are ignored.
+language in order of name wins; a very long text is judged by all its letters,
+alone in its block; repeated rows are judged alone, and learned from once; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,27 +207,34 @@ class Model:
 def learn(docs: DataFrame, held_out: int | None, modulus: int, sample_rows: int, sample_bytes: int, doc_id: str, text: str, lang: str) -> Model | None:
     """Fit on a sample of equal bounds a language, picked by a hash of the id.
 
-    The first row with a letter always counts, whatever its size, so that every
-    language has a model; a text is cut to its language's share of the bytes.
+    Of each language the rows come in the order of the hash until its share of
+    the rows or of the bytes is full.  The first row with a letter always
+    counts, whatever its size, so that every language has a model; a text is cut
+    to its language's share of the bytes, and rows of one id count once.
     """
     spark = docs.sparkSession
     rows = shared.pick(docs, doc_id=doc_id, text=text, lang=lang).where("text is not null and lang is not null")
     if held_out is not None:
         rows = rows.where(shared.remainder("doc_id", modulus) != held_out)
-    span = 1 << 30
-    place = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(span))
-    first = F.min(F.when(F.col("text").rlike(r"\p{L}"), place))
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b"), first.alias("first")).collect()
+    span = 1 << 40
+    rows = rows.withColumn("place", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), "text"), F.lit(10)), F.lit(span)))
+    first = F.min(F.when(F.col("text").rlike(r"\p{L}"), F.col("place")))
+    size = F.least(F.octet_length("text"), F.lit(sample_bytes)).cast("long")
+    # rows of one id, however many, take one place
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("n"), F.avg(size).alias("mean"), first.alias("first")).collect()
     if not counted:
         return None
     share = len(counted)
-    quota = [(r["lang"], max(r["first"] or 0, int(span * min(1.0, sample_rows / share / r["n"], sample_bytes / share / max(1, r["b"]))))) for r in counted]
-    limits = spark.createDataFrame(quota, "lang string, most long")
-    most = max(1, sample_bytes // share)
-    cut = F.when(F.octet_length("text") > most, F.substring("text", F.lit(1), F.ceil(F.char_length("text") * (most / F.octet_length("text"))).cast("int"))).otherwise(F.col("text"))
-    # `most` is a language's share of the bounds, or reaches to its first row
-    picked = rows.join(F.broadcast(limits), "lang").withColumn("place", place).where("place <= most").select("lang", "place", cut.alias("text"))
-    got = picked.toPandas().sort_values(["lang", "place", "text"], kind="stable")
+    most_rows, most_bytes = max(1, sample_rows // share), max(1, sample_bytes // share)
+    # twice what should fill a share, or as far as the first row
+    quota = [(r["lang"], r["first"], max(r["first"] or 0, int(span * min(1.0, 2 * most_rows / r["n"], 2 * most_bytes / max(1, r["n"] * r["mean"]))))) for r in counted]
+    limits = spark.createDataFrame(quota, "lang string, first long, most long")
+    cut = F.when(F.octet_length("text") > most_bytes, F.substring("text", F.lit(1), F.ceil(F.char_length("text") * (most_bytes / F.octet_length("text"))).cast("int"))).otherwise(F.col("text"))
+    near = rows.join(F.broadcast(limits), "lang").where("place <= most").groupBy("lang", "place", "first").agg(F.min(cut).alias("text"))
+    in_turn = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    before = near.select("*", F.count(F.lit(1)).over(in_turn).alias("rows"), F.coalesce(F.sum(F.octet_length("text")).over(in_turn), F.lit(0)).alias("bytes"))
+    picked = before.where((F.col("place") == F.col("first")) | ((F.col("rows") < most_rows) & (F.col("bytes") < most_bytes)))
+    got = picked.select("lang", "place", "text").limit(sample_rows + 2 * share).toPandas().sort_values(["lang", "place", "text"], kind="stable")
     names = sorted(set(got["lang"]))
     if not names:
         return None
