@@ -5,8 +5,9 @@ weights are learned with follow-the-regularised-leader updates on a bounded
 sample of labelled rows, and a text's score is a sparse dot product.
 
 Defined results: null and empty texts get the score of the bias alone; without
-labelled rows every score is the prior 0.5; repeated rows are scored alone; an
-empty table gives no rows; further columns are ignored.
+labelled rows every score is the prior 0.5; a text of any length counts as a
+whole, alone in its block; repeated rows are scored alone, and learned from
+once; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,33 +9,49 @@ from pyspark.sql import functions as F
 from . import shared
 
 
+#: A text of more than this share of the byte bound is passed over.
+LARGEST = 1 / 8
+
+
 def picked(docs: DataFrame, labels: DataFrame, value: str, held_out: int | None, modulus: int, limit: int, limit_bytes: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame | None:
-    """place, text, label of at most `limit` rows and about `limit_bytes` of text.
+    """place, text, label of at most `limit` rows and `limit_bytes` of text.
 
-    Rows whose crc32(id) mod `modulus` is `held_out` are left aside.  The ids
-    come in the order of a hash, so the same tables give the same sample; null
-    labels and texts are passed over and an id labelled twice counts once, by
-    its smallest label.  Ids and sizes are picked first, so only the sampled
-    texts leave the executors.
+    Rows whose crc32(id) mod `modulus` is `held_out` are left aside.  Labelled
+    documents come in the order of a hash of their id, so the same tables give
+    the same sample; null labels and texts are passed over, as are texts above
+    LARGEST of the bytes (unless there is no other), labels without a document
+    take no place, and an id counts once, with its smallest label and text.
+    Sizes are picked first, so only the sampled texts leave the executors.
     """
     spark = docs.sparkSession
+    span = 1 << 40
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(span))
     wanted = shared.pick(labels, doc_id=doc_id, label=value).where("label is not null and doc_id is not null")
     if held_out is not None:
         wanted = wanted.where(shared.remainder("doc_id", modulus) != held_out)
-    wanted = wanted.groupBy("doc_id").agg(F.min("label").alias("label"))
-    first = wanted.select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("place")).orderBy("place").limit(limit).collect()
-    if not first:
+    total = wanted.count()
+    if not total:
         return None
-    chosen = spark.createDataFrame(first, "doc_id long, label int, place long")
-    texts = shared.pick(docs, doc_id=doc_id, text=text).where("text is not null").join(F.broadcast(chosen), "doc_id")
-    sizes = texts.select("place", F.octet_length("text").alias("n")).orderBy("place").limit(2 * limit).collect()
-    total, last = 0, None
-    for row in sizes:
-        total += row["n"]
-        if last is not None and total > limit_bytes:
+    texts = shared.pick(docs, doc_id=doc_id, text=text).where("text is not null").withColumn("place", place)
+    reach = min(1.0, 4 * limit / total)
+    while True:  # farther, in the rare case that many labels have no document
+        most = int(span * reach)
+        near = wanted.where(place < most).groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
+        found = texts.where(F.col("place") < most).join(near, "doc_id")
+        sizes = found.groupBy("place").agg(F.max(F.octet_length("text")).alias("n")).orderBy("place").limit(2 * limit).collect()
+        if len(sizes) >= limit or reach == 1.0:
             break
-        last = row["place"]
-    return None if last is None else texts.where(F.col("place") <= last).select("place", "text", "label")
+        reach = min(1.0, reach * 8)
+    chosen, held = [], 0
+    for r in [r for r in sizes if r["n"] <= limit_bytes * LARGEST] or sizes[:1]:
+        held += r["n"]
+        if len(chosen) == limit or (chosen and held > limit_bytes):
+            break
+        chosen.append((r["place"],))
+    if not chosen:
+        return None
+    places = spark.createDataFrame(chosen, "place long")  # at most `limit`
+    return found.join(F.broadcast(places), "place").groupBy("place").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def ordered(rows: pd.DataFrame) -> list[tuple[str, int]]:

@@ -7,8 +7,9 @@ labelled rows, by one task of an executor, so that the driver holds the model
 and no texts.  A misspelt word still shares most of its n-grams' vectors.
 
 Defined results: null and wordless texts get the score of the bias alone;
-without labelled rows every score is the prior 0.5; repeated rows are scored
-alone; an empty table gives no rows; further columns are ignored.
+without labelled rows every score is the prior 0.5; a text of any length counts
+as a whole, alone in its block; repeated rows are scored alone, and learned from
+once; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SIZE = 8
 LEAST_GRAM, MOST_GRAM = 3, 5
 SAMPLE_ROWS = 12_000
 SAMPLE_BYTES = 32 << 20
-#: Updates; a small sample is gone through more often.
+#: Updates at least; a small sample is gone through more often.
 STEPS = 800
 BATCH = 64
 RATE = 0.3
@@ -37,6 +38,7 @@ RATE = 0.3
 FLOOR = 0.1
 #: A bucket met in fewer words of sampled texts than this has no vector: too
 #: little to learn from, and it would only let the model remember single texts.
+#: 1 gives every bucket one.
 LEAST_MET = 5
 #: Words whose sums a worker keeps; beyond it the store starts anew.
 STORE_ENTRIES = 600_000
@@ -77,7 +79,7 @@ def grams(low: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) ->
     return buckets[order], np.bincount(owner, minlength=len(h))
 
 
-def fit(rows: list[tuple[str, int]], epochs: int | None = None, seed: int = 6) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[str, int]], epochs: int | None = None, seed: int = 6, steps: int = STEPS, least_met: int = LEAST_MET) -> tuple[np.ndarray, float]:
     """Each bucket's share of the logit, and the bias.
 
     The logit is the text's average embedding times the difference of the two
@@ -87,7 +89,7 @@ def fit(rows: list[tuple[str, int]], epochs: int | None = None, seed: int = 6) -
     """
     if not rows:
         return np.zeros(1 << BITS), 0.0
-    epochs = epochs or max(4, -(-STEPS * BATCH // len(rows)))
+    epochs = epochs or max(4, -(-steps * BATCH // len(rows)))
     label = np.array([y for _, y in rows], float)
     # texts are taken a few MB at a time; what stays is each text's distinct
     # words with their counts, and each word's n-grams
@@ -115,7 +117,7 @@ def fit(rows: list[tuple[str, int]], epochs: int | None = None, seed: int = 6) -
     for bucket, size in zip(buckets, sizes):
         met += np.bincount(bucket, weights=np.repeat(of[low : low + len(size)], size), minlength=1 << BITS)
         low += len(size)
-    known = met >= LEAST_MET
+    known = met >= least_met
     for k, (bucket, size) in enumerate(zip(buckets, sizes)):
         keep = known[bucket]
         sizes[k] = np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size)).astype(np.int32)
@@ -193,7 +195,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
 
 
-def learn(rows: DataFrame | None) -> tuple[np.ndarray, float] | None:
+def learn(rows: DataFrame | None, steps: int = STEPS, least_met: int = LEAST_MET) -> tuple[np.ndarray, float] | None:
     """`fit` of a sample's rows in one task; only the model comes to the driver.
     None if there are no rows."""
     if rows is None:
@@ -205,7 +207,7 @@ def learn(rows: DataFrame | None) -> tuple[np.ndarray, float] | None:
         if found:
             sampled = sample.ordered(pd.concat(found))
             found.clear()
-            share, bias = fit(sampled)
+            share, bias = fit(sampled, steps=steps, least_met=least_met)
             del sampled
             texts.release()
             yield pa.RecordBatch.from_arrays([pa.array([share.tobytes()], pa.binary()), pa.array([bias])], names=["share", "bias"])
@@ -214,15 +216,17 @@ def learn(rows: DataFrame | None) -> tuple[np.ndarray, float] | None:
     return (np.frombuffer(bytes(got["share"])), got["bias"]) if got else None
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, modulus: int = 5, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", judged: str | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0, modulus: int = 5, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", judged: str | None = None, steps: int = STEPS, least_met: int = LEAST_MET) -> DataFrame:
     """The documents' own columns with `toxicity_score` appended, and, under the
     name `judged`, whether a model and a word of the text stand behind it.
 
     Learns from at most `sample_rows` labelled rows with about `sample_bytes` of
     text, none of the remainder `held_out`; the model is 2 MB whatever the input.
+    The sample is gone through four times, or more often until `steps` updates
+    are done; n-grams met in fewer than `least_met` words have no vector.
     A column of that name that exists already is replaced.
     """
-    fitted = learn(sample.picked(docs, labels, label, held_out, modulus, sample_rows, sample_bytes, doc_id, text))
+    fitted = learn(sample.picked(docs, labels, label, held_out, modulus, sample_rows, sample_bytes, doc_id, text), steps, least_met)
     learned = fitted is not None
     model = shared.ship(docs.sparkSession, fitted if learned else fit([]))
     shared.small_batches(docs.sparkSession)
