@@ -10,9 +10,10 @@ Wide triplets tell documents of one language apart, where close ones mostly
 count its common syllables.
 
 Defined results: null and empty texts have the digest of the empty text; equal
-texts have equal digests and likeness 1; documents are ordered by descending
-id, null ids last, equal ids by text; a lone document is its own next; an empty
-table gives no rows; further columns are ignored.
+texts have equal digests and likeness 1; a text of any length is digested whole,
+alone in its block; documents are ordered by descending id of any type, null ids
+last, equal ids by text; a lone document is its own next; an empty table gives
+no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ UNRELATED = 1.625
 #: At most this share of BUCKETS is added for lengths that differ.
 LENGTH_SHARE = 0.2
 LENGTH_STEPS = 16
-#: Ranges of ids that rows are dealt by; their first rows go to the driver.
-MOST_RANGES = 4096
+#: Characters of a text by which rows of one id part into ranges.
+TIE_CHARS = 32
 
 
 def digests(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -96,78 +97,92 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return frame.mapInArrow(run, schema)
 
 
-def with_next(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
-    """Rows dealt by ranges of ids, each range followed by the next one's first.
-
-    Only the first id of each range reaches the driver, at most MOST_RANGES;
-    columns: bucket, guest, doc_id, text, sorted in that order.
-    """
+def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text by ranges of descending id and, of equal ids, ascending text;
+    a range is a partition.  Rows of one id (or of none) part by their text's
+    beginning, so that no id's rows need to fit in one range."""
     spark = docs.sparkSession
     frame = shared.pick(docs, doc_id=doc_id, text=text)
     n = max(shared.partitions(spark), frame.rdd.getNumPartitions())
-    ranges = min(MOST_RANGES, 3 * n)
-    ids = frame.select("doc_id")
-    cuts = sorted(set(ids.stat.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if not ids.isEmpty() else []
-    listed = ", ".join(f"{int(c)}L" for c in cuts)
-    bucket = F.expr(f"size(filter(array({listed}), c -> c <= doc_id))") if cuts else F.lit(0)
-    heads = sorted(((r["bucket"], r["head"]) for r in ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head")).collect()), key=lambda x: x[0])
-    follow = [(heads[k - 1][1], heads[k][0]) for k in range(len(heads))]  # the lowest range is followed by the first of all
-    follow_schema = T.StructType([T.StructField("head", frame.schema["doc_id"].dataType), T.StructField("bucket", T.IntegerType())])
-    target = spark.createDataFrame(follow, follow_schema)
-    own = frame.select(bucket.alias("bucket"), F.lit(0).alias("guest"), "doc_id", "text")
-    guests = frame.join(F.broadcast(target), F.col("doc_id").eqNullSafe(F.col("head"))).select("bucket", F.lit(1).alias("guest"), "doc_id", "text")
-    dealt = own.unionByName(guests).repartition(n, "bucket")
-    return dealt.sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text"), n
+    begin = F.substring(F.coalesce("text", F.lit("")), 1, TIE_CHARS)
+    dealt = frame.withColumn("begin", begin).repartitionByRange(n, F.col("doc_id").desc_nulls_last(), F.col("begin"))
+    return dealt.sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "text").select("doc_id", "text")
+
+
+_DONE, _HEAD, _TAIL = 0, 1, 2
 
 
 def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's digest against its edited text's and the next document's.
 
-    The edited text ends with the first third of the next one.  One shuffle,
-    by ranges of ids; the task holds a few MB of texts at a time.
+    The edited text ends with the first third of the next one.  One shuffle, by
+    ranges of ids, in any number of partitions.  A range's last document waits
+    for the first one of the next range: of each range only these two texts are
+    written beside the results, and met in a second step.
     """
-    dealt, _ = with_next(docs, doc_id, text)
-    schema = T.StructType(
-        [T.StructField("doc_id", dealt.schema["doc_id"].dataType), T.StructField("n_chars", T.LongType())]
-        + [T.StructField(k, T.StringType()) for k in ("edited_sha256", "fingerprint", "edited_fingerprint")]
-        + [T.StructField(k, T.DoubleType()) for k in ("near_edited", "near_next")]
-    )
+    spark = docs.sparkSession
+    ordered = in_order(docs, doc_id, text)
+    id_field = T.StructField("doc_id", ordered.schema["doc_id"].dataType)
+    results = [id_field, T.StructField("n_chars", T.LongType())]
+    results += [T.StructField(k, T.StringType()) for k in ("edited_sha256", "fingerprint", "edited_fingerprint")]
+    results += [T.StructField(k, T.DoubleType()) for k in ("near_edited", "near_next")]
+    names = [f.name for f in results]
+    staged = T.StructType([*results, T.StructField("kind", T.IntegerType()), T.StructField("range", T.IntegerType()), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        place = TaskContext.get().partitionId()
         held = None  # the last row so far: its next one has not come
         for batch in batches:
             for piece, _, _ in texts.blocks(batch, "text"):
-                keys = list(zip(*(piece.column(k).to_pylist() for k in (0, 1, 2))))
-                values = [x or "" for x in piece.column(3).to_pylist()]
+                ids, values = piece.column(0), [x or "" for x in piece.column(1).to_pylist()]
                 own = _digest_texts(values)
                 if held:
-                    keys, values, own = [held[0], *keys], [held[1], *values], np.concatenate([held[2], own])
-                yield from emit(keys, values, own)
-                held = (keys[-1], values[-1], own[-1:])
-
-    def emit(keys, values, own):
-        # a guest has no row of its own, and what follows it is another range
-        at = [k for k in range(len(keys) - 1) if not keys[k][1] and keys[k][0] == keys[k + 1][0]]
-        if not at:
-            return
-        edited = [values[k][: len(values[k]) - len(values[k]) // 3] + values[k + 1][: len(values[k]) // 3] for k in at]
+                    ids, values, own = pa.concat_arrays([held[0], ids]), [held[1], *values], np.concatenate([held[2], own])
+                else:
+                    yield waiting(ids[:1], values[0], _HEAD, place)
+                if len(values) > 1:
+                    yield with_kind(results_of(ids[:-1], values[:-1], values[1:], own[:-1], own[1:]))
+                held = (ids[-1:], values[-1], own[-1:])
+        if held:
+            yield waiting(held[0], held[1], _TAIL, place)
+
+    def results_of(ids, values, nexts, own, next_own) -> list[pa.Array]:
+        edited = [a[: len(a) - len(a) // 3] + b[: len(a) // 3] for a, b in zip(values, nexts)]
         changed = _digest_texts(edited)
-        nexts = np.array(at) + 1
-        mine = own[at]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([keys[k][2] for k in at], pa.int64()),
-                pa.array([len(values[k]) for k in at], pa.int64()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]),
-                pa.array([d.tobytes().hex() for d in mine]),
-                pa.array([d.tobytes().hex() for d in changed]),
-                pa.array(likeness(mine, changed)),
-                pa.array(likeness(mine, own[nexts])),
-            ],
-            names=schema.names,
-        )
-
-    return dealt.mapInArrow(run, schema)
+        return [
+            ids,
+            pa.array([len(x) for x in values], pa.int64()),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]),
+            pa.array([d.tobytes().hex() for d in own]),
+            pa.array([d.tobytes().hex() for d in changed]),
+            pa.array(likeness(own, changed)),
+            pa.array(likeness(own, next_own)),
+        ]
+
+    def with_kind(columns: list[pa.Array]) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([*columns, pa.array([_DONE] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=staged.names)
+
+    def waiting(ids: pa.Array, value: str, kind: int, place: int) -> pa.RecordBatch:
+        empty = [pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.string())] * 3, *[pa.nulls(1, pa.float64())] * 2]
+        return pa.RecordBatch.from_arrays([ids, *empty, pa.array([kind], pa.int32()), pa.array([place], pa.int32()), pa.array([value])], names=staged.names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                mine, other = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+                yield pa.RecordBatch.from_arrays(results_of(batch.column(0)[k : k + 1], [mine], [other], _digest_texts([mine]), _digest_texts([other])), names=names)
+
+    made = shared.Stage(spark, "digests").write(ordered.mapInArrow(run, staged))
+    ends = made.where(F.col("kind") != _DONE)
+    # ranges that hold a row, in order; two numbers of each go to the driver
+    ranges = sorted(r["range"] for r in ends.where(F.col("kind") == _HEAD).select("range").collect())
+    follow = spark.createDataFrame(list(zip(ranges, ranges[1:] + ranges[:1])), "range int, next int")
+    heads = ends.where(F.col("kind") == _HEAD).select(F.col("range").alias("next"), F.col("text").alias("other"))
+    pairs = ends.where(F.col("kind") == _TAIL).select("doc_id", "text", "range").join(follow, "range").join(heads, "next").select("doc_id", "text", "other")
+    return made.where(F.col("kind") == _DONE).select(*names).unionByName(pairs.mapInArrow(meet, T.StructType(results)))
 
 
 def op1_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
