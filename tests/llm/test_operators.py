@@ -2,8 +2,9 @@
 
 import math
 import random
+import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,28 @@ def test_fingerprints_tell_edits_from_others(spark, sf):
     assert got.near_edited.between(0, 1).all() and got.near_next.between(0, 1).all()
 
 
+def test_digests_and_likeness(spark, small, sf):
+    """Against plain versions, whole table; the next document as well as the edited text."""
+    order = small.sort_values("doc_id", ascending=False)
+    values = dict(zip(order.doc_id, order.text))
+    follows = dict(zip(order.doc_id, [*order.doc_id[1:], order.doc_id.iloc[0]]))
+    for r in fingerprint.op1_quartile_digest(spark, sf).collect():
+        mine, other = values[r["doc_id"]], values[follows[r["doc_id"]]]
+        edited = mine[: len(mine) - len(mine) // 3] + other[: len(mine) // 3]
+        assert (r["n_chars"], r["fingerprint"], r["edited_fingerprint"]) == (len(mine), brute.digest_hex(mine), brute.digest_hex(edited))
+        assert math.isclose(r["near_edited"], brute.digest_likeness(mine, edited), abs_tol=1e-9)
+        assert math.isclose(r["near_next"], brute.digest_likeness(mine, other), abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(20,0)", "date"])
+def test_digests_of_any_id(spark, kind):
+    rows = spark.range(50).selectExpr("cast(id as string) as k", "concat('text number ', id) as text")
+    made = "date_add(date'2020-01-01', cast(k as int))" if kind == "date" else f"cast(k as {kind})"
+    frame = rows.selectExpr(f"{made} as doc_id", "text")
+    got = fingerprint.compare_edited(frame)
+    assert got.schema["doc_id"].dataType == frame.schema["doc_id"].dataType and {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in frame.collect()}
+
+
 def test_next_over_many_ranges(spark, small, sf):
     order = small.sort_values("doc_id", ascending=False)
     values = order.text.tolist()
@@ -308,6 +331,128 @@ def area(label, score):
 LARGER = "/root/testdata/sf0.01"
 
 
+def test_quality_is_ftrl(small):
+    """Weights and bias against dictionaries, over the first texts."""
+    rows = [(t, k % 3 // 2) for k, t in enumerate(small.text[:60])]
+
+    def numbers(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return quality.features(data, np.array([0, len(data)]))[0].tolist()
+
+    weights, bias = quality.fit(rows, 2)
+    want, want_bias = brute.follow_the_leader(rows, numbers, 2, quality.ALPHA, quality.BETA, quality.L1, quality.L2)
+    assert np.allclose([weights[k] for k in want], list(want.values()), atol=1e-9) and math.isclose(bias, want_bias, rel_tol=1e-9)
+    assert np.count_nonzero(weights) == sum(w != 0 for w in want.values()) > 0
+
+
+def test_quality_features():
+    """A feature a word and one for each pair of neighbours; the same word twice is one of its own."""
+    text = b"Aa b  b\nAa b c"
+    got, first = quality.features(np.frombuffer(text + b"Aa b", np.uint8), np.array([0, len(text), len(text) + 4]))
+    a, b, ab, bb = got[0], got[1], got[2], got[4]
+    assert first.tolist() == [0, 11, 14] and len({*got[:11].tolist()}) == 7
+    assert got[11:].tolist() == [a, b, ab] and bb == int(quality.AGAIN & np.uint64((1 << quality.BITS) - 1)) and got[8] == ab
+
+
+def plain_toxicity(rows, epochs, least_met, seed=6):
+    """Joint training of vectors and softmax, a text and a coordinate at a time."""
+    one = lambda raw, salt: int(texts.span_hash(texts.prefix_hash(texts.table(salt)[np.frombuffer(raw, np.uint8)]), np.array([0]), np.array([len(raw)]))[0] >> np.uint64(64 - toxicity.BITS))
+    bag = {}
+
+    def buckets(word):
+        if word not in bag:
+            padded = f"<{word}>"
+            bag[word] = [one(word.encode(), 6)] + [one(padded[k : k + n].encode(), 66) for n in (3, 4, 5) for k in range(len(padded) - n + 1)]
+        return bag[word]
+
+    split = [[w for w in re.split(r"[\x20\x09-\x0D.,;:!?()\[\]{}\"'|]+", brute.ascii_lower(t).decode()) if w] for t, _ in rows]
+    met = Counter(b for words in split for w in set(words) for b in buckets(w))
+    rng = np.random.default_rng(seed)
+    table = rng.normal(0, 0.1, (1 << toxicity.BITS, toxicity.SIZE)).astype(np.float32).astype(float)
+    column = rng.normal(0, 0.5, toxicity.SIZE)
+    ones = sum(y for _, y in rows)
+    bias = math.log((ones + 1) / (len(rows) - ones + 1))
+    seen, seen_column, seen_bias = defaultdict(lambda: np.full(toxicity.SIZE, toxicity.FLOOR)), np.full(toxicity.SIZE, 1.0), 1.0
+    for epoch in range(epochs):
+        order, rate = rng.permutation(len(rows)), toxicity.RATE * (1 - epoch / epochs)
+        for low in range(0, len(order), toxicity.BATCH):
+            pull, total = defaultdict(float), 0.0
+            for k in order[low : low + toxicity.BATCH]:
+                share = Counter()
+                for w in split[k]:
+                    for b in buckets(w):
+                        if met[b] >= least_met:
+                            share[b] += toxicity.SCALE / (len(split[k]) * len(buckets(w)))
+                g = 1 / (1 + math.exp(-(sum(table[b] @ column * s for b, s in share.items()) + bias))) - rows[k][1]
+                total += g
+                for b, s in share.items():
+                    pull[b] += g * s
+            step_column = sum((table[b] * p for b, p in pull.items()), np.zeros(toxicity.SIZE))
+            for b, p in pull.items():
+                seen[b] += (p * column) ** 2
+                table[b] -= rate * p * column / np.sqrt(seen[b])
+            seen_column += step_column**2
+            column = column - rate * step_column / np.sqrt(seen_column)
+            seen_bias += total**2
+            bias -= rate * total / math.sqrt(seen_bias)
+    return {b: (table[b] @ column) * toxicity.SCALE for b in met if met[b] >= least_met}, bias
+
+
+@pytest.mark.parametrize("least_met", [1, 5])
+def test_toxicity_is_trained_jointly(small, least_met):
+    rows = [(t[:200], k % 3 // 2) for k, t in enumerate(small.text[:100])]
+    share, bias = toxicity.fit(rows, 3, least_met=least_met)
+    want, want_bias = plain_toxicity(rows, 3, least_met)
+    got = np.array([share[b] for b in want])
+    assert np.allclose(got, list(want.values()), rtol=2e-3, atol=2e-3) and math.isclose(bias, want_bias, abs_tol=2e-4)
+    assert np.count_nonzero(share) <= len(want)
+
+
+def test_sample_passes_over(spark):
+    """Labels without a document, texts above their share, rows of one id."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 50 = 7, repeat('x', 20000), concat('text ', id)) as text")
+    docs = docs.union(spark.range(5000).selectExpr("cast(11 as long)", "concat('copy ', id)"))
+    labels = spark.range(200_000).selectExpr("id * 10 as doc_id", "cast(id % 2 as int) as toxic").union(docs.limit(3000).selectExpr("doc_id", "cast(doc_id % 2 as int)"))
+    rows = sample.labelled(docs, labels, "toxic", None, 5, 800, 100_000)
+    assert len(rows) == 800 and all(len(t) < 20000 for t, _ in rows) and sum(t.startswith("copy") for t, _ in rows) <= 1
+    few = sample.labelled(docs, labels, "toxic", None, 5, 800, 4000)
+    assert few == rows[: len(few)] and 3500 < sum(len(t) for t, _ in few) <= 4000
+
+
+def test_language_is_kneser_ney(small):
+    rows = [(t[:300], k) for t, k in zip(small.text[:80], small.lang[:80])]
+    plain = brute.KneserNey(rows)
+    model = language.Model(plain.names, [(t, plain.names.index(k)) for t, k in rows])
+    values = [t[:120] for t in small.text[80:110]] + ["ÅØ zzz 日本語", "q"]
+    got = np.concatenate([model.entropies(d, o)[0] for _, d, o in texts.blocks(batch(values), "text")])
+    want = [[plain.entropy(k, t) for k in plain.names] for t in values]
+    assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_one_very_long_text_is_learned(spark):
+    """At the default bounds, whatever the id of the only text of its language."""
+    english = [(k, "en", f"the cat and the dog number {k} sat on the mat") for k in range(50)]
+    spanish = "el perro y el gato duermen en la casa blanca " * 250_000
+    for doc_id in (2000, 2003, 2004, 2006):
+        frame = spark.createDataFrame([*english, (doc_id, "es", spanish)], "doc_id long, lang string, text string")
+        if brute.held_out(doc_id, 3, 1):
+            continue
+        assert language.learn(frame, 1, 3, language.SAMPLE_ROWS, language.SAMPLE_BYTES, "doc_id", "text", "lang").names == ["en", "es"]
+
+
+def test_language_sample_is_bounded(spark):
+    """One id with very many rows is one row of the sample, and shares are kept."""
+    rows = spark.range(30_000).selectExpr("cast(5 as long) as doc_id", "'en' as lang", "concat('word ', id) as text").union(spark.range(9000).selectExpr("id + 10", "if(id % 9 = 0, 'fr', 'en')", "concat('mot ', id)"))
+    got = []
+    model = language.Model
+    try:
+        language.Model = lambda names, sampled: got.extend(sampled) or model(names, sampled)
+        language.learn(rows, None, 3, 1000, 1 << 20, "doc_id", "text", "lang")
+    finally:
+        language.Model = model
+    assert 850 <= len(got) <= 900 + 2 and sum(t.startswith("word") for t, _ in got) <= 1
+
+
 def test_quality_held_out(spark):
     got = held_out_rows(spark, quality.op8_quality, LARGER, "quality", 0, 5)
     assert area(got.quality.to_numpy(), got.score.to_numpy()) > 0.9
