@@ -6,21 +6,25 @@ a context's path are mixed with the weights that context-tree weighting gives
 them after the training texts.  A context that training never met has no say:
 the mix ends at the deepest one that it met.
 
-Training gathers the counts of all byte grams and words, per task first, then
-by hash.  The distinct grams are then dealt by their two nearest bytes of context:
-a part holds all deeper contexts of its own, so it is weighted by itself; the two shallowest depths, at most 65,536 nodes, meet on
-the driver.  Every distinct gram of the corpus gets its code length once, and
-scoring a text is a sum of look-ups.
+How it runs: texts are written once, in chunks of a few MB.  A chunk deals its
+distinct byte grams and words to buckets, grams by their two nearest bytes of
+context, three where two are very common.  A bucket then holds all deeper contexts
+of its own, so it is weighted by itself; the shallow depths, at most 2^17 nodes,
+meet on the driver.  A bucket answers each chunk with the code lengths of the grams
+(the counts of the words) that it asked for, in their order, and a chunk sums
+them up by text.  So no table of the model is held as a whole anywhere, the
+texts are gone through twice whatever the size of the model, and the number of buckets
+grows with the input.
 
 Defined results: a null text is empty and has the end symbol alone; without
-training rows each decision costs one bit and base counts are 0; repeated rows
-count and are scored one by one; an empty table gives no rows; further columns
-are ignored.
+training rows each decision costs one bit and base counts are 0; a very long
+text is alone in its chunk, which takes some 60 times its size of memory; repeated
+rows count and are scored one by one; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +38,14 @@ from . import shared, texts
 DEPTH = 6
 #: Begins and ends every text; no UTF-8 text has it.
 EDGE = 0xFF
-#: Grams or words of one look-up table; larger models are scored in passes, each
-#: over the grams or the words of some buckets.
-TABLE_ENTRIES = 4_000_000
-#: Parts that the contexts of two bytes are dealt to.
-SUBTREES = 256
-#: Distinct grams or words a counting task holds before it hands them on.
-HELD_ENTRIES = 2_500_000
-#: Look-ups take many times a text's bytes, so blocks are smaller here.
-COUNT_BYTES, SCORE_BYTES = 2 << 20, 1 << 20
+#: Text bytes of a chunk, about.
+CHUNK_BYTES = 4 << 20
+#: Text bytes for each bucket.
+BUCKET_BYTES = 2 << 20
+#: A two-byte context with more than this share of all bytes is dealt by three.
+COMMON = 1 / 256
 LOG2 = np.log(2.0)
+GRAMS, WORDS = 0, 1
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,16 +53,19 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     the byte; and where each row's begin."""
     rows = len(off) - 1
     size = np.diff(off)
-    row, place = texts.ragged(size)
     step = DEPTH + 1
     out = np.full(len(data) + rows * step, EDGE, np.uint8)
-    out[np.arange(len(data)) + row * step + DEPTH] = data
-    row, place = texts.ragged(size + 1)
-    at = np.arange(len(row)) + row * DEPTH + DEPTH
-    key = out[at].astype(np.uint64)
-    for k in range(1, DEPTH + 1):
-        key |= out[at - k].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - k))
-    return key, np.concatenate([[0], np.cumsum(size + 1)])
+    body = np.ones(len(out), bool)  # all but the DEPTH bytes before each row
+    gap = (off[:-1] + np.arange(rows) * step)[:, None] + np.arange(DEPTH)
+    body[gap.ravel()] = False
+    end = off[1:] + np.arange(1, rows + 1) * step - 1
+    own = body.copy()
+    own[end] = False
+    out[own] = data
+    key = out.astype(np.uint64)
+    for k in range(1, step):
+        key[k:] |= out[:-k].astype(np.uint64) << np.uint64(8 * (step - k))
+    return key[body], np.concatenate([[0], np.cumsum(size + 1)])
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,258 +150,300 @@ def weigh(keys: np.ndarray, counts: np.ndarray, stop: int = 2):
     return levels, ups, at, bit.ravel()
 
 
+def _own_depth(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Is the gram's two-byte context one of the common ones?"""
+    is_common = np.zeros(1 << 16, bool)
+    is_common[common] = True
+    return is_common[(keys >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)]
+
+
 class Top:
-    """Depths 1 and 0, as arrays over all their possible nodes."""
+    """Depths 1 and 0, as arrays over all their possible nodes, and the nodes of
+    depth 2 of the common contexts."""
 
-    def __init__(self, nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray):
+    def __init__(self, depth: np.ndarray, nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray, common: np.ndarray):
+        self.common = common
         gather = lambda at, x, n: np.bincount(at, weights=x, minlength=n)
-        at = nodes.astype(np.int64)
-        self.one = Nodes(np.arange(1 << 16), *(gather(at, x, 1 << 16) for x in (zeros, ones, weighted)))
+        two, at = np.unique(nodes[depth == 2].astype(np.uint64), return_inverse=True)
+        self.two = Nodes(two, *(gather(at, x[depth == 2], len(two)) for x in (zeros, ones, weighted)))
+        below = np.concatenate([nodes[depth == 1].astype(np.int64), shorten(two).astype(np.int64)])
+        joined = (np.concatenate([x[depth == 1], y]) for x, y in zip((zeros, ones, weighted), (self.two.zeros, self.two.ones, self.two.log_weighted)))
+        self.one = Nodes(np.arange(1 << 16), *(gather(below, x, 1 << 16) for x in joined))
         at = np.arange(1 << 16) & 0xFF
         self.none = Nodes(np.arange(256), *(gather(at, x, 256) for x in (self.one.zeros, self.one.ones, self.one.log_weighted)))
 
 
 def code_lengths(keys: np.ndarray, counts: np.ndarray, top: Top) -> np.ndarray:
     """log10 probability of each gram's last byte after the others."""
-    levels, ups, at, bit = weigh(keys, counts)
-    p = levels[0].mixed(at, bit, None)
-    for level, up in zip(levels[1:], ups):
-        at = up[at]
-        p = level.mixed(at, bit, p)
-    at = shorten(levels[-1].keys).astype(np.int64)[at]
-    p = top.one.mixed(at, bit, p)
-    p = top.none.mixed(at & 0xFF, bit, p)
-    return np.log10(np.where(np.isnan(p), 0.5, p)).reshape(-1, 8).sum(1)
-
-
-def _merge(parts: list[tuple]) -> tuple:
-    """Keys with summed counts, and whether any held-out row has them."""
-    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    counts = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
-    aside = np.bincount(at, weights=np.concatenate([p[2] for p in parts]), minlength=len(keys)) > 0
-    return keys, counts, aside
-
-
-def _dealt(spread: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """The places of each bucket's items, by evenly spread hashes of them."""
+    out = np.zeros(len(keys))
+    split = _own_depth(keys, top.common)
+    for mine, stop in ((~split, 2), (split, 3)):
+        if not mine.any():
+            continue
+        levels, ups, at, bit = weigh(keys[mine], counts[mine], stop)
+        p = levels[0].mixed(at, bit, None)
+        for level, up in zip(levels[1:], ups):
+            at = up[at]
+            p = level.mixed(at, bit, p)
+        above = shorten(levels[-1].keys)[at]
+        if stop == 3:
+            at = np.searchsorted(top.two.keys, above)
+            p = top.two.mixed(at, bit, p)
+            above = shorten(above)
+        at = above.astype(np.int64)
+        p = top.one.mixed(at, bit, p)
+        p = top.none.mixed(at & 0xFF, bit, p)
+        out[mine] = np.log10(np.where(np.isnan(p), 0.5, p)).reshape(-1, 8).sum(1)
+    return out
+
+
+def _whole(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as fit, by planes of bytes, which
+    compress; the number of planes last."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = 8
+    while used > 1 and not planes[used - 1].any():
+        used -= 1
+    return planes[:used].tobytes() + bytes([used])
+
+
+def _numbers(blob) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8)
+    used = int(raw[-1])
+    planes = np.zeros((8, (len(raw) - 1) // used), np.uint8)
+    planes[:used] = raw[:-1].reshape(used, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def _rising(values: np.ndarray) -> bytes:
+    return _whole(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def _places(blob) -> np.ndarray:
+    return np.cumsum(_numbers(blob), dtype=np.uint64)
+
+
+def _dealt(kind: int, keys: np.ndarray, buckets: int, common: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The places of each bucket's keys."""
+    spread = keys
+    if kind == GRAMS:
+        near = keys >> np.uint64(8 * (DEPTH - 1))
+        spread = texts.mix(np.where(_own_depth(keys, common), keys >> np.uint64(8 * (DEPTH - 2)) | np.uint64(1 << 40), near))
     where = (spread >> np.uint64(33)).astype(np.int64) % buckets
     order = np.argsort(where, kind="stable")
     edge = np.searchsorted(where[order], np.arange(buckets + 1))
     return [(int(b), order[edge[b] : edge[b + 1]]) for b in np.flatnonzero(np.diff(edge))]
 
 
-_COUNTED = "kind int, bucket int, keys binary, counts binary, aside binary"
-
-
-def _count(buckets: int):
-    def hand_on(kind: int, parts: list[tuple]):
-        keys, counts, aside = _merge(parts)
-        rows = _dealt(texts.mix(keys) if kind == 0 else keys, buckets)
-        for low in range(0, len(rows), 64):
-            part = rows[low : low + 64]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([kind] * len(part), pa.int32()),
-                    pa.array([b for b, _ in part], pa.int32()),
-                    pa.array([np.diff(keys[o], prepend=np.uint64(0)).tobytes() for _, o in part], pa.binary()),  # steps, which compress
-                    pa.array([counts[o].tobytes() for _, o in part], pa.binary()),
-                    pa.array([aside[o].tobytes() for _, o in part], pa.binary()),
-                ],
-                names=["kind", "bucket", "keys", "counts", "aside"],
-            )
+def _chunks(schema: T.StructType, limit: int):
+    """Rows of one chunk of texts each, with the counts of two-byte contexts."""
+
+    def pack(held, number) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        train = np.concatenate([h[1] for h in held])
+        data = np.concatenate([h[2] for h in held])
+        off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[3]) for h in held]))])
+        pair = data[1:].astype(np.int64) << 8 | data[:-1]
+        seen = np.bincount(pair, minlength=1) if len(pair) else np.zeros(0, np.int64)
+        at = np.flatnonzero(seen)
+        ids = pa.concat_arrays([h[0] for h in held])
+        columns = [
+            pa.array([TaskContext.get().partitionId() << 32 | number]),
+            pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+            *(pa.array([x.tobytes()], pa.binary()) for x in (train, data, off)),
+            pa.array([int(train.sum())]),
+            pa.array([len(data)]),
+            pa.array([at.tolist()], pa.list_(pa.int32())),
+            pa.array([seen[at].tolist()], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts.hold("counting")
-        held: list[list[tuple]] = [[], []]
+        held, total, number = [], 0, 0
         for batch in batches:
-            for piece, data, off in texts.blocks(batch, "text", COUNT_BYTES):
-                train = piece.column(0).to_numpy(zero_copy_only=False).astype(bool)
-                for kind, (keys, first) in enumerate((grams(data, off), words(data, off))):
-                    mine = np.repeat(train, np.diff(first))
-                    for part, learn in ((keys[mine], True), (keys[~mine], False)):
-                        if len(part):
-                            got, n = np.unique(part, return_counts=True)
-                            held[kind].append((got, n if learn else np.zeros(len(got)), np.full(len(got), not learn)))
-                    if sum(len(x[0]) for x in held[kind]) > HELD_ENTRIES:
-                        held[kind] = [_merge(held[kind])]
-                        if len(held[kind][0][0]) > HELD_ENTRIES // 2:
-                            yield from hand_on(kind, held[kind])
-                            held[kind] = []
-        for kind in (0, 1):
-            if held[kind]:
-                yield from hand_on(kind, held[kind])
+            for piece, data, off in texts.blocks(batch, "text", limit):
+                held.append((piece.column(0), piece.column("train").to_numpy(zero_copy_only=False).astype(bool), data, off))
+                total += len(data) + 16 * (len(off) - 1)
+                if 4 * total >= 3 * limit:
+                    yield pack(held, number)
+                    held, total, number = [], 0, number + 1
+        if held:
+            yield pack(held, number)
 
     return run
 
 
-def _gather(subtrees: int):
-    """One bucket's grams, dealt on by their two nearest bytes of context, or the
-    words of it that scoring has to look up.
+def _keys(kind: int, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return grams(data, off) if kind == GRAMS else words(data, off)
 
-    A word that is not in the table has count 1 in a training row, its own, and
-    count 0 in any other: words met once, and not held out, need no entry.
-    """
 
-    def run(table: pa.Table) -> pa.Table:
-        load = lambda name, kind: [np.frombuffer(x, kind) for x in texts.blobs(table.column(name))]
-        steps = load("keys", np.uint64)
-        keys, counts, aside = _merge(list(zip(map(np.cumsum, steps), load("counts", np.int64), load("aside", bool))))
-        kind = table.column("kind")[0].as_py()
-        if kind:
-            distinct, total = int((counts > 0).sum()), int(counts.sum())
-            keep = (counts > 1) | ((counts == 1) & aside)
-            keys, counts = keys[keep], counts[keep]
-            rows = [(kind, table.column("bucket")[0].as_py(), keys.tobytes(), counts.tobytes(), len(keys), distinct, total)]
-        else:
-            near = texts.mix(keys >> np.uint64(8 * (DEPTH - 1)))
-            rows = [(kind, b, keys[at].tobytes(), counts[at].tobytes(), len(at), 0, 0) for b, at in _dealt(near, subtrees)]
-        columns = list(zip(*rows))
-        kinds = [pa.int32()] * 2 + [pa.binary()] * 2 + [pa.int64()] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["kind", "bucket", "keys", "counts", "n", "seen", "total"])
+def _unpacked(batch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    train, data, off = (np.frombuffer(texts.blobs(batch.column(c).slice(k, 1))[0], t) for c, t in (("train", bool), ("data", np.uint8), ("off", np.int64)))
+    return train, data, off
 
-    return run
 
+def _ask(buckets: int, common: np.ndarray):
+    """A chunk's distinct grams and words, with their counts in training rows."""
 
-_GATHERED = "kind int, bucket int, keys binary, counts binary, n long, seen long, total long"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts.hold("counting")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                train, data, off = _unpacked(batch, k)
+                for kind in (GRAMS, WORDS):
+                    keys, first = _keys(kind, data, off)
+                    learn = np.repeat(train, np.diff(first))
+                    if kind == GRAMS:  # one sort, with training as the lowest bit
+                        keys = np.sort(keys << np.uint64(1) | learn)
+                        learn, keys = (keys & np.uint64(1)).astype(bool), keys >> np.uint64(1)
+                    else:
+                        order = np.argsort(keys, kind="stable")
+                        keys, learn = keys[order], learn[order]
+                    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+                    if not len(start):
+                        continue
+                    counts, keys = np.add.reduceat(learn, start, dtype=np.int64), keys[start]
+                    rows = _dealt(kind, keys, buckets, common)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([kind] * len(rows), pa.int32()),
+                            pa.array([b for b, _ in rows], pa.int32()),
+                            pa.array([batch.column("chunk")[k].as_py()] * len(rows), pa.int64()),
+                            pa.array([_rising(keys[at]) for _, at in rows], pa.binary()),
+                            pa.array([_whole(counts[at]) for _, at in rows], pa.binary()),
+                        ],
+                        names=["kind", "bucket", "chunk", "keys", "counts"],
+                    )
+                texts.release()
 
+    return run
 
-def _subtree(table: pa.Table) -> pa.Table:
-    """All grams of some two-byte contexts together."""
-    join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in texts.blobs(table.column(name))])
-    keys, counts = join("keys", np.uint64), join("counts", np.int64)
-    return pa.table([pa.array([table.column("bucket")[0].as_py()], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["bucket", "keys", "counts"])
 
+_ASKED = "kind int, bucket int, chunk long, keys binary, counts binary"
+_GATHERED = "kind int, bucket int, keys binary, counts binary, chunks binary, sizes binary, places binary, seen long, total long"
 
-def _loaded(batches):
-    for batch in batches:
-        for keys, counts, bucket in zip(batch.column("keys"), batch.column("counts"), batch.column("bucket")):
-            yield np.frombuffer(keys.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64), bucket.as_py()
 
+def _gather(table: pa.Table) -> pa.Table:
+    """A bucket's distinct keys with their counts, and which of them each chunk
+    asks for."""
+    texts.hold("gathering")
+    parts = [_places(x) for x in texts.blobs(table.column("keys"))]
+    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+    counts = np.bincount(at, weights=np.concatenate([_numbers(x) for x in texts.blobs(table.column("counts"))]), minlength=len(keys)).astype(np.uint64)
+    sizes = np.array([len(x) for x in parts])
+    first = np.cumsum(sizes) - sizes
+    steps = np.diff(at, prepend=0)
+    steps[first] = at[first]
+    chunks = table.column("chunk").combine_chunks().to_numpy()
+    blobs = [_rising(keys), _whole(counts), chunks.tobytes(), sizes.astype(np.int64).tobytes(), _whole(steps)]
+    row = [table.column("kind")[0].as_py(), table.column("bucket")[0].as_py(), *blobs, int((counts > 0).sum()), int(counts.sum())]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
+    return pa.table([pa.array([x], k) for x, k in zip(row, kinds)], names=["kind", "bucket", "keys", "counts", "chunks", "sizes", "places", "seen", "total"])
 
-def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a bucket adds to each node of depth 1."""
-    for keys, counts, _ in _loaded(batches):
-        last = weigh(keys, counts)[0][-1]
-        nodes, up = np.unique(shorten(last.keys), return_inverse=True)
-        sums = [np.bincount(up, weights=x, minlength=len(nodes)) for x in (last.zeros, last.ones, last.log_weighted)]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes.astype(np.int32)), *map(pa.array, sums)], names=["node", "zeros", "ones", "weighted"])
 
+def _tops(common: np.ndarray):
+    """What a bucket adds to the shallow nodes above its contexts."""
 
-def _coder(top):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, counts, bucket in _loaded(batches):
-            value = code_lengths(keys, counts, top.value).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary())], names=["bucket", "keys", "value"])
+        for batch in batches:
+            for k, c in zip(texts.blobs(batch.column("keys")), texts.blobs(batch.column("counts"))):
+                keys, counts = _places(k), _numbers(c)
+                split = _own_depth(keys, common)
+                for mine, stop in ((~split, 2), (split, 3)):
+                    if mine.any():
+                        last = weigh(keys[mine], counts[mine], stop)[0][-1]
+                        nodes, up = np.unique(shorten(last.keys), return_inverse=True)
+                        sums = [np.bincount(up, weights=x, minlength=len(nodes)) for x in (last.zeros, last.ones, last.log_weighted)]
+                        yield pa.RecordBatch.from_arrays([pa.array([stop - 1] * len(nodes), pa.int32()), pa.array(nodes.astype(np.int32)), *map(pa.array, sums)], names=["depth", "node", "zeros", "ones", "weighted"])
 
     return run
 
 
-def _tables(source: DataFrame, kind, spread) -> tuple[np.ndarray, np.ndarray]:
-    """Look-up keys, evenly spread and sorted, with their values; gathered in
-    portions, so that the driver holds a table once and little more."""
-    keys, value = [np.zeros(0, np.uint64)], [np.zeros(0, kind)]
-    for k in range(4):
-        for r in source.where(F.pmod(F.xxhash64("bucket"), F.lit(4)) == k).select("keys", "value").collect():
-            keys.append(spread(np.frombuffer(r["keys"], np.uint64)))
-            value.append(np.frombuffer(r["value"], kind))
-    keys, value = np.concatenate(keys), np.concatenate(value)
-    if kind is np.int64 and (not len(value) or value.max() < 2**32):
-        value = value.astype(np.uint32)
-    order = np.argsort(keys)
-    return keys[order], value[order]
+def _answer(top):
+    """To each chunk what it asked of the bucket: code lengths, or counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts.hold("answering")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                kind, bucket = row["kind"].as_py(), row["bucket"].as_py()
+                blob = lambda c: row[c].as_buffer()  # noqa: E731, B023
+                counts = _numbers(blob("counts"))
+                value = code_lengths(_places(blob("keys")), counts, top.value).astype(np.float32) if kind == GRAMS else counts
+                chunks, sizes, steps = np.frombuffer(blob("chunks"), np.int64), np.frombuffer(blob("sizes"), np.int64), _numbers(blob("places")).astype(np.int64)
+                edge = np.concatenate([[0], np.cumsum(sizes)])
+                got = [value[np.cumsum(steps[a:b])] for a, b in zip(edge[:-1], edge[1:])]
+                packed = [x.tobytes() if kind == GRAMS else _whole(x) for x in got]
+                n = len(chunks)
+                yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "kind", "bucket", "value"])
+                texts.release()
+
+    return run
 
 
-def score(docs: DataFrame, held_out: int | None = 1, modulus: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: int | None = 1, modulus: int = 5, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, common_share: float = COMMON) -> DataFrame:
     """One row per document: doc_id, held_out, n_bytes, n_tokens, n_known,
     train_tokens, base_score, score.
 
-    Learns from the rows whose crc32(id) mod `modulus` is not `held_out`.  Code
-    lengths and word counts are shipped in tables of at most TABLE_ENTRIES; more
-    of them are shipped one after another, each with a pass over the texts.
+    Learns from the rows whose crc32(id) mod `modulus` is not `held_out`.
     """
     spark = docs.sparkSession
     stage = shared.Stage(spark, "lm")
     train = F.lit(True) if held_out is None else shared.remainder("doc_id", modulus) != held_out
-    frame = shared.pick(docs, doc_id=doc_id, text=text).withColumn("train", train).withColumn("place", F.xxhash64("text"))
-    buckets = max(1, min(4096, 4 * shared.partitions(spark)))
-    counted = frame.select("train", "text").mapInArrow(_count(buckets), _COUNTED)
-    subtrees = min(buckets, SUBTREES)
-    gathered = stage.write(counted.groupBy("kind", "bucket").applyInArrow(_gather(subtrees), _GATHERED))
-    sums = {r["kind"]: r for r in gathered.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("total").alias("total")).collect()}
-    ends = frame.where("train").count()
-    seen, total = (int(sums[1]["seen"]), int(sums[1]["total"])) if 1 in sums else (0, 0)
-    gathered_grams = gathered.where("kind = 0").select("bucket", "keys", "counts")
-    grams_ = stage.write(gathered_grams.groupBy("bucket").applyInArrow(_subtree, "bucket int, keys binary, counts binary")).repartition(subtrees, "bucket")
-    tops = grams_.mapInArrow(_tops, "node int, zeros double, ones double, weighted double").groupBy("node").agg(*(F.sum(k).alias(k) for k in ("zeros", "ones", "weighted"))).toPandas()
-    top = shared.ship(spark, Top(tops["node"].to_numpy(), *(tops[k].to_numpy(float) for k in ("zeros", "ones", "weighted"))))
-    codes = stage.write(grams_.mapInArrow(_coder(top), "bucket int, keys binary, value binary"))
+    frame = shared.pick(docs, doc_id=doc_id, text=text).withColumn("train", train)
+    id_type = frame.schema["doc_id"].dataType
+    longs = lambda *names: [T.StructField(k, T.LongType()) for k in names]
+    blobs = [T.StructField(k, T.BinaryType()) for k in ("train", "data", "off")]
+    chunked = T.StructType([*longs("chunk"), T.StructField("doc_ids", T.ArrayType(id_type)), *blobs, *longs("ends", "bytes"), T.StructField("pairs", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    chunks = stage.write(frame.mapInArrow(_chunks(chunked, chunk_bytes), chunked))
+    ends, size = (int(x or 0) for x in chunks.agg(F.sum("ends"), F.sum("bytes")).first())
+    pairs = chunks.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).groupBy("p.pairs").agg(F.sum("p.counts").alias("n"))
+    common = np.array(sorted(r[0] for r in pairs.where(F.col("n") > size * common_share).select("pairs").collect()), np.int64)  # at most 1 / common_share
+    buckets = max(shared.partitions(spark), min(1 << 20, size // bucket_bytes))
+    texts_ = chunks.select("chunk", "doc_ids", "train", "data", "off")
+    asked = texts_.drop("doc_ids").mapInArrow(_ask(buckets, common), _ASKED)
+    gathered = stage.write(asked.groupBy("kind", "bucket").applyInArrow(_gather, _GATHERED))
+    seen, total = (int(x or 0) for x in gathered.where(F.col("kind") == WORDS).agg(F.sum("seen"), F.sum("total")).first())
+    tops = gathered.where(F.col("kind") == GRAMS).select("keys", "counts").mapInArrow(_tops(common), "depth int, node int, zeros double, ones double, weighted double")
+    tops = tops.groupBy("depth", "node").agg(*(F.sum(k).alias(k) for k in ("zeros", "ones", "weighted"))).toPandas()
+    top = shared.ship(spark, Top(*(tops[k].to_numpy() for k in ("depth", "node", "zeros", "ones", "weighted")), common))
+    answers = gathered.drop("seen", "total").mapInArrow(_answer(top), "chunk long, kind int, bucket int, value binary")
     facts = {"tokens": total + ends, "vocabulary": seen + (ends > 0), "ends": ends}
-    entries = [int(sums[kind]["n"]) if kind in sums else 0 for kind in (0, 1)]
-    words_ = gathered.where("kind = 1").select("bucket", "keys", F.col("counts").alias("value"))
-    if sum(entries) <= TABLE_ENTRIES:
-        tables = _tables(codes, np.float32, texts.mix), _tables(words_, np.int64, np.asarray)
-        return frame.mapInArrow(_scorer(shared.ship(spark, tables), facts, 1, 0, buckets), _scored_schema(frame)).drop("place")
-    found, turns = None, 0
-    for kind, source in ((0, codes), (1, words_)):
-        passes = max(1, -(-entries[kind] // TABLE_ENTRIES))
-        for k in range(passes):
-            part = source.where(F.pmod("bucket", F.lit(passes)) == k)
-            tables = (_tables(part, np.float32, texts.mix), None) if kind == 0 else (None, _tables(part, np.int64, np.asarray))
-            shipped = shared.ship(spark, tables)
-            del tables
-            scored = stage.write(frame.mapInArrow(_scorer(shipped, facts, passes, k, buckets), _scored_schema(frame)))
-            shipped.unpersist()
-            found, turns = scored if found is None else found.unionByName(scored), turns + 1
-    # rows that are alike in id and text have like sums
-    sums = [F.sum(c).alias(c) for c in ("n_known", "base_score", "score")]
-    same = [F.first(c).alias(c) for c in ("held_out", "n_bytes", "train_tokens")] + [F.max("n_tokens").alias("n_tokens")]
-    joined = found.groupBy("doc_id", "place").agg(*same, *sums, (F.count(F.lit(1)) / turns).cast("int").alias("copies"))
-    per_copy = [(F.col(c) / F.col("copies")).cast(found.schema[c].dataType).alias(c) for c in ("n_known", "base_score", "score")]
-    return joined.select("doc_id", "held_out", "n_bytes", "n_tokens", per_copy[0], "train_tokens", *per_copy[1:], F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
-
-
-def _scored_schema(frame: DataFrame) -> T.StructType:
-    longs = [T.StructField(k, T.LongType()) for k in ("n_bytes", "n_tokens", "n_known", "train_tokens")]
-    return T.StructType([frame.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *longs, *(T.StructField(k, T.DoubleType()) for k in ("base_score", "score")), T.StructField("place", T.LongType())])
-
-
-def _scorer(shipped, facts: dict, passes: int, turn: int, buckets: int):
-    """Sums over the grams and words of this turn's buckets."""
-    label = uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # once a worker, not once a task
-        gram_table, word_table = texts.hold(label, lambda: [t and (texts.HashIndex(t[0]), t[1]) for t in shipped.value])
-        size, kinds, ends = facts["tokens"], facts["vocabulary"], facts["ends"]
-        cost = lambda c: np.log10((c + 0.5) / (size + 0.5 * (kinds + 1)))
-        for batch in batches:
-            for piece, data, off in texts.blocks(batch, "text", SCORE_BYTES):
-                train = piece.column("train").to_numpy(zero_copy_only=False).astype(bool)
-                rows = len(off) - 1
-                total, base, known, tokens = np.zeros(rows), np.zeros(rows), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-                if gram_table:
-                    got, first = grams(data, off)
-                    index, value = gram_table
-                    at = index.find(texts.mix(got))
-                    each = np.where(at >= 0, value[np.maximum(at, 0)], 0.0) if len(value) else np.zeros(len(got))
-                    total = np.add.reduceat(each, first[:-1], dtype=np.float64)
-                if word_table:
-                    h, begin = words(data, off)
-                    row = np.repeat(np.arange(rows), np.diff(begin))
-                    index, counts = word_table
-                    at = index.find(h)
-                    c = np.where(at >= 0, counts[np.maximum(at, 0)], train[row]) if len(counts) else train[row].astype(np.int64)
-                    mine = np.ones(len(h), bool) if passes == 1 else (h >> np.uint64(33)).astype(np.int64) % buckets % passes == turn
-                    base = np.bincount(row[mine], weights=cost(c[mine]), minlength=rows).astype(float)
-                    known = np.bincount(row[mine], weights=c[mine] > 0, minlength=rows).astype(np.int64)
-                    tokens = np.diff(begin) + 1
-                    if turn == 0:
-                        base += cost(ends)
-                        known += ends > 0
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(~train), pa.array(np.diff(off)), pa.array(tokens), pa.array(known), pa.array(np.full(rows, size)), pa.array(base), pa.array(total), piece.column("place")],
-                    names=["doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score", "place"],
-                )
+    scored = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *longs("n_bytes", "n_tokens", "n_known", "train_tokens"), *(T.StructField(k, T.DoubleType()) for k in ("base_score", "score"))])
+    return texts_.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_sums(facts, buckets, common, scored.names), scored)
+
+
+def _sums(facts: dict, buckets: int, common: np.ndarray, names: list[str]):
+    """A chunk's texts with the sums over its answers."""
+    tokens, kinds, ends = facts["tokens"], facts["vocabulary"], facts["ends"]
+    cost = lambda c: np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))
+
+    def values(kind: int, keys: np.ndarray, answers: dict) -> np.ndarray:
+        known, at = np.unique(keys, return_inverse=True)
+        value = np.zeros(len(known), np.float32 if kind == GRAMS else np.int64)
+        for bucket, places in _dealt(kind, known, buckets, common):
+            blob = answers[kind, bucket]
+            value[places] = np.frombuffer(blob, np.float32) if kind == GRAMS else _numbers(blob)
+        return value[at]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts.hold("scoring")
+        train, data, off = _unpacked(left, 0)
+        answers = {(k, b): v for k, b, v in zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), texts.blobs(right.column("value")))}
+        rows = len(off) - 1
+        got, first = grams(data, off)
+        total = np.add.reduceat(values(GRAMS, got, answers), first[:-1], dtype=np.float64)
+        del got
+        h, begin = words(data, off)
+        count = values(WORDS, h, answers)
+        row = np.repeat(np.arange(rows), np.diff(begin))
+        base = np.bincount(row, weights=cost(count), minlength=rows) + cost(ends)
+        known = np.bincount(row, weights=count > 0, minlength=rows).astype(np.int64) + (ends > 0)
+        ids = left.column("doc_ids").combine_chunks().flatten()
+        texts.release()
+        return pa.table([ids, pa.array(~train), pa.array(np.diff(off)), pa.array(np.diff(begin) + 1), pa.array(known), pa.array(np.full(rows, tokens)), pa.array(base), pa.array(total)], names=names)
 
     return run
 

@@ -256,13 +256,21 @@ def test_lm_base_and_score(spark, small, sf):
         assert r.score < 0
 
 
-def test_lm_in_passes(spark, sf, monkeypatch):
-    whole = lm_score.op2_context_tree(spark, sf).toPandas().sort_values("doc_id", ignore_index=True)
-    monkeypatch.setattr(lm_score, "TABLE_ENTRIES", 20_000)
-    parts = lm_score.op2_context_tree(spark, sf).toPandas().sort_values("doc_id", ignore_index=True)
+def test_lm_in_small_chunks_and_split_contexts(spark, sf):
+    """However the texts are cut into chunks, buckets and subtrees, the sums are the same."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = lm_score.score(docs, common_share=1.0).toPandas().sort_values("doc_id", ignore_index=True)
+    parts = lm_score.score(docs, chunk_bytes=20_000, bucket_bytes=10_000, common_share=0.002).toPandas().sort_values("doc_id", ignore_index=True)
     assert np.allclose(whole.score, parts.score) and np.allclose(whole.base_score, parts.base_score) and (whole.n_known == parts.n_known).all()
 
 
+def test_lm_packs_numbers():
+    rng = np.random.default_rng(2)
+    for values in (np.zeros(3, np.uint64), np.array([2**63, 5], np.uint64), rng.integers(0, 2**20, 1000).astype(np.uint64)):
+        assert (lm_score._numbers(lm_score._whole(values)) == values).all()
+        assert (lm_score._places(lm_score._rising(np.sort(values))) == np.sort(values)).all()
+
+
 def plain_weighting(train, text, depth):
     """Context-tree weighting of single texts, with dictionaries."""
     nodes = {}
