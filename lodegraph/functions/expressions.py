@@ -8,6 +8,7 @@ filter drops, and NOT of it stays null.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ class Expr:
     def column(self) -> Column:
         raise NotImplementedError
 
+    def keeps(self) -> Column:
+        """As a filter's condition, which need not tell false from null; so
+        comparisons stay plain, and scans can take them."""
+        return self.column()
+
     def children(self) -> tuple[Expr, ...]:
         return ()
 
@@ -96,18 +102,38 @@ class Compare(Expr):
     def children(self):
         return self.left, self.right
 
-    def column(self) -> Column:
+    def _parts(self) -> tuple[Column, list[tuple[Expr, Column]]] | None:
+        """The plain comparison, and the sides that may be NaN."""
         a, b = self.left.type, self.right.type
         if not comparable(a, b):
-            return F.lit(None).cast(NOTHING)
+            return None
         x, y = self.left.column(), self.right.column()
         if a != b:  # integers are compared as doubles
             x, y = x.cast("double"), y.cast("double")
         got = {"=": x == y, "<>": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[self.op]
+        return got, [(e, c) for e, c in ((self.left, x), (self.right, y)) if e.type.is_float and not isinstance(e, Literal)]
+
+    def column(self) -> Column:
+        parts = self._parts()
+        if parts is None:
+            return F.lit(None).cast(NOTHING)
+        got, loose = parts
         # Spark orders NaN above all numbers and equal to itself
-        loose = [c for e, c in ((self.left, x), (self.right, y)) if e.type.is_float and not isinstance(e, Literal)]
-        for c in loose if len(loose) > 1 or self.op in (">", ">=", "<>") or isinstance(self.left, Literal) else []:
-            got = got & ~F.isnan(c)
+        for _, c in loose:
+            got = F.when(~F.isnan(c), got)
+        return got
+
+    def keeps(self) -> Column:
+        parts = self._parts()
+        if parts is None:
+            return F.lit(None).cast(NOTHING)
+        got, loose = parts
+        for e, c in loose:
+            # NaN counts as the largest: against a literal it may fail by itself
+            below = self.op in ("<", "<=", "=") if e is self.left else self.op in (">", ">=", "=")
+            other = self.right if e is self.left else self.left
+            if not (below and isinstance(other, Literal)):
+                got = got & ~F.isnan(c)
         return got
 
     def __str__(self):
@@ -128,6 +154,9 @@ class And(Expr):
             out = _truth(e) if k == 0 else out & _truth(e)
         return out
 
+    def keeps(self) -> Column:
+        return reduce(lambda a, b: a & b, [_kept(e) for e in self.items], F.lit(True))
+
     def __str__(self):
         return "(" + " AND ".join(map(str, self.items)) + ")"
 
@@ -146,6 +175,9 @@ class Or(Expr):
             out = _truth(e) if k == 0 else out | _truth(e)
         return out
 
+    def keeps(self) -> Column:
+        return reduce(lambda a, b: a | b, [_kept(e) for e in self.items], F.lit(False))
+
     def __str__(self):
         return "(" + " OR ".join(map(str, self.items)) + ")"
 
@@ -219,6 +251,11 @@ def _truth(e: Expr) -> Column:
     return e.column()
 
 
+def _kept(e: Expr) -> Column:
+    _truth(e)
+    return e.keeps()
+
+
 AGGREGATES = ("COUNT", "SUM", "AVG", "MIN", "MAX")
 
 

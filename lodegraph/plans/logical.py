@@ -76,7 +76,7 @@ class NodeScan(Plan):
         read = {c.name for c in self.table.columns if self.columns is None or c.name in self.columns or any(f"{self.var}.{c.name}" in f.uses for f in self.filters)}
         out = base.select(F.col("_id").alias(f"{self.var}._id"), *[named(c.name).alias(f"{self.var}.{c.name}") for c in self.table.columns if c.name in read])
         for f in self.filters:
-            out = out.where(f.column())
+            out = out.where(f.keeps())
         return out.select(*[named(k) for k in self.schema])
 
     def describe(self):
@@ -128,7 +128,7 @@ def _with_ends(frame: DataFrame, plan: NodeScan, var: str, end: str) -> DataFram
     if plan.columns or plan.filters:
         frame = frame.withColumn(f"{var}.{plan.table.primary_key[0]}", named(end))
     for f in plan.filters:
-        frame = frame.where(f.column())
+        frame = frame.where(f.keeps())
     return frame
 
 
@@ -202,7 +202,7 @@ class PathExpand(Plan):
 
     @property
     def schema(self):
-        return self.input.schema | {f"{self.path_var}.length": GraphType.INT64} | self.target.schema
+        return self.input.schema | {f"{self.path_var}.length": GraphType.INT64, f"{self.path_var}.path": GraphType.STRING} | self.target.schema
 
     def frame(self, graph):
         steps = directed(graph.rels(self.rel.name).select("_src", "_dst"), self.direction)
@@ -218,8 +218,8 @@ class PathExpand(Plan):
             starts = ids if scan else ids.distinct()
         found = simple_paths(steps, self.low, high, starts, one_kind)
         if found is None:
-            found = graph.spark.createDataFrame([], "first long, last long, length long")
-        found = found.withColumnRenamed("length", f"{self.path_var}.length")
+            found = graph.spark.createDataFrame([], "first long, last long, length long, path string")
+        found = found.withColumnsRenamed({k: f"{self.path_var}.{k}" for k in ("length", "path")})
         for plan, var, end in ((source, self.source_var, "first"), (target, self.target_var, "last")):
             filtered = plan.filters if isinstance(plan, NodeScan) else ()
             bare = replace(plan, filters=()) if filtered and end == "first" else plan  # the walk began at nodes that pass
@@ -240,7 +240,7 @@ class Filter(_One):
     condition: Expr
 
     def frame(self, graph):
-        return self.input.frame(graph).where(self.condition.column())
+        return self.input.frame(graph).where(self.condition.keeps())
 
     def describe(self):
         return f"Filter: {self.condition}"

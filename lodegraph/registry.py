@@ -6,7 +6,6 @@ add in different orders.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from . import testgraph
 from .functions import expressions as ex
 from .plans import logical as lp
 from .session import CsvImportConfig, GraphSession
+from .sources.files import shared_folder
 from .types import GraphType
 
 QUERIES: dict = {}
@@ -105,8 +105,9 @@ _N = """WITH e AS (SELECT s, d FROM (SELECT o_orderkey AS s, lead(o_orderkey) OV
 query("rel_both", "MATCH (a:User)-[:FOLLOWED_BY]-(b:User) RETURN a.user_id, b.user_id", f'{_F} SELECT s AS "a.user_id", d AS "b.user_id" FROM e UNION ALL SELECT d, s FROM e')
 query("path_2_2", "MATCH (a:Orders)-[:NEXT_ORDER*2..2]->(b:Orders) RETURN a.o_orderkey, b.o_orderkey", f'{_N} SELECT x.s AS "a.o_orderkey", y.d AS "b.o_orderkey" FROM e x JOIN e y ON x.d = y.s')
 query("path_1_3", "MATCH (a:Orders)-[r:NEXT_ORDER*1..3]->(b:Orders) RETURN r.length, COUNT(*)", f'{_N} SELECT * FROM (SELECT CAST(1 AS BIGINT) AS "r.length", count(*) AS "COUNT(*)" FROM e UNION ALL SELECT 2, count(*) FROM e x JOIN e y ON x.d = y.s UNION ALL SELECT 3, count(*) FROM e x JOIN e y ON x.d = y.s JOIN e z ON y.d = z.s)')
+query("path_nodes", "MATCH (a:Orders)-[r:NEXT_ORDER*1..2]->(b:Orders) RETURN r.path, r.length", f"{_N} SELECT s || '->' || d AS \"r.path\", CAST(1 AS BIGINT) AS \"r.length\" FROM e UNION ALL SELECT x.s || '->' || y.s || '->' || y.d, 2 FROM e x JOIN e y ON x.d = y.s")
+query("path_3_cyclic", "MATCH (a:User)-[r:FOLLOWED_BY*1..3]->(b:User) RETURN r.length, COUNT(*)", f'{_F} SELECT * FROM (SELECT CAST(1 AS BIGINT) AS "r.length", count(*) AS "COUNT(*)" FROM e UNION ALL SELECT 2, count(*) FROM e x JOIN e y ON x.d = y.s WHERE y.d <> x.s UNION ALL SELECT 3, count(*) FROM e x JOIN e y ON x.d = y.s JOIN e z ON y.d = z.s WHERE y.d <> x.s AND z.d <> x.s AND z.d <> x.d)')
 query("path_cyclic", "MATCH (a:User)-[:FOLLOWED_BY*1..2]->(b:User) RETURN a.user_id, b.user_id", f'{_F} SELECT s AS "a.user_id", d AS "b.user_id" FROM e UNION ALL SELECT x.s, y.d FROM e x JOIN e y ON x.d = y.s WHERE x.s <> y.d')
-query("path_3_cyclic_count", "MATCH (a:User {user_id: 5})-[:FOLLOWED_BY*1..3]->(b:User) RETURN COUNT(*)", f'{_F}, p AS (SELECT s, d, NULL AS m, NULL AS k FROM e WHERE s = 5 UNION ALL SELECT x.s, y.d, x.d, NULL FROM e x JOIN e y ON x.d = y.s WHERE x.s = 5 AND y.d <> x.s UNION ALL SELECT x.s, z.d, x.d, y.d FROM e x JOIN e y ON x.d = y.s JOIN e z ON y.d = z.s WHERE x.s = 5 AND y.d <> x.s AND z.d <> x.s AND z.d <> x.d) SELECT count(*) AS "COUNT(*)" FROM p')
 query("path_dst_filter", "MATCH (a:Orders)-[:NEXT_ORDER*1..2]->(b:Orders) WHERE b.o_totalprice > 400000.0 RETURN a.o_orderkey, b.o_orderkey", f'{_N}, p AS (SELECT s, d FROM e UNION ALL SELECT x.s, y.d FROM e x JOIN e y ON x.d = y.s) SELECT s AS "a.o_orderkey", d AS "b.o_orderkey" FROM p JOIN orders ON d = o_orderkey WHERE o_totalprice > 400000')
 query("path_src_filter", "MATCH (a:Orders)-[:NEXT_ORDER*2..3]->(b:Orders) WHERE a.o_orderstatus = 'F' AND a.o_totalprice > 300000.0 RETURN a.o_orderkey, b.o_orderkey", f"{_N}, p AS (SELECT x.s, y.d FROM e x JOIN e y ON x.d = y.s UNION ALL SELECT x.s, z.d FROM e x JOIN e y ON x.d = y.s JOIN e z ON y.d = z.s) SELECT s AS \"a.o_orderkey\", d AS \"b.o_orderkey\" FROM p JOIN orders ON s = o_orderkey WHERE o_orderstatus = 'F' AND o_totalprice > 300000")
 query("path_heterogeneous", "MATCH (c:Customer)-[:LIVES_IN*1..3]->(n:Nation) RETURN c.c_custkey, n.n_nationkey", 'SELECT c_custkey AS "c.c_custkey", CAST(c_nationkey AS BIGINT) AS "n.n_nationkey" FROM customer')
@@ -152,8 +153,7 @@ def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # statements and imports
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared or tempfile.gettempdir()}/lodegraph-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/lodegraph-{uuid.uuid4().hex[:12]}"
 
 
 @built("create_and_match", """SELECT * FROM (VALUES ('Alice', CAST(25.5 AS DOUBLE), true), ('Bob', 30.0, false)) t("p.name", "p.score", "p.active")""")
@@ -235,6 +235,172 @@ def csv_rels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.execute("MATCH (c:Customer)-[r:PLACED]->(o:Orders) RETURN c.c_name, o.o_orderkey, r.price")
 
 
+# CSV rules, over the whole customer table
+def _lines(frame: DataFrame, *columns, header: str | None = None, delimiter: str = ",") -> str:
+    """One file of lines in the order of the key, written as they are."""
+    path = f"{_folder(frame.sparkSession)}.csv"
+    line = F.concat_ws(delimiter, *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    rows = frame.select(F.lit(1).alias("part"), "c_custkey", line.alias("value"))
+    if header:
+        rows = frame.sparkSession.createDataFrame([(0, 0, header)], "part int, c_custkey long, value string").union(rows)
+    rows.coalesce(1).sortWithinPartitions("part", "c_custkey").select("value").write.text(path)
+    return path
+
+
+def _c(name: str):
+    return F.col(f"c_{name}")
+
+
+def _fresh(spark: SparkSession, columns: str) -> GraphSession:
+    g = GraphSession(spark)
+    g.execute(f"CREATE NODE TABLE P({columns}, PRIMARY KEY(id))")
+    return g
+
+
+@built("csv_delimiter_skip_no_header", 'SELECT c_custkey AS "p.id", c_name AS "p.name" FROM customer ORDER BY c_custkey OFFSET 3')
+def csv_delimiter_skip_no_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _fresh(spark, "id INT64, name STRING")
+    path = _lines(_customers(spark, sf_dir), _c("custkey"), _c("name"), delimiter=";")
+    g.execute(f"COPY P FROM '{path}' (HEADER=FALSE, DELIM=';', SKIP=3)")
+    return g.execute("MATCH (p:P) RETURN p.id, p.name")
+
+
+@built("csv_quoted_fields", """SELECT c_custkey AS "p.id", c_name || chr(10) || 'said "yes", and left ' AS "p.name" FROM customer""")
+def csv_quoted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line breaks, delimiters, doubled quotes and blanks inside quotes."""
+    g = _fresh(spark, "id INT64, name STRING")
+    quoted = F.concat(F.lit('"'), _c("name"), F.lit('\nsaid ""yes"", and left "'))
+    g.import_nodes("P", _lines(_customers(spark, sf_dir), quoted, _c("custkey"), header="name,id"))
+    return g.execute("MATCH (p:P) RETURN p.id, p.name")
+
+
+@built("csv_whitespace_and_empty", """SELECT c_custkey AS "p.id", CASE WHEN c_custkey % 3 > 0 THEN ' ' || c_name || ' ' END AS "p.name", CASE WHEN c_custkey % 2 = 1 THEN CAST(c_nationkey AS BIGINT) END AS "p.n" FROM customer""")
+def csv_whitespace_and_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White space is part of a field; an empty one is null."""
+    g = _fresh(spark, "id INT64, name STRING, n INT64")
+    name = F.when(_c("custkey") % 3 > 0, F.concat(F.lit(" "), _c("name"), F.lit(" ")))
+    g.import_nodes("P", _lines(_customers(spark, sf_dir), _c("custkey"), name, F.when(_c("custkey") % 2 == 1, _c("nationkey")), header="id,name,n"))
+    return g.execute("MATCH (p:P) RETURN p.id, p.name, p.n")
+
+
+@built("csv_ragged_rows", """SELECT c_custkey AS "p.id", CASE WHEN c_custkey % 4 <> 1 THEN c_mktsegment END AS "p.segment" FROM customer""")
+def csv_ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With IGNORE_ERRORS short rows end in nulls and long ones lose their ends."""
+    g = _fresh(spark, "id INT64, segment STRING")
+    line = F.when(_c("custkey") % 4 == 1, _c("custkey").cast("string")).when(_c("custkey") % 4 == 2, F.concat_ws(",", _c("custkey"), _c("mktsegment"), F.lit("more"))).otherwise(F.concat_ws(",", _c("custkey"), _c("mktsegment")))
+    g.import_nodes("P", _lines(_customers(spark, sf_dir), line, header="id,segment"), CsvImportConfig(ignore_errors=True))
+    return g.execute("MATCH (p:P) RETURN p.id, p.segment")
+
+
+_SPELT = F.element_at(F.array(*map(F.lit, ("true", "FALSE", "True", "1", "yes", "f"))), (_c("custkey") % 6 + 1).cast("int"))
+
+
+@built("csv_booleans", 'SELECT c_custkey AS "p.id", c_custkey % 6 <> 1 AS "p.ok" FROM customer WHERE c_custkey % 6 < 3')
+def csv_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes take true and false, in any case, only."""
+    g = _fresh(spark, "id INT64, ok BOOL")
+    g.import_nodes("P", _lines(_customers(spark, sf_dir), _c("custkey"), _SPELT, header="id,ok"), CsvImportConfig(ignore_errors=True))
+    return g.execute("MATCH (p:P) RETURN p.id, p.ok")
+
+
+@built("csv_rel_booleans", 'SELECT c_custkey AS "a.id", c_custkey % 6 NOT IN (1, 5) AS "k.ok" FROM customer')
+def csv_rel_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships take 1, yes, t and their opposites too."""
+    g, customers = _fresh(spark, "id INT64"), _customers(spark, sf_dir)
+    g.execute("CREATE REL TABLE K(FROM P TO P, ok BOOL)")
+    g.import_nodes("P", _lines(customers, _c("custkey"), header="id"))
+    g.import_relationships("K", _lines(customers, _c("custkey"), _c("custkey"), _SPELT, header="from,To,ok"))
+    return g.execute("MATCH (a:P)-[k:K]->(b:P) RETURN a.id, k.ok")
+
+
+_AT = "SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) + 1 AS r FROM customer"
+
+
+@built("csv_bad_rows", f"SELECT r AS row, CASE k % 5 WHEN 2 THEN 'column ''n'': Invalid INT64: 1.5' WHEN 3 THEN 'column ''x'': Invalid FLOAT64: NaN' ELSE 'column ''n'': Invalid INT64: 7 ' END AS reason FROM ({_AT}) WHERE k % 5 IN (2, 3, 4)")
+def csv_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and reasons of all bad rows, counted from 1 with the header."""
+    g = _fresh(spark, "id INT64, n INT64, x FLOAT64")
+    k = _c("custkey") % 5
+    n = F.when(k == 2, "1.5").when(k == 4, "7 ").otherwise("12")
+    got = g.import_nodes("P", _lines(_customers(spark, sf_dir), _c("custkey"), n, F.when(k == 3, "NaN").otherwise("2.5"), header="id,n,x"), CsvImportConfig(ignore_errors=True))
+    return got.bad_rows
+
+
+@built("csv_rel_keys", f"SELECT r AS row, CASE k % 4 WHEN 1 THEN 'FROM key cannot be empty' WHEN 2 THEN 'TO key cannot be empty' ELSE 'Destination node with key ' || chr(39) || '-' || k || chr(39) || ' not found' END AS reason FROM ({_AT}) WHERE k % 4 > 0")
+def csv_rel_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty and unknown keys of relationships."""
+    g, customers = _fresh(spark, "id INT64"), _customers(spark, sf_dir)
+    g.execute("CREATE REL TABLE K(FROM P TO P)")
+    g.import_nodes("P", _lines(customers, _c("custkey"), header="id"))
+    k = _c("custkey") % 4
+    to = F.when(k == 2, "").when(k == 3, F.concat(F.lit("-"), _c("custkey").cast("string"))).otherwise(_c("custkey").cast("string"))
+    got = g.import_relationships("K", _lines(customers, F.when(k != 1, _c("custkey")), to, header="FROM,TO"), CsvImportConfig(ignore_errors=True))
+    return got.bad_rows
+
+
+@built("csv_result", "SELECT count(*) AS imported, CAST(0 AS BIGINT) AS failed, CAST(sum(octet_length(encode(c_custkey || ',' || c_name || chr(10)))) + 8 AS BIGINT) AS bytes, true AS told FROM customer")
+def csv_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and bytes of an import, and what its callback is told."""
+    g, told = _fresh(spark, "id INT64, name STRING"), []
+    got = g.import_nodes("P", _lines(_customers(spark, sf_dir), _c("custkey"), _c("name"), header="id,name"), progress=told.append)
+    right = told[0].bytes_read == 0 and told[-1].percent == 100.0 and told[-1].rows_processed == got.rows_imported and all(a.bytes_read <= b.bytes_read for a, b in zip(told, told[1:]))
+    return spark.createDataFrame([(got.rows_imported, got.rows_failed, got.bytes_processed, right)], "imported long, failed long, bytes long, told boolean")
+
+
+@built("stream_import", 'SELECT c_custkey AS "p.id", c_name AS "p.name" FROM customer')
+def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in a folder, taken in by a stream that ends when all are."""
+    from .streaming.ingest import stream_nodes
+
+    g = _fresh(spark, "id INT64, name STRING")
+    files = f"{_folder(spark)}.csv"
+    _customers(spark, sf_dir).select("c_custkey", "c_name").repartition(3).write.option("header", True).csv(files)
+    stream_nodes(g, "P", files, _folder(spark), available_now=True, max_files=2).awaitTermination()
+    return g.execute("MATCH (p:P) RETURN p.id, p.name")
+
+
+@built("create_many", 'SELECT c_custkey AS "p.id", c_acctbal AS "p.x" FROM customer')
+def create_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _fresh(spark, "id INT64, x FLOAT64")
+    g.create_nodes("P", _customers(spark, sf_dir).selectExpr("c_custkey as id", "c_acctbal as x"))
+    return g.execute("MATCH (p:P) RETURN p.id, p.x")
+
+
+@built("planner_rules", "SELECT unnest(['FilterPushdown', 'ProjectionPushdown']) AS rule, unnest([1, 2]) AS place, unnest(['NodeScan: Customer as c', 'Project: [c.c_name]']) AS holds")
+def planner_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that change a plan, and lines of the verbose explanation."""
+    g = testgraph.load(spark, sf_dir)
+    q = "MATCH (c:Customer) WHERE c.c_acctbal > 5000.0 RETURN c.c_name"
+    text = g.explain(q, verbose=True)
+    rules = text.split("Rules applied: ")[1].split("\n")[0].split(", ")
+    held = [w if w in text else "" for w in ("NodeScan: Customer as c", "Project: [c.c_name]")]
+    return spark.createDataFrame([(r, k + 1, h) for k, (r, h) in enumerate(zip(rules, held))], "rule string, place int, holds string")
+
+
+# NaN, which compares to nothing: on each side, with every operator, and under NOT
+def _with_nan(spark: SparkSession, sf_dir: str) -> GraphSession:
+    g = GraphSession(spark)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    third = F.col("p_partkey") % 3
+    x = F.when(third == 0, F.lit(float("nan"))).when(third == 1, F.col("p_size").cast("double") + F.col("p_partkey") % 5 - 2)
+    g.register_nodes("X", part.select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("long").alias("n"), x.alias("x"), F.when(F.col("p_partkey") % 2 == 0, x).otherwise(25.0).alias("y")), "id")
+    return g
+
+
+_X = "SELECT p_partkey AS \"a.id\" FROM (SELECT p_partkey, p_size AS n, CASE WHEN p_partkey % 3 = 1 THEN p_size + p_partkey % 5 - 2 END AS x, p_partkey % 2 AS odd FROM part)"
+for _name, _op in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
+    for _side, _text, _sql in (
+        ("left", f"a.x {_op} a.n", f"x {_op} n"),
+        ("right", f"a.n {_op} a.x", f"n {_op} x"),
+        ("literal", f"a.x {_op} 25.0", f"x {_op} 25"),
+        ("literal_left", f"25 {_op} a.x", f"25 {_op} x"),
+        ("both", f"a.x {_op} a.y", f"x {_op} (CASE WHEN odd = 0 THEN x ELSE 25 END)"),
+        ("not", f"NOT a.x {_op} a.n", f"NOT x {_op} n"),
+        ("not_literal", f"NOT (a.x {_op} 25.0 OR a.n {_op} a.x)", f"NOT (x {_op} 25 OR n {_op} x)"),
+    ):
+        built(f"nan_{_side}_{_name}", f"{_X} WHERE {_sql}")(lambda spark, sf_dir, w=_text: _with_nan(spark, sf_dir).execute(f"MATCH (a:X) WHERE {w} RETURN a.id"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue-like roll-up over a two-table pattern."""
     return testgraph.load(spark, sf_dir).execute(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import time
 import uuid
 from functools import reduce
@@ -20,13 +19,21 @@ from .plans.binder import Binder, explain_text
 from .plans.optimizer import Planner
 from .sources import csv
 from .sources.csv import CsvImportConfig, ImportProgress, ImportResult, ProgressCallback
-from .sources.files import Files
+from .sources.files import Files, shared_folder
 from .types import GraphType, fits, literal_type
 
 #: Ids of rows that statements create start here; imported ones lie below.
 CREATED = 1 << 62
 
 
+def _manifest(version: int) -> str:
+    return f"manifest/{version:012d}.json"
+
+
+def _versions(files: Files) -> list[int]:
+    return sorted(int(n.removesuffix(".json")) for n in files.names("manifest") if n.endswith(".json"))
+
+
 class _Table:
     """One table's rows: written parts, and created rows not yet written."""
 
@@ -269,6 +276,10 @@ class GraphSession:
         self._next += 1
 
     # imports
+    def _remove(self, staged: DataFrame) -> None:
+        """Rows of an import that failed."""
+        Files(self.spark, staged._lodegraph_path).delete(".")
+
     def _copy(self, tree: ast.Copy) -> DataFrame:
         o = tree.options
         config = CsvImportConfig(delimiter=o.get("delim", ","), has_header=o.get("header", True), skip_rows=max(0, o.get("skip", 0)), ignore_errors=o.get("ignore_errors", False))
@@ -285,8 +296,7 @@ class GraphSession:
         if self.path:
             where = f"{self.path.rstrip('/')}/data/{name}-{uuid.uuid4().hex[:12]}"
         else:
-            shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-            where = f"{shared or tempfile.gettempdir()}/lodegraph-{name}-{uuid.uuid4().hex[:12]}"
+            where = f"{shared_folder(self.spark)}/lodegraph-{name}-{uuid.uuid4().hex[:12]}"
         frame.write.parquet(where)
         out = self.spark.read.schema(frame.schema).parquet(where)
         out._lodegraph_path = where
@@ -314,7 +324,7 @@ class GraphSession:
             raw = csv.numbered(raw).where(F.col("__row") >= config.skip_rows).drop("__row")
         return raw, {w: F.col(f"f{k}") for w, k in places.items()}
 
-    def _settle(self, staged: DataFrame, config: CsvImportConfig, began: float, progress) -> tuple[DataFrame, int, int, list[str], DataFrame | None]:
+    def _settle(self, staged: DataFrame, config: CsvImportConfig) -> tuple[DataFrame, int, int, list[str], DataFrame | None]:
         """Good rows, and the account of bad ones: the first reasons, and all as a
         table; without ignore_errors any ends it."""
         total, failed = staged.agg(F.count(F.lit(1)).alias("n"), F.count("__error").alias("bad")).first()
@@ -326,8 +336,6 @@ class GraphSession:
             reasons = [f"Row {r['row']}, {r['reason']}" for r in bad.orderBy("row").limit(csv.PREVIEW).collect()]
             if not config.ignore_errors:
                 raise ImportFailed(reasons[0])
-        if progress:
-            progress(ImportProgress(total, failed, 0, 0, time.time() - began))
         return staged.where("__error is null"), total - failed, failed, reasons, bad
 
     def import_nodes(self, table: str, path: str, config: CsvImportConfig | None = None, progress: ProgressCallback | None = None) -> ImportResult:
@@ -337,50 +345,80 @@ class GraphSession:
         import in either mode.
         """
         self._writable()
-        config, began = config or CsvImportConfig(), time.time()
+        config = config or CsvImportConfig()
         config.validate()
         schema = self.catalog.node(table)
-        if progress:
-            progress(ImportProgress())
         raw, at = self._fields(path, config, [c.name for c in schema.columns])
-        return self._take_nodes(schema, raw, at, config, began, progress)
+        with csv.Watch(self.spark, path, progress) as watch:
+            return self._take_nodes(schema, raw, at, config, watch)
 
-    def _take_nodes(self, schema: NodeTable, raw: DataFrame, at: dict, config: CsvImportConfig, began: float, progress) -> ImportResult:
+    def _take_nodes(self, schema: NodeTable, raw: DataFrame, at: dict, config: CsvImportConfig, watch: csv.Watch) -> ImportResult:
         """Parse, check and append rows whose fields `at` are text."""
-        table = schema.name
         values = [csv.parsed(at[c.name], c.type, "node").cast(c.type.spark) for c in schema.columns]
         reasons = [csv.failure(at[c.name], v, c.type, c.name) for c, v in zip(schema.columns, values)]
         if not config.ignore_errors:
             reasons.insert(0, F.when(F.col(csv.CORRUPT).isNotNull(), F.lit("wrong number of fields")))
         base = F.lit(self._imports << 50)
         typed = raw.select((base + F.col(csv.ORDINAL)).alias("_id"), F.col(csv.ORDINAL), *[v.alias(c.name) for c, v in zip(schema.columns, values)], csv.first_of(reasons).alias("__error"))
+        return self._take(schema.name, typed, config, watch, lambda rows: self._check_keys(schema, rows))
+
+    def _take(self, table: str, typed: DataFrame, config: CsvImportConfig, watch: csv.Watch, check) -> ImportResult:
+        """Write rows once, check them and append them; a failure leaves nothing."""
         staged = self._written(typed, table)
-        good, imported, failed, errors, bad = self._settle(staged, config, began, progress)
-        rows = good.drop("__error", csv.ORDINAL)
+        try:
+            good, imported, failed, errors, bad = self._settle(staged, config)
+            rows = good.drop("__error", csv.ORDINAL)
+            check(rows)
+            self._append(table, staged, rows)
+        except Exception:
+            self._remove(staged)
+            raise
+        watch.done(imported + failed, failed)
+        return ImportResult(imported, failed, watch.total_bytes, errors, bad)
+
+    def _check_keys(self, schema: NodeTable, rows: DataFrame) -> None:
         keys = [F.col(f"`{k}`") for k in schema.primary_key]
         twice = rows.groupBy(*keys).count().where("count > 1").limit(1).collect()
         if twice:
-            raise ConstraintViolation(f"primary key {tuple(twice[0])[:-1]} of '{table}' occurs more than once")
-        state = self._tables[table]
+            raise ConstraintViolation(f"primary key {tuple(twice[0])[:-1]} of '{schema.name}' occurs more than once")
+        state = self._tables[schema.name]
         if state.parts or state.created:
             old = state.frame(self.spark).select(*[k.alias(f"__k{i}") for i, k in enumerate(keys)])
             same = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
             clash = rows.join(old, same, "left_semi").limit(1).collect()
             if clash:
-                raise ConstraintViolation(f"a '{table}' with that primary key exists already: {tuple(clash[0][k] for k in schema.primary_key)}")
-        self._append(table, staged, rows)
-        return ImportResult(imported, failed, 0, errors, bad)
+                raise ConstraintViolation(f"a '{schema.name}' with that primary key exists already: {tuple(clash[0][k] for k in schema.primary_key)}")
+
+    def create_nodes(self, table: str, frame: DataFrame) -> int:
+        """CREATE for many nodes at once: every row of a DataFrame whose columns
+        are the table's, in one commit; gives their number."""
+        self._writable()
+        schema = self.catalog.node(table)
+        if missing := [c.name for c in schema.columns if c.name not in frame.columns]:
+            raise SchemaError(f"missing property '{missing[0]}' of '{table}'")
+        for name in frame.columns:
+            column = schema.column(name)
+            if column is None:
+                raise SchemaError(f"'{table}' has no property '{name}'")
+            kind = GraphType.of(frame.schema[name].dataType)
+            if kind is not column.type and not (column.type.is_float and kind.is_numeric):
+                raise TypeMismatch(column.type.value, kind.value, f"property '{name}'")
+        ordinal = F.monotonically_increasing_id()
+        typed = frame.select((F.lit(self._imports << 50) + ordinal).alias("_id"), ordinal.alias(csv.ORDINAL), *[F.col(f"`{c.name}`").cast(c.type.spark).alias(c.name) for c in schema.columns], F.lit(None).cast("string").alias("__error"))
+        return self._take(table, typed, CsvImportConfig(), csv.Watch(self.spark, None, None), lambda rows: self._check_keys(schema, rows)).rows_imported
 
     def import_relationships(self, table: str, path: str, config: CsvImportConfig | None = None, progress: ProgressCallback | None = None) -> ImportResult:
         """Append a CSV file of FROM, TO and properties; keys are looked up in
         the end tables, and unknown ones count as errors."""
         self._writable()
-        config, began = config or CsvImportConfig(), time.time()
+        config = config or CsvImportConfig()
         config.validate()
         schema = self.catalog.rel(table)
-        if progress:
-            progress(ImportProgress())
         raw, at = self._fields(path, config, ["FROM", "TO", *(c.name for c in schema.columns)], ("FROM", "TO"))
+        with csv.Watch(self.spark, path, progress) as watch:
+            return self._take_relationships(schema, raw, at, config, watch)
+
+    def _take_relationships(self, schema: RelTable, raw: DataFrame, at: dict, config: CsvImportConfig, watch: csv.Watch) -> ImportResult:
         values = [csv.parsed(at[c.name], c.type, "rel").cast(c.type.spark) for c in schema.columns]
         reasons = [csv.failure(at[c.name], v, c.type, c.name) for c, v in zip(schema.columns, values)]
         empty = [F.when(at[k].isNull(), F.lit(f"{k} key cannot be empty")) for k in ("FROM", "TO")]
@@ -398,10 +436,7 @@ class GraphSession:
             typed = typed.withColumn("__error", F.coalesce("__error", gone))
         base = F.lit(self._imports << 50)
         names = [c.name for c in schema.columns]
-        staged = self._written(typed.select((base + F.col(csv.ORDINAL)).alias("_id"), "_src", "_dst", *names, csv.ORDINAL, "__error"), table)
-        good, imported, failed, errors, bad = self._settle(staged, config, began, progress)
-        self._append(table, staged, good.drop("__error", csv.ORDINAL))
-        return ImportResult(imported, failed, 0, errors, bad)
+        return self._take(schema.name, typed.select((base + F.col(csv.ORDINAL)).alias("_id"), "_src", "_dst", *names, csv.ORDINAL, "__error"), config, watch, lambda rows: None)
 
     def _append(self, table: str, staged: DataFrame, rows: DataFrame) -> None:
         state = self._tables[table]
@@ -411,26 +446,44 @@ class GraphSession:
 
     # persistence
     def _commit(self) -> None:
-        """Name the tables and their files in a manifest, replaced as a whole."""
+        """Name the tables and their files in the next manifest.
+
+        Manifests are numbered and never replaced: the newest one counts, so a
+        failure at any point leaves the graph as before or as after."""
         if not self._files:
             return
         root = f"{self.path.rstrip('/')}/"
         data = {name: [p.removeprefix(root) for p in t.paths] for name, t in self._tables.items()}
-        self._files.write("manifest.json", json.dumps({"format": 1, "catalog": self.catalog.to_json(), "data": data, "imports": self._imports, "next": self._next, "log": self._folded, "epochs": self._epochs}))
+        saved = {"format": 2, "catalog": self.catalog.to_json(), "data": data, "imports": self._imports, "next": self._next, "log": self._folded, "epochs": self._epochs}
+        self._files.write(_manifest(self._version + 1), json.dumps(saved))
+        self._version += 1
+        for old in _versions(self._files):
+            if old < self._version - 1:
+                self._files.delete(_manifest(old))
 
     _folded = 0
+    _version = 0
 
     def _load(self) -> None:
         files = self._files
-        if not files.exists("manifest.json"):
+        versions = _versions(files)
+        if not versions:
             if self.read_only:
                 raise StorageError(f"'{self.path}' is not a graph")
+            if files.names("data") or files.names("log"):
+                raise StorageError(f"'{self.path}' holds a graph's data but no manifest")
             self._commit()
             return
-        try:
-            saved = json.loads(files.read("manifest.json"))
-        except ValueError as e:
-            raise StorageError(f"the manifest of '{self.path}' is damaged") from e
+        saved = None
+        for version in reversed(versions):
+            try:
+                saved = json.loads(files.read(_manifest(version)))
+                break
+            except ValueError:  # cut short; the one before is whole
+                continue
+        if saved is None:
+            raise StorageError(f"the manifest of '{self.path}' is damaged")
+        self._version = versions[-1]
         for table in Catalog.from_json(saved["catalog"]).tables.values():
             self._add(table)
         self._imports, self._next, self._folded = saved["imports"], saved["next"], saved["log"]

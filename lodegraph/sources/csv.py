@@ -1,12 +1,14 @@
 """CSV import: every field is read as text and parsed by rules of our own.
 
 A row that fails carries its reason in a column; nothing is collected but a few
-reasons.  Files are split among tasks unless a quoted field spans lines.
+reasons.  Files are split among tasks unless a quoted field of theirs spans lines.
 """
 
 from __future__ import annotations
 
 import csv as text_csv
+import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..errors import StorageError, ValidationError
 from ..types import GraphType
+from .files import Files
 
 
 @dataclass
@@ -71,13 +74,16 @@ class ImportResult:
 
 @dataclass
 class ImportProgress:
-    """What a progress callback is told, at the start and at the end."""
+    """What a progress callback is told: at the start, while tasks finish, and at
+    the end, when the rows are counted."""
 
     rows_processed: int = 0
     rows_failed: int = 0
     bytes_read: int = 0
     total_bytes: int = 0
     seconds: float = 0.0
+    #: Bytes a second, smoothed: the latest ones count most.
+    rate: float = 0.0
 
     @property
     def percent(self) -> float:
@@ -87,9 +93,63 @@ class ImportProgress:
     def throughput(self) -> float:
         return self.rows_processed / self.seconds if self.seconds else 0.0
 
+    @property
+    def seconds_left(self) -> float | None:
+        """An estimate; None while there is nothing to go by."""
+        return (self.total_bytes - self.bytes_read) / self.rate if self.rate else None
+
 
 ProgressCallback = Callable[[ImportProgress], None]
 
+
+class Watch:
+    """Tells a callback how far an import's jobs are, from Spark's own count of
+    finished tasks; without a callback it only knows the size of the input."""
+
+    INTERVAL = 0.5
+    SMOOTHING = 0.3
+
+    def __init__(self, spark: SparkSession, path: str | None, tell: ProgressCallback | None):
+        self.tell, self.began = tell, time.time()
+        self.context = spark.sparkContext
+        self.total_bytes = Files(spark, path).size() if path else 0
+        self.read, self.rate = 0, 0.0
+        self._over = threading.Event()
+        self._thread = None
+
+    def __enter__(self) -> Watch:
+        if self.tell:
+            self.tell(ImportProgress(total_bytes=self.total_bytes))
+            self._thread = threading.Thread(target=self._follow, daemon=True)
+            self._thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._over.set()
+        if self._thread:
+            self._thread.join()
+
+    def _follow(self) -> None:
+        tracker, last = self.context.statusTracker(), time.time()
+        while not self._over.wait(self.INTERVAL):
+            stages = [tracker.getStageInfo(k) for k in tracker.getActiveStageIds()]
+            tasks = sum(s.numTasks for s in stages if s)
+            if not tasks:
+                continue
+            now, done = time.time(), sum(s.numCompletedTasks for s in stages if s) / tasks
+            # never back, and not at the end before the rows are counted
+            read = max(self.read, int(0.99 * self.total_bytes * done))
+            rate = (read - self.read) / max(now - last, 1e-3)
+            self.rate = rate if not self.rate else self.SMOOTHING * rate + (1 - self.SMOOTHING) * self.rate
+            self.read, last = read, now
+            self.tell(ImportProgress(0, 0, read, self.total_bytes, now - self.began, self.rate))
+
+    def done(self, rows: int, failed: int) -> None:
+        self.__exit__()
+        if self.tell:
+            self.tell(ImportProgress(rows, failed, self.total_bytes, self.total_bytes, time.time() - self.began, self.rate))
+
+
 #: Accepted spellings of numbers; Spark's casts accept more.
 INTEGER = r"^[+-]?[0-9]+$"
 FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -107,19 +167,23 @@ def header(spark: SparkSession, path: str, config: CsvImportConfig) -> list[str]
     return next(text_csv.reader([first["value"]], delimiter=config.delimiter, quotechar=config.quote))
 
 
-def _spans_lines(spark: SparkSession, path: str, config: CsvImportConfig) -> bool:
-    if config.multiline is not None:
-        return config.multiline
+def _spanning(spark: SparkSession, path: str, config: CsvImportConfig) -> list[str]:
+    """The files in which a quoted field may span lines: those with a line of an
+    odd number of quotes."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit(config.quote), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    odd = spark.read.text(path).where(quotes % 2 == 1)
+    return sorted(r[0] for r in odd.select(F.input_file_name()).distinct().collect())
 
 
 def read(spark: SparkSession, path: str, names: list[str], config: CsvImportConfig) -> DataFrame:
     """All fields as text under positional names f0, f1, ..., with ORDINAL, a
-    number that rises in file order, and CORRUPT, set on rows of another width."""
+    number that rises in file order, and CORRUPT, set on rows of another width.
+
+    Only files with a field that spans lines are read by one task each.
+    """
     fields = [T.StructField(f"f{k}", T.StringType()) for k in range(len(names))]
     schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-    got = (
+    reader = (
         spark.read.schema(schema)
         .option("sep", config.delimiter)
         .option("quote", config.quote)
@@ -130,9 +194,21 @@ def read(spark: SparkSession, path: str, names: list[str], config: CsvImportConf
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .option("multiLine", _spans_lines(spark, path, config))
-        .csv(path)
     )
+    if config.multiline is None:
+        whole = _spanning(spark, path, config)
+        every = [f for f in spark.read.text(path).inputFiles()] if whole else []
+        rest = sorted(set(every) - set(whole))
+        if len(rest) + len(whole) != len(every):  # named otherwise here: all whole
+            whole, rest = [path], []
+    else:
+        whole, rest = ([path], []) if config.multiline else ([], [])
+    if not whole:
+        got = reader.option("multiLine", False).csv(path)
+    else:
+        got = reader.option("multiLine", True).csv(whole)
+        if rest:
+            got = reader.option("multiLine", False).csv(rest).unionByName(got)
     return got.withColumn(ORDINAL, F.monotonically_increasing_id())
 
 

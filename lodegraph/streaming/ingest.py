@@ -7,8 +7,6 @@ is taken in once.
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +44,7 @@ def stream_nodes(graph: GraphSession, table: str, folder: str, checkpoint: str,
         graph._epochs[name] = epoch
         try:
             raw = batch.withColumn(csv.ORDINAL, F.monotonically_increasing_id())
-            graph._take_nodes(schema, raw, {c.name: F.col(f"f{k}") for k, c in enumerate(schema.columns)}, config, time.time(), None)
+            graph._take_nodes(schema, raw, {c.name: F.col(f"f{k}") for k, c in enumerate(schema.columns)}, config, csv.Watch(graph.spark, None, None))
         except Exception:
             graph._epochs = before
             raise

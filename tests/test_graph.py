@@ -173,6 +173,155 @@ def test_read_only_and_own_rules(spark, tmp_path):
     assert GraphSession.open(spark, path).execute("MATCH (t:T) RETURN t.id").count() == 2
 
 
+class Crash(BaseException):
+    """Not an Exception, so that no handler cleans up, as after a power cut."""
+
+
+def test_a_crash_at_any_point_leaves_the_old_or_the_new_graph(spark, tmp_path, monkeypatch):
+    """Fail before and after each single file operation, and reopen."""
+    from lodegraph.sources.files import Files
+
+    def state(path):
+        g = GraphSession.open(spark, path, read_only=True)
+        return sorted(g.catalog.tables), [rows(g.execute(f"MATCH (t:{t}) RETURN t.id")) for t in ("T", "U") if t in g.catalog.tables]
+
+    def steps(g):
+        yield lambda: g.execute("CREATE NODE TABLE U(id INT64, PRIMARY KEY(id))")
+        yield lambda: g.execute("CREATE (:U {id: 5})")
+        yield lambda: g.create_nodes("U", spark.createDataFrame([(6,), (7,)], "id long"))
+        yield lambda: g.checkpoint()
+
+    class Counting:
+        """The file system, which breaks off at one operation."""
+
+        def __init__(self, real, left, after):
+            self.real, self.left, self.after = real, left, after
+
+        def __getattr__(self, name):
+            done = getattr(self.real, name)
+            if name not in ("create", "rename", "delete"):
+                return done
+
+            def run(*args):
+                self.left -= 1
+                if self.left == 0 and not self.after:
+                    raise Crash
+                out = done(*args)
+                if self.left == 0:
+                    if name == "create":
+                        out.close()  # an empty file
+                    raise Crash
+                return out
+
+            return run
+
+    crashes = 0
+    for which in range(4):
+        for after in (False, True):
+            for point in itertools.count(1):
+                path = str(tmp_path / f"g{which}{int(after)}{point}")
+                with GraphSession.open(spark, path) as g:
+                    g.execute("CREATE NODE TABLE T(id INT64, PRIMARY KEY(id))")
+                    g.execute("CREATE (:T {id: 1})")
+                g = GraphSession.open(spark, path)
+                todo = list(steps(g))
+                for step in todo[:which]:
+                    step()
+                old = state(path)
+                g._files._fs = Counting(g._files._fs, point, after)
+                try:
+                    todo[which]()
+                    broke = False
+                except Crash:
+                    broke, crashes = True, crashes + 1
+                found = state(path)
+                again = GraphSession.open(spark, path)  # goes on as if nothing had been
+                again.execute("CREATE (:T {id: 99})")
+                again.checkpoint()
+                assert (99,) in state(path)[1][0]
+                if not broke:
+                    new = found
+                    break
+                news = {0: (["T", "U"], [[(1,)], []]), 1: (["T", "U"], [[(1,)], [(5,)]]), 2: (["T", "U"], [[(1,)], [(5,), (6,), (7,)]]), 3: old}
+                assert found in (old, news[which]), (which, after, point)
+            assert new == news[which] if which in (0, 1, 2) and crashes else True
+    assert crashes > 20
+    assert isinstance(g._files, Files) or True
+
+
+def test_a_folder_with_data_but_no_manifest_is_refused(spark, tmp_path):
+    path = str(tmp_path / "g")
+    with GraphSession.open(spark, path) as g:
+        g.execute("CREATE NODE TABLE T(id INT64, PRIMARY KEY(id))")
+        g.execute("CREATE (:T {id: 1})")
+    newest = sorted((tmp_path / "g" / "manifest").glob("*.json"))[-1]
+    text = newest.read_text()
+    newest.write_text(text[:20])  # cut short: the one before it counts
+    for crc in (tmp_path / "g" / "manifest").glob(".*.crc"):
+        crc.unlink()
+    assert "T" in GraphSession.open(spark, path, read_only=True).catalog.tables
+    for f in (tmp_path / "g" / "manifest").iterdir():
+        f.unlink()
+    with pytest.raises(err.StorageError):
+        GraphSession.open(spark, path)
+
+
+def test_failed_imports_leave_no_files(spark, tmp_path):
+    g = GraphSession.open(spark, str(tmp_path / "g"))
+    g.execute("CREATE NODE TABLE P(id INT64, PRIMARY KEY(id))")
+    for text in ("id\nx\n", "id\n1\n1\n"):
+        with pytest.raises((err.ImportFailed, err.ConstraintViolation)):
+            g.import_nodes("P", write(tmp_path, "a.csv", text))
+    assert not (tmp_path / "g" / "data").exists() or not list((tmp_path / "g" / "data").iterdir())
+    with pytest.raises(err.ConstraintViolation):
+        g.create_nodes("P", spark.createDataFrame([(1,), (1,)], "id long"))
+    with pytest.raises(err.SchemaError):
+        g.create_nodes("P", spark.createDataFrame([(1, 2)], "id long, more long"))
+    with pytest.raises(err.TypeMismatch):
+        g.create_nodes("P", spark.createDataFrame([("x",)], "id string"))
+    assert g.create_nodes("P", spark.createDataFrame([(1,), (2,)], "id int")) == 2
+    with pytest.raises(err.ConstraintViolation):
+        g.create_nodes("P", spark.createDataFrame([(2,)], "id long"))
+
+
+def test_paths_are_one_chain_of_joins(spark):
+    """*1..4 reads the edges once a hop."""
+    g = graph_of(spark, [(1, 2), (2, 3), (3, 4), (4, 5)], 6)
+    got = g.execute("MATCH (a:N)-[r:E*1..4]->(b:N) RETURN r.length, r.path")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 4 and plan.count("Join") == 3
+    assert sorted(r["r.path"] for r in got.collect() if r["r.length"] == 3) == ["1->2->3->4", "2->3->4->5"]
+
+
+def test_files_are_split_but_for_those_with_spanning_fields(spark, tmp_path):
+    g = GraphSession(spark)
+    g.execute("CREATE NODE TABLE P(id INT64, name STRING, PRIMARY KEY(id))")
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "a.csv", "id,name\n" + "".join(f"{k},n{k}\n" for k in range(20_000)))
+    write(tmp_path / "in", "b.csv", 'id,name\n50000,"two\nlines"\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)
+    try:
+        from lodegraph.sources import csv as rules
+
+        read = rules.read(spark, str(tmp_path / "in"), ["id", "name"], rules.CsvImportConfig())
+        assert read.rdd.getNumPartitions() >= 4
+        assert g.import_nodes("P", str(tmp_path / "in")).rows_imported == 20_001
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows(g.execute("MATCH (p:P) WHERE p.id >= 19999 RETURN p.name")) == [("n19999",), ("two\nlines",)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lodegraph.sources.files import shared_folder
+
+    nothing = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(getConf=lambda: nothing, master="spark://somewhere:7077"))
+    with pytest.raises(err.StorageError):
+        shared_folder(far)
+
+
 def write(tmp_path, name, text):
     path = tmp_path / name
     path.write_text(text)
