@@ -37,8 +37,9 @@ def picked(docs: DataFrame, labels: DataFrame, value: str, held_out: int | None,
     while True:  # farther, in the rare case that many labels have no document
         most = int(span * reach)
         near = wanted.where(place < most).groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
-        found = texts.where(F.col("place") < most).join(near, "doc_id")
-        sizes = found.groupBy("place").agg(F.max(F.octet_length("text")).alias("n")).orderBy("place").limit(2 * limit).collect()
+        near = F.broadcast(near) if total * reach <= 64 * limit else near
+        sizes = texts.where(F.col("place") < most).select("doc_id", "place", F.octet_length("text").alias("n")).join(near, "doc_id")
+        sizes = sizes.groupBy("place").agg(F.max("n").alias("n"), F.min("label").alias("label")).orderBy("place").limit(2 * limit).collect()
         if len(sizes) >= limit or reach == 1.0:
             break
         reach = min(1.0, reach * 8)
@@ -47,11 +48,11 @@ def picked(docs: DataFrame, labels: DataFrame, value: str, held_out: int | None,
         held += r["n"]
         if len(chosen) == limit or (chosen and held > limit_bytes):
             break
-        chosen.append((r["place"],))
+        chosen.append((r["place"], r["label"]))
     if not chosen:
         return None
-    places = spark.createDataFrame(chosen, "place long")  # at most `limit`
-    return found.join(F.broadcast(places), "place").groupBy("place").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    places = spark.createDataFrame(chosen, "place long, label int")  # at most `limit`
+    return texts.join(F.broadcast(places), "place").groupBy("place").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def ordered(rows: pd.DataFrame) -> list[tuple[str, int]]:

@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import uuid
 import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_FOLDER = "/tmp/lodegraph-checkpoints"
-
+from ..sources.files import shared_folder
 
 def folder(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named.rstrip("/") if named else f"file://{LOCAL_FOLDER}"
+    return shared_folder(spark)
 
 
 class Stage:
@@ -55,13 +51,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def forget(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of finished steps, whose results are
-    written; it does so whenever the driver's JVM collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

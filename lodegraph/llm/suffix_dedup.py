@@ -22,10 +22,16 @@ passage that very many documents hold reaches a bucket once a task.
 Texts are dealt out once by row, into a bucketed table that the later rounds
 join without moving them again.
 
-Defined results: a null or empty text has nothing to remove; documents of equal
-id don't remove from each other; rows of a null id neither lose bytes nor make
-others lose them; repeated rows lose alike; an empty table gives no rows;
-further columns are ignored.
+Equality is that of hashes: 80 bits and the bucket (of 16 bits at most) for a
+pair, 88 and the bucket for a window.  The chance that any two of N differing
+strings pass for equal is below N^2 / 2^81 over the number of buckets: 10^-8 for
+30 GB in 200 buckets, 10^-3 for 100 TB in 65,536.
+
+Defined results: a null or empty text has nothing to remove; a text of any
+length (Spark's limit is 2 GB) is ranked and cut whole, alone in its block, in
+some 60 times its size of memory; documents of equal id don't remove from each other; rows of
+a null id neither lose bytes nor make others lose them; repeated rows lose alike;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +52,8 @@ GRAM = 16
 HELD_ANCHORS = 800_000
 #: Window names a task holds before it deals them out.
 HELD_WINDOWS = 800_000
+#: Bits of a place within a text; none is longer than 2 GB.
+PLACE_BITS = 31
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -64,7 +72,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     n = len(data) - gram + 1
     place = np.arange(n)
     h = texts.span_hash(running, place, place + gram)
-    bits = np.uint64(30)
+    bits = np.uint64(PLACE_BITS)
     key = (h >> bits << bits) | place.astype(np.uint64)  # of equal hashes the first
     span = length - gram + 1
     width = 1
@@ -76,7 +84,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     row, start = texts.ragged(size[long] - length + 1)
     row = long[row]
     start = start + off[row]
-    least = (key[start] & np.uint64((1 << 30) - 1)).astype(np.int64)
+    least = (key[start] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
     opens = np.ones(len(start), bool)
     opens[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(opens)
@@ -260,20 +268,41 @@ def _numbered(piece, column: str, row: np.ndarray) -> np.ndarray:
 
 def _deal_windows(buckets: int, length: int, gram: int):
     """The names of open anchors' windows, dealt by what stands for them, so that
-    an anchor's windows stay together: its first start tells the others'."""
+    an anchor's windows stay together: its first start tells the others'.  Of
+    equal windows of a task only the smallest document's are dealt; the others go
+    to the bucket below zero of their row."""
 
     def hand_on(held):
         name, start, count, rid, doc = (np.concatenate([x[k] for x in held]) for k in range(5))
-        windows = np.concatenate([x[5] for x in held])
-        first = np.cumsum(count) - count
-        where = (name >> np.uint64(48)).astype(np.int64) % buckets
+        windows = np.concatenate([x[5] for x in held]) & np.uint64((1 << 48) - 1)
+        # what a smaller document of the task settles need not be dealt
+        item, place = texts.ragged(count)
+        order = np.lexsort((doc[item], windows, name[item]))
+        stand, window, owner = name[item][order], windows[order], doc[item][order]
+        opens = np.ones(len(order), bool)
+        opens[1:] = (stand[1:] != stand[:-1]) | (window[1:] != window[:-1])
+        settled = np.zeros(len(order), bool)
+        settled[order] = owner > owner[np.flatnonzero(opens)][np.cumsum(opens) - 1]
+        del order, stand, window, owner, opens
+        # both kinds as runs of neighbouring starts of one anchor
+        begins = np.ones(len(item), bool)
+        begins[1:] = (item[1:] != item[:-1]) | (settled[1:] != settled[:-1])
+        first = np.flatnonzero(begins)
+        count = np.diff(np.append(first, len(item)))
+        of, told = item[first], settled[first]
+        start, name, rid, doc = start[of] + place[first], name[of], rid[of], doc[of]
+        where = np.where(told, -1 - _home(rid, buckets), (name >> np.uint64(48)).astype(np.int64) % buckets)
         order = np.argsort(where, kind="stable")
         for a, n in zip(*(x.tolist() for x in _runs_of(where[order]))):
             part = order[a : a + n]
-            item, place = texts.ragged(count[part])
-            mine = windows[first[part][item] + place]
+            known = start[part].astype(np.uint32).tobytes(), _small(count[part]), rid[part].tobytes()
+            if told[part[0]]:
+                yield _blob(_WINDOW_NAMES, int(where[part[0]]), b"", b"", b"", b"", *known, b"")
+                continue
+            inner, place_ = texts.ragged(count[part])
+            mine = windows[first[part][inner] + place_]
             pairs = (mine.astype(np.uint32).tobytes(), (mine >> np.uint64(32)).astype(np.uint16).tobytes())
-            yield _blob(_WINDOW_NAMES, int(where[part[0]]), *_words(name[part]), *pairs, start[part].astype(np.uint32).tobytes(), _small(count[part]), rid[part].tobytes(), doc[part].tobytes())
+            yield _blob(_WINDOW_NAMES, int(where[part[0]]), *_words(name[part]), *pairs, *known, doc[part].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts.hold("suffix")
@@ -302,22 +331,24 @@ def _deal_windows(buckets: int, length: int, gram: int):
 
 def _rank_windows(buckets: int):
     """Windows are equal if their names are, of 48 bits, and what stands for them
-    is, of which 16 more bits are put before; those of smaller documents win."""
+    is, of 40 bits; those of smaller documents win."""
 
     def run(table: pa.Table) -> pa.Table:
         column = lambda k: table.column(k).to_pylist()
         join = lambda k, f: np.concatenate([f(x) for x in column(k)])
-        stand = np.concatenate([_values(a, b) for a, b in zip(column("low"), column("high"))])
         count = join("counts", _numbers)
         item, place = texts.ragged(count)
+        start = join("starts", lambda x: np.frombuffer(x, np.uint32)).astype(np.int64)[item] + place
+        rid = join("rids", lambda x: np.frombuffer(x, np.int64))[item]
+        if column("bucket")[0] < 0:
+            return _settled(rid, start, np.ones(len(rid), bool), buckets)
+        doc = join("ids", lambda x: np.frombuffer(x, np.int64))[item]
+        stand = np.concatenate([_values(a, b) for a, b in zip(column("low"), column("high"))])[item]
         name = join("windows_low", lambda x: np.frombuffer(x, np.uint32)).astype(np.uint64)
         name |= join("windows_high", lambda x: np.frombuffer(x, np.uint16)).astype(np.uint64) << np.uint64(32)
-        name |= (texts.mix(stand) >> np.uint64(48) << np.uint64(48))[item]
-        start = join("starts", lambda x: np.frombuffer(x, np.uint32)).astype(np.int64)[item] + place
-        rid, doc = (join(k, lambda x: np.frombuffer(x, np.int64))[item] for k in ("rids", "ids"))
-        order = np.lexsort((doc, name))
+        order = np.lexsort((doc, name, stand))
         opens = np.ones(len(order), bool)
-        opens[1:] = name[order][1:] != name[order][:-1]
+        opens[1:] = (name[order][1:] != name[order][:-1]) | (stand[order][1:] != stand[order][:-1])
         least = np.empty(len(order), np.int64)
         least[order] = doc[order][np.flatnonzero(opens)][np.cumsum(opens) - 1]
         covered = doc > least
@@ -372,8 +403,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
     known = frame.where("doc_id is not null").withColumn("rid", F.monotonically_increasing_id())
     name = f"lodegraph_texts_{uuid.uuid4().hex[:12]}"
     known.repartition(buckets, "rid").write.option("compression", "zstd").bucketBy(buckets, "rid").option("path", f"{stage.root}/texts").saveAsTable(name)
-    shared.forget(spark)
     dealt = spark.table(name)
+    # the catalogue is not needed once the files and their buckets are known; the
+    # files go with the stage
+    spark.sql(f"DROP TABLE {name}")
     ranked = dealt.select("rid", "doc_id", "text").mapInArrow(_deal_anchors(buckets, length, gram), _ANCHORED).groupBy("bucket").applyInArrow(_rank(buckets), _SETTLED)
     found = stage.write(ranked.groupBy("home").applyInArrow(_by_row, _BY_ROW))
     opened = dealt.join(found.where("octet_length(open) > 0").select("rid", "open"), "rid")
@@ -389,6 +422,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
     return out.unionByName(unknown).drop("kept" if decode else "cleaned")
 
 
+def covered_by_doubling(docs: DataFrame, length: int = LENGTH, first: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, start) of the windows that a smaller document has, by prefix
+    doubling over every position: a row a position, ranked by its first bytes,
+    then by pairs of ranks at offsets that double up to `length`.
+
+    The form to hold `remove_repeats` against on small tables; its shuffles are
+    some hundred times the text (README.md has figures).
+    """
+    known = shared.pick(docs, doc_id=doc_id, text=text).where("doc_id is not null").withColumn("raw", F.col("text").cast("binary"))
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("raw") - first)).alias("start")
+    rows = known.where(F.octet_length("raw") >= length).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "raw").select("rid", "doc_id", F.octet_length("raw").alias("n"), at, "raw")
+    open_ = rows.select("rid", "doc_id", "n", "start", F.xxhash64(F.substring("raw", F.col("start") + 1, F.lit(first))).alias("rank"))
+    span, stage = first, shared.Stage(docs.sparkSession, "doubling")
+    while True:
+        shared_ranks = open_.groupBy("rank").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+        open_ = stage.write(open_.join(shared_ranks.select("rank", "least"), "rank"))  # unique ones leave
+        if span == length:
+            return open_.where("doc_id > least").select("doc_id", "start").distinct()
+        step = min(span, length - span)
+        beyond = open_.select("rid", (F.col("start") - step).alias("start"), F.col("rank").alias("next"))
+        span += step
+        open_ = open_.drop("least").join(beyond, ["rid", "start"]).where(F.col("start") + span <= F.col("n")).select("rid", "doc_id", "n", "start", F.xxhash64("rank", "next").alias("rank"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(shared.documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -239,6 +239,34 @@ def test_suffix_dedup(spark, small, sf):
         assert tuple(got.loc[d]) == (len(t.encode()), sum(m), brute.spans(m), brute.sha(brute.kept(t, m)))
 
 
+def test_doubling_over_all_positions(spark, small, sf):
+    """The plain rounds find the same windows as brute force, and the operator's bytes."""
+    some = small[small.text.str.len() < 1500]
+    frame = spark.createDataFrame(some[["doc_id", "text"]])
+    got = {(r["doc_id"], r["start"]) for r in suffix_dedup.covered_by_doubling(frame).collect()}
+    raw, first = {d: t.encode() for d, t in zip(some.doc_id, some.text)}, {}
+    for d in sorted(raw):
+        for k in range(len(raw[d]) - 49):
+            first.setdefault(raw[d][k : k + 50], d)
+    assert got == {(d, k) for d, b in raw.items() for k in range(len(b) - 49) if first[b[k : k + 50]] < d} and got
+    gone = Counter()
+    for d in {d for d, _ in got}:
+        gone[d] = len({k + j for e, k in got if e == d for j in range(50)})
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(frame).collect() if r["n_removed"]} == dict(gone)
+
+
+def test_windows_settled_in_their_task(spark):
+    """Very many documents around one passage, each with borders of its own."""
+    rng = random.Random(4)
+    passage = "".join(rng.choices("abcdefgh ", k=400))
+    rows = [(k, "".join(rng.choices("ijklmn", k=rng.choice((3, 30, 60)))) + passage[rng.choice((0, 7, 90)) : rng.choice((300, 390, 400))] + "".join(rng.choices("opqrst", k=20))) for k in range(300)]
+    masks = brute.removed(*zip(*rows))
+    for parts in (1, 7):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert {r["doc_id"]: bytes(r["kept"]) for r in got} == {d: brute.kept(t, m) for (d, t), m in zip(rows, masks)}
+    assert not [t.name for t in spark.catalog.listTables() if "lodegraph" in t.name]
+
+
 def test_lm_base_and_score(spark, small, sf):
     got = lm_score.op2_context_tree(spark, sf).toPandas().set_index("doc_id").loc[small.doc_id]
     aside = [brute.held_out(d, 5, 1) for d in small.doc_id]
