@@ -11,11 +11,21 @@ How it runs: one pass gives each document's class, another deals all shingles to
 buckets as sorted arrays; a bucket keeps those that two classes share, with
 their frequencies, and deals them back by class.  A class with fewer than a
 shared shingles has no link and is done.  The rest, mostly near copies, are
-gathered by the prefix shingles that they share, directly or in a chain; each
-cluster is joined in one task, large ones in blocks, pair of blocks by pair of
-blocks.  Only the links that first connect two parts leave a task.
+linked in two steps:
 
-Defined results: documents without words or with null text have an empty set
+1.  Near copies share common prefix shingles.  Classes meet at the commonest one
+    of their prefix, in blocks of bounded size, and link there; then one class of
+    each part so far meets the others'.  This only finds links early.
+2.  For all other links, the classes of each prefix shingle that still holds
+    several parts give candidate pairs across parts, long lists in pairs of
+    blocks of (class, part) rows.  Pairs that meet often enough fetch their
+    shingles and are verified.
+
+Shingles are compared by 64-bit hashes.  Links within a part found before are
+not looked for, so what is known are the components, not the number of links.
+
+Defined results: a text of any length is one set, made in one task in some 100
+times its size of memory; documents without words or with null text have an empty set
 and are linked with nothing, each its own component; rows of a null id take part
 and the smallest non-null id names the component (their own is null if there is
 none); repeated rows are in one class; an empty table gives no rows; further
@@ -37,12 +47,10 @@ from .components import components
 SHINGLE = 4
 PERCENT = 85
 MOST_MATCHES = 8
-#: Classes that one task joins; a larger cluster is joined in pairs of blocks.
-CLUSTER = 4096
+#: Classes that meet in one task, and those of a prefix shingle that give pairs.
 BLOCK = 2048
 #: Shingles a task holds before it deals them out.
 HELD_SHINGLES = 1_000_000
-LOW48 = np.uint64((1 << 48) - 1)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +98,13 @@ def _classes(size: int):
     return run
 
 
-def _six(tokens: np.ndarray) -> tuple[bytes, bytes]:
-    """The low 48 bits of the hashes in six bytes each."""
-    return tokens.astype(np.uint32).tobytes(), (tokens >> np.uint64(32)).astype(np.uint16).tobytes()
+def _halves(tokens: np.ndarray) -> tuple[bytes, bytes]:
+    """The low and the high halves of the hashes, apart."""
+    return tokens.astype(np.uint32).tobytes(), (tokens >> np.uint64(32)).astype(np.uint32).tobytes()
 
 
-def _unsix(low: bytes, high: bytes) -> np.ndarray:
-    return np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)
+def _tokens(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(32)
 
 
 _DEALT = "bucket int, low binary, high binary, own binary, classes binary, sizes binary"
@@ -116,7 +124,7 @@ def _deal(buckets: int, size: int):
         for b in np.flatnonzero(np.diff(edge)):
             part = order[edge[b] : edge[b + 1]]
             mine, own = np.unique(owner[part], return_inverse=True)
-            low, high = _six(h[part])
+            low, high = _halves(h[part])
             own = own.astype(np.uint16 if len(mine) <= 65536 else np.uint32)
             row = [b], [low], [high], [own.tobytes()], [name[mine].tobytes()], [n[mine].astype(np.uint32).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["bucket", "low", "high", "own", "classes", "sizes"])
@@ -146,14 +154,13 @@ def _deal(buckets: int, size: int):
     return run
 
 
-_SHARED = "home int, bucket int, classes binary, sizes binary, counts binary, low binary, high binary, often binary"
+_SHARED = "home int, classes binary, sizes binary, counts binary, low binary, high binary, often binary"
 
 
 def _share(homes: int):
     """Of a bucket's shingles those of two classes or more, dealt back by class."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
         texts.hold("jaccard")
         parts = []
         for r in table.to_batches():
@@ -162,7 +169,7 @@ def _share(homes: int):
                 at = np.frombuffer(own, np.uint16 if len(name) <= 65536 else np.uint32)
                 parts.append((low, high, name, at, np.frombuffer(size, np.uint32)))
         # most shingles are a class's own: they go before owners are looked up
-        token = np.concatenate([_unsix(low, high) for low, high, *_ in parts])
+        token = np.concatenate([_tokens(low, high) for low, high, *_ in parts])
         order = np.argsort(token, kind="stable")
         ranked = token[order]
         twin = np.zeros(len(ranked), bool)
@@ -199,14 +206,14 @@ def _share(homes: int):
         for k in np.flatnonzero(np.diff(edge)):
             a, b = edge[k], edge[k + 1]
             name, first, count = np.unique(owner[a:b], return_index=True, return_counts=True)
-            rows.append((int(k), bucket, name.tobytes(), size[a:b][first].tobytes(), count.astype(np.uint32).tobytes(), *_six(token[a:b]), often[a:b].astype(np.uint16).tobytes()))
-        columns = list(zip(*rows)) if rows else [()] * 8
-        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(x, pa.binary()) for x in columns[2:])], names=["home", "bucket", "classes", "sizes", "counts", "low", "high", "often"])
+            rows.append((int(k), name.tobytes(), size[a:b][first].tobytes(), count.astype(np.uint32).tobytes(), *_halves(token[a:b]), often[a:b].astype(np.uint16).tobytes()))
+        columns = list(zip(*rows)) if rows else [()] * 7
+        return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(x, pa.binary()) for x in columns[1:])], names=["home", "classes", "sizes", "counts", "low", "high", "often"])
 
     return run
 
 
-_PREFIXED = "class long, n long, matches int, prefix int, tokens binary"
+_PREFIXED = "class long, n long, matches int, prefix int, meet long, tokens binary"
 
 
 def choose(often: np.ndarray, spare: int, n: int, most: int) -> int:
@@ -232,10 +239,10 @@ def _prefixes(percent: int, most: int):
     def run(table: pa.Table) -> pa.Table:
         owners, tokens, oftens, sizes = [], [], [], {}
         for r in table.to_batches():
-            for bucket, classes, size, counts, low, high, often in zip(r.column("bucket").to_pylist(), *(texts.blobs(r.column(k)) for k in ("classes", "sizes", "counts", "low", "high", "often"))):
+            for classes, size, counts, low, high, often in zip(*(texts.blobs(r.column(k)) for k in ("classes", "sizes", "counts", "low", "high", "often"))):
                 name = np.frombuffer(classes, np.int64)
                 owners.append(np.repeat(name, np.frombuffer(counts, np.uint32)))
-                tokens.append(_unsix(low, high) | np.uint64(bucket) << np.uint64(48))
+                tokens.append(_tokens(low, high))
                 oftens.append(np.frombuffer(often, np.uint16))
                 sizes.update(zip(name.tolist(), np.frombuffer(size, np.uint32).tolist()))
         owner, token, often = np.concatenate(owners), np.concatenate(tokens), np.concatenate(oftens)
@@ -252,27 +259,30 @@ def _prefixes(percent: int, most: int):
             a, b = np.searchsorted(back, k), np.searchsorted(back, k, "right")
             spare = int(count[k] - least[k])
             matches = choose(often[a:b], spare, int(n[k]), min(most, int(least[k])))
-            rows.append((int(name[k]), int(n[k]), matches, min(b - a, spare + matches), token[a:b].tobytes()))
-        columns = list(zip(*rows)) if rows else [()] * 5
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary())], names=["class", "n", "matches", "prefix", "tokens"])
+            prefix = min(b - a, spare + matches)
+            commonest = int(token[a + prefix - 1].view(np.int64))
+            rows.append((int(name[k]), int(n[k]), matches, prefix, commonest, token[a:b].tobytes()))
+        columns = list(zip(*rows)) if rows else [()] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], names=["class", "n", "matches", "prefix", "meet", "tokens"])
 
     return run
 
 
 def _prefix_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        name, prefix = batch.column("class").to_pylist(), batch.column("prefix").to_pylist()
+        name, n, matches, prefix = (batch.column(k).to_numpy() for k in ("class", "n", "matches", "prefix"))
         got = [np.frombuffer(t, np.int64)[:p] for t, p in zip(texts.blobs(batch.column("tokens")), prefix)]
         if got:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(np.repeat(np.array(name, np.int64), prefix))], names=["token", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), *(pa.array(np.repeat(x, prefix)) for x in (name, n, matches))], names=["token", "class", "n", "matches"])
 
 
-def join_links(n: np.ndarray, matches: np.ndarray, prefix: np.ndarray, tokens: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def join_links(n: np.ndarray, matches: np.ndarray, prefix: np.ndarray, tokens: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect parts, of the sets held in memory.
 
     A set looks at sets before it in order of size, and counts its matches in
     their prefixes; those with enough matches, of fitting size and of another
-    part so far, are verified together.  With `side`, only pairs across sides.
+    part so far, are verified together.
     """
     if not len(n):
         return []
@@ -281,7 +291,6 @@ def join_links(n: np.ndarray, matches: np.ndarray, prefix: np.ndarray, tokens: l
     known, code = np.unique(np.concatenate([tokens[k] for k in order]), return_inverse=True)
     edge = np.concatenate([[0], np.cumsum(count)])
     n, matches, prefix = n[order], matches[order], prefix[order]
-    side = None if side is None else side[order]
     # inverted lists of the prefixes, sets in order
     owner, place = texts.ragged(prefix)
     listed = code[edge[owner] + place]
@@ -302,8 +311,6 @@ def join_links(n: np.ndarray, matches: np.ndarray, prefix: np.ndarray, tokens: l
         hits = np.bincount(met, minlength=x)[:x]
         near = np.flatnonzero(hits)
         near = near[(hits[near] >= np.minimum(matches[near], matches[x])) & (100 * n[near] >= percent * n[x]) & (part[near] != part[x])]
-        if side is not None:
-            near = near[side[near] != side[x]]
         if not len(near):
             continue
         all_mine = code[edge[x] : edge[x + 1]]
@@ -322,29 +329,93 @@ def _join(percent: int):
     def run(table: pa.Table) -> pa.Table:
         get = lambda k: table.column(k).combine_chunks().to_numpy(zero_copy_only=False)
         name = get("class")
-        side = get("side")
-        links = join_links(get("n"), get("matches").astype(np.int64), get("prefix").astype(np.int64), [np.frombuffer(t, np.uint64) for t in texts.blobs(table.column("tokens"))], percent, side if side.max() > 0 else None)
+        links = join_links(get("n"), get("matches").astype(np.int64), get("prefix").astype(np.int64), [np.frombuffer(t, np.uint64) for t in texts.blobs(table.column("tokens"))], percent)
         return pa.table([pa.array([int(name[x]) for x, _ in links], pa.int64()), pa.array([int(name[y]) for _, y in links], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _tasks(survivors: DataFrame, label: DataFrame, buckets: int) -> DataFrame:
-    """Survivors dealt to joining tasks: whole clusters, or pairs of blocks."""
-    sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    placed = survivors.join(label.join(sizes, "label"), survivors["class"] == label["node"]).drop("node")
-    small = placed.where(F.col("members") <= CLUSTER).select("class", "n", "matches", "prefix", "tokens", F.concat(F.lit("c"), F.pmod(F.xxhash64("label"), F.lit(buckets)).cast("string")).alias("task"), F.lit(0).alias("side"))
-    # blocks by a hash: of b blocks, each meets itself and the others
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    large = placed.where(F.col("members") > CLUSTER).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.concat_ws(":", F.col("label").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
-    across = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    large = large.select("class", "n", "matches", "prefix", "tokens", pair.alias("task"), across.alias("side"))
-    return small.unionByName(large)
+def _meeting(classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links of classes that meet at their commonest prefix shingle, in blocks."""
+    sizes = classes.groupBy("meet").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    # a lone class has nobody to meet; only long lists need to be looked up
+    several = classes.join(sizes.where("blocks > 1"), "meet", "left").withColumn("block", F.pmod(F.xxhash64("class"), F.coalesce("blocks", F.lit(1))))
+    return several.select("class", "n", "matches", "prefix", "tokens", "meet", "block").groupBy("meet", "block").applyInArrow(_join(percent), "a long, b long")
+
+
+def _parts(classes: DataFrame, part: DataFrame) -> DataFrame:
+    """With `part`: the component of each class so far, or itself."""
+    return classes.join(part, classes["class"] == part["node"], "left").withColumn("part", F.coalesce("label", "class")).drop("node", "label")
+
+
+def _pairs(percent: int):
+    """Pairs of a shingle's classes of different parts and fitting sizes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        name, n, matches, part, side = (table.column(k).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for k in ("class", "n", "matches", "part", "side"))
+        order = np.argsort(part, kind="stable")
+        name, n, matches, part, side = (x[order] for x in (name, n, matches, part, side))
+        beyond = np.searchsorted(part, part, "right")  # partners stand after one's own part
+        found = []
+        across = side.max() > 0
+        for x in range(len(name)):
+            low = beyond[x]
+            fit = 100 * np.minimum(n[low:], n[x]) >= percent * np.maximum(n[low:], n[x])
+            if across:
+                fit &= side[low:] != side[x]
+            y = np.flatnonzero(fit) + low
+            if len(y):
+                found.append((np.full(len(y), x), y))
+        x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table([pa.array(np.minimum(name[x], name[y])), pa.array(np.maximum(name[x], name[y])), pa.array(np.minimum(matches[x], matches[y]))], names=["a", "b", "need"])
+
+    return run
+
+
+def _candidates(met: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs of classes of different parts that share enough prefix shingles."""
+    mixed = met.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token", "blocks")
+    listed = met.join(mixed, "token")
+    # of b blocks each meets itself and the others; most lists are one block
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    listed = listed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    tasks = listed.select("class", "n", "matches", "part", side.alias("side"), "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    pairs = tasks.groupBy("token", "i", "j").applyInArrow(_pairs(percent), "a long, b long, need long")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("need").alias("need")).where("hits >= need").select("a", "b")
+
+
+def _verified(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in ("n", "m"))
+            sets = [[np.frombuffer(t, np.uint64) for t in texts.blobs(batch.column(k))] for k in ("tokens", "others")]
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)], np.int64)
+            linked = pa.array(100 * common >= percent * (n + m - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(linked), batch.column("b").filter(linked)], names=["a", "b"])
+
+    return run
 
 
-def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, most: int = MOST_MATCHES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _links(survivors: DataFrame, stage: shared.Stage, percent: int, block: int) -> DataFrame:
+    """Links between classes that connect all parts that links connect."""
+    first = stage.write(_meeting(survivors, percent, block))
+    part = stage.write(components(first, stage))
+    # the least class of each part at each meeting place, where several parts are
+    placed = _parts(survivors.select("class", "meet"), part).groupBy("meet", "part").agg(F.min("class").alias("class"))
+    several = placed.groupBy("meet").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("meet")
+    chosen = placed.join(several, "meet").select("class")
+    second = stage.write(_meeting(survivors.join(chosen, "class", "left_semi"), percent, block))
+    found = first.unionByName(second)
+    part = stage.write(components(found, stage))
+    met = stage.write(_parts(survivors.mapInArrow(_prefix_tokens, "token long, class long, n long, matches int"), part))
+    pairs = _candidates(met, percent, block)
+    sets = survivors.select("class", "n", "tokens")
+    fetched = pairs.join(sets.withColumnRenamed("class", "a"), "a").join(sets.toDF("b", "m", "others"), "b").select("a", "b", "n", "m", "tokens", "others")
+    return found.unionByName(stage.write(fetched.mapInArrow(_verified(percent), "a long, b long")))
+
+
+def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, most: int = MOST_MATCHES, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class.
 
     `class` is equal for equal sets.  Documents link when the Jaccard
@@ -359,11 +430,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     dealt = frame.select("text").mapInArrow(_deal(buckets, size), _DEALT)
     common = dealt.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_share(buckets), _SHARED)
     survivors = stage.write(common.groupBy("home").applyInArrow(_prefixes(percent, most), _PREFIXED))
-    met = stage.write(survivors.mapInArrow(_prefix_tokens, "token long, class long"))
-    hubs = met.groupBy("token").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    label = components(met.join(hubs, "token").select(F.col("class").alias("a"), F.col("hub").alias("b")), stage)
-    links = stage.write(_tasks(survivors, label, buckets).groupBy("task").applyInArrow(_join(percent), "a long, b long"))
-    part = components(links, stage)
+    part = components(_links(survivors, stage, percent, block), stage)
     least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
     named = least.join(part, least["class"] == part["node"]).groupBy("label").agg(F.min("first").alias("component"))
     linked = part.join(named, "label").select(F.col("node").alias("class"), "component")
