@@ -5,7 +5,8 @@ normalised to its words, scanned once, and the matches are mapped back to the
 words and to the offsets of the original text.
 
 Defined results: a null or wordless text has no words and no hits; an item
-without words, or with a null id, matches nothing; repeated items count once;
+without words, or with a null id, matches nothing; a text of any length is
+scanned whole, alone in its block; repeated items count once;
 repeated documents give one row each; an empty table gives no rows; further
 columns are ignored.
 """

@@ -76,3 +76,33 @@ def test_null_and_empty_texts_pass(spark, edge, sf):
         assert {2, 3} <= {r["doc_id"] for r in rows} and any(r["doc_id"] is None for r in rows)
         docs = spark.createDataFrame(rows, docs.schema)
     assert pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
+def run_stages(spark, docs, sf):
+    out = []
+    for _, step in pipeline.STAGES:
+        made = step(spark, docs, sf)
+        rows = made.collect()
+        out.append(rows)
+        docs = spark.createDataFrame(rows, made.schema)
+    return out
+
+
+def test_empty_table(spark, small, sf):
+    docs = spark.createDataFrame(small).limit(0)
+    assert [len(rows) for rows in run_stages(spark, docs, sf)] == [0] * 5
+
+
+def test_repeated_rows_and_ties(spark, small, sf):
+    """Rows of one id stay together; of copies under several ids the smallest stays."""
+    some = small.head(12)
+    copies = some.assign(doc_id=some.doc_id + 10_000)
+    docs = spark.createDataFrame(pd.concat([some, some.head(3), copies]))
+    out = run_stages(spark, docs, sf)
+    kept = [sorted(r["doc_id"] for r in rows) for rows in out[:4]]
+    first = set(some.doc_id.head(3))
+    assert all((ids.count(d) in (0, 2)) == (d in first) or ids.count(d) in (0, 1) for ids in kept for d in ids)
+    assert max(kept[1]) < 10_000 and set(kept[1]) <= set(kept[0])
+    packed = [r for r in out[4] if r["piece"] == 0]
+    assert sorted(r["doc_id"] for r in packed) == kept[3]
+    assert max(pd.DataFrame([r.asDict() for r in out[4]]).groupby("sequence_id").length.sum()) <= packing.CAPACITY
