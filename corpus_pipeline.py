@@ -13,7 +13,13 @@ documents, the last one the packed pieces:
 4.  decontamination: documents that hold a window of a benchmark item go.
 5.  packing: what is left is packed into sequences.
 
-Null and empty texts, and in the first stage wordless ones, pass every filter; rows of a null id are never cut.
+Null and empty texts, and in the first stage wordless ones, pass every filter.
+Rows of a null id are never cut and never give way to a copy.  Rows that repeat
+an id are one document: they are judged alike, stay or go together, are cut by
+smaller ids only, and are packed row by row.  Of copies under several ids the
+smallest id stays.  A text of any length is judged whole.  Empty tables give
+empty results, with the same columns; further columns, whatever their names, are
+dropped by the first stage.
 """
 
 from __future__ import annotations
