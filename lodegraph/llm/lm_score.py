@@ -44,6 +44,8 @@ CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 2 << 20
 #: A two-byte context with more than this share of all bytes is dealt by three.
 COMMON = 1 / 256
+#: Tasks of a shuffle at most, unless the session asks for more.
+MOST_PARTS = 1 << 16
 LOG2 = np.log(2.0)
 GRAMS, WORDS = 0, 1
 
@@ -402,9 +404,10 @@ def score(docs: DataFrame, held_out: int | None = 1, modulus: int = 5, doc_id: s
     pairs = chunks.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).groupBy("p.pairs").agg(F.sum("p.counts").alias("n"))
     common = np.array(sorted(r[0] for r in pairs.where(F.col("n") > size * common_share).select("pairs").collect()), np.int64)  # at most 1 / common_share
     buckets = max(shared.partitions(spark), min(1 << 20, size // bucket_bytes))
+    parts = min(buckets, max(shared.partitions(spark), MOST_PARTS))  # tasks, too, grow in number with the input
     texts_ = chunks.select("chunk", "doc_ids", "train", "data", "off")
     asked = texts_.drop("doc_ids").mapInArrow(_ask(buckets, common), _ASKED)
-    gathered = stage.write(asked.groupBy("kind", "bucket").applyInArrow(_gather, _GATHERED))
+    gathered = stage.write(asked.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_gather, _GATHERED))
     seen, total = (int(x or 0) for x in gathered.where(F.col("kind") == WORDS).agg(F.sum("seen"), F.sum("total")).first())
     tops = gathered.where(F.col("kind") == GRAMS).select("keys", "counts").mapInArrow(_tops(common), "depth int, node int, zeros double, ones double, weighted double")
     tops = tops.groupBy("depth", "node").agg(*(F.sum(k).alias(k) for k in ("zeros", "ones", "weighted"))).toPandas()
@@ -412,7 +415,8 @@ def score(docs: DataFrame, held_out: int | None = 1, modulus: int = 5, doc_id: s
     answers = gathered.drop("seen", "total").mapInArrow(_answer(top), "chunk long, kind int, bucket int, value binary")
     facts = {"tokens": total + ends, "vocabulary": seen + (ends > 0), "ends": ends}
     scored = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *longs("n_bytes", "n_tokens", "n_known", "train_tokens"), *(T.StructField(k, T.DoubleType()) for k in ("base_score", "score"))])
-    return texts_.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_sums(facts, buckets, common, scored.names), scored)
+    dealt = [frame.repartition(parts, "chunk").groupBy("chunk") for frame in (texts_, answers)]
+    return dealt[0].cogroup(dealt[1]).applyInArrow(_sums(facts, buckets, common, scored.names), scored)
 
 
 def _sums(facts: dict, buckets: int, common: np.ndarray, names: list[str]):
