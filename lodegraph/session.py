@@ -8,7 +8,7 @@ import uuid
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -324,10 +324,10 @@ class GraphSession:
             raw = csv.numbered(raw).where(F.col("__row") >= config.skip_rows).drop("__row")
         return raw, {w: F.col(f"f{k}") for w, k in places.items()}
 
-    def _settle(self, staged: DataFrame, config: CsvImportConfig) -> tuple[DataFrame, int, int, list[str], DataFrame | None]:
+    def _settle(self, staged: DataFrame, counts: dict, config: CsvImportConfig) -> tuple[DataFrame, int, int, list[str], DataFrame | None]:
         """Good rows, and the account of bad ones: the first reasons, and all as a
         table; without ignore_errors any ends it."""
-        total, failed = staged.agg(F.count(F.lit(1)).alias("n"), F.count("__error").alias("bad")).first()
+        total, failed = counts["n"], counts["bad"]
         reasons: list[str] = []
         bad = None
         if failed:
@@ -364,9 +364,10 @@ class GraphSession:
 
     def _take(self, table: str, typed: DataFrame, config: CsvImportConfig, watch: csv.Watch, check) -> ImportResult:
         """Write rows once, check them and append them; a failure leaves nothing."""
-        staged = self._written(typed, table)
+        counts = Observation()  # taken while the rows are written
+        staged = self._written(typed.observe(counts, F.count(F.lit(1)).alias("n"), F.count("__error").alias("bad")), table)
         try:
-            good, imported, failed, errors, bad = self._settle(staged, config)
+            good, imported, failed, errors, bad = self._settle(staged, counts.get, config)
             rows = good.drop("__error", csv.ORDINAL)
             check(rows)
             self._append(table, staged, rows)
