@@ -5,8 +5,9 @@ documents, the last one the packed pieces:
 
 1.  toxicity: documents scored 0.5 or more go; all stay if no labelled row is
     there to learn from.
-2.  jaccard_join: of documents that word shingles link, directly or in a chain,
-    the one of the smallest id stays.
+2.  jaccard_join: documents link whose sets of five-word shingles have a Jaccard
+    similarity of at least 0.8; of those linked, directly or in a chain, the one
+    of the smallest id stays.
 3.  suffix_dedup: passages of 50 bytes or more that a document of smaller id has
     too are cut out; a document of which nothing is left goes.  Bytes of a
     character that a cut splits go as well, and n_chars is counted anew.
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm import decontaminate, jaccard, packing, shared, suffix_dedup, toxicity
 
+#: Of the jaccard_join stage.
+SHINGLE, PERCENT = 5, 80
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -38,7 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_linked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = jaccard.link_components(docs).where("doc_id != component_id").select("doc_id").distinct()
+    gone = jaccard.link_components(docs, percent=PERCENT, size=SHINGLE).where("doc_id != component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

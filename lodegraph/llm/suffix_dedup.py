@@ -427,8 +427,8 @@ def covered_by_doubling(docs: DataFrame, length: int = LENGTH, first: int = GRAM
     doubling over every position: a row a position, ranked by its first bytes,
     then by pairs of ranks at offsets that double up to `length`.
 
-    The form to hold `remove_repeats` against on small tables; its shuffles are
-    some hundred times the text (README.md has figures).
+    The form to hold `remove_repeats` against on small tables; it shuffles some
+    twenty times the text (README.md has figures).
     """
     known = shared.pick(docs, doc_id=doc_id, text=text).where("doc_id is not null").withColumn("raw", F.col("text").cast("binary"))
     at = F.explode(F.sequence(F.lit(0), F.octet_length("raw") - first)).alias("start")

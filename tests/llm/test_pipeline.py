@@ -30,10 +30,20 @@ def test_toxic_go(spark, sf, outputs, small):
 
 def test_one_of_linked_stays(outputs):
     before = outputs[0]
-    _, component = brute.components(before.doc_id.tolist(), before.text.tolist())
+    _, component = brute.components(before.doc_id.tolist(), before.text.tolist(), 80, 5)
     assert sorted(outputs[1].doc_id) == sorted(set(component))
 
 
+def test_linked_near_the_threshold(spark, sf):
+    """Five-word shingles: a changed word in the middle of n breaks five of n - 4."""
+    base = [f"w{k}" for k in range(100)]
+    changed = lambda *at: " ".join("x" + w if k in at else w for k, w in enumerate(base))
+    rows = [(1, changed()), (2, changed(10, 50)), (3, changed(30, 60, 90)), (4, " ".join(base[:4]))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    # 86 of 106 shingles in common with 2, 81 of 111 with 3
+    assert sorted(r["doc_id"] for r in pipeline.keep_one_of_linked(spark, docs, sf).collect()) == [1, 3, 4]
+
+
 def test_repeats_are_cut(outputs):
     before = outputs[1]
     masks = brute.removed(before.doc_id.tolist(), before.text.tolist())
