@@ -292,14 +292,15 @@ def csv_ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.execute("MATCH (p:P) RETURN p.id, p.segment")
 
 
-_SPELT = F.element_at(F.array(*map(F.lit, ("true", "FALSE", "True", "1", "yes", "f"))), (_c("custkey") % 6 + 1).cast("int"))
+def _spelt():
+    return F.element_at(F.array(*map(F.lit, ("true", "FALSE", "True", "1", "yes", "f"))), (_c("custkey") % 6 + 1).cast("int"))
 
 
 @built("csv_booleans", 'SELECT c_custkey AS "p.id", c_custkey % 6 <> 1 AS "p.ok" FROM customer WHERE c_custkey % 6 < 3')
 def csv_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes take true and false, in any case, only."""
     g = _fresh(spark, "id INT64, ok BOOL")
-    g.import_nodes("P", _lines(_customers(spark, sf_dir), _c("custkey"), _SPELT, header="id,ok"), CsvImportConfig(ignore_errors=True))
+    g.import_nodes("P", _lines(_customers(spark, sf_dir), _c("custkey"), _spelt(), header="id,ok"), CsvImportConfig(ignore_errors=True))
     return g.execute("MATCH (p:P) RETURN p.id, p.ok")
 
 
@@ -309,7 +310,7 @@ def csv_rel_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, customers = _fresh(spark, "id INT64"), _customers(spark, sf_dir)
     g.execute("CREATE REL TABLE K(FROM P TO P, ok BOOL)")
     g.import_nodes("P", _lines(customers, _c("custkey"), header="id"))
-    g.import_relationships("K", _lines(customers, _c("custkey"), _c("custkey"), _SPELT, header="from,To,ok"))
+    g.import_relationships("K", _lines(customers, _c("custkey"), _c("custkey"), _spelt(), header="from,To,ok"))
     return g.execute("MATCH (a:P)-[k:K]->(b:P) RETURN a.id, k.ok")
 
 
