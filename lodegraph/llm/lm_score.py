@@ -199,22 +199,7 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, top: Top) -> np.ndarray:
     return out
 
 
-def _whole(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as fit, by planes of bytes, which
-    compress; the number of planes last."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    used = 8
-    while used > 1 and not planes[used - 1].any():
-        used -= 1
-    return planes[:used].tobytes() + bytes([used])
-
-
-def _numbers(blob) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8)
-    used = int(raw[-1])
-    planes = np.zeros((8, (len(raw) - 1) // used), np.uint8)
-    planes[:used] = raw[:-1].reshape(used, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+_whole, _numbers = texts.planes, texts.numbers
 
 
 def _rising(values: np.ndarray) -> bytes:

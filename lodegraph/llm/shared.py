@@ -33,7 +33,8 @@ class Stage:
         """Write as Parquet (zstd) and read again."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        frame.write.option("compression", "zstd").parquet(path)
+        with shuffles_freed(self.spark):
+            frame.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(frame.schema).parquet(path)
         back._lodegraph_path = path
         return back
@@ -44,6 +45,24 @@ class Stage:
             _remove(self.spark, path)
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffles of what is written within go with the end of the write, else when
+    the driver happens to collect its garbage."""
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREED)
+        else:
+            spark.conf.set(_FREED, before)
+
+
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         jvm = spark._jvm

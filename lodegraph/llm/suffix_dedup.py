@@ -5,15 +5,21 @@ document with a smaller id.  Plain prefix doubling ranks every position by its
 first 1, 2, 4, ... bytes, round after round.  Here a round ranks only positions
 that can still matter:
 
-1.  Of each window of 50 bytes one 16-byte string stands for it, that with the
+1.  Of each window of 50 bytes one 24-byte string stands for it, that with the
     least hash.  Equal windows have the same, so ranking those strings alone
-    (one position in 18) is enough.  A string that no second document has is
+    (one position in 14) is enough.  A string that no second document has is
     unique, and so are the windows it stands for: they are done.
 2.  The others are ranked by the pair of that rank and the rank of all that
-    their windows cover, 50 to 84 bytes.  Where the pair is equal, all the
+    their windows cover, 50 to 76 bytes.  Where the pair is equal, all the
     windows are, and those of all but the first document go.
-3.  Only where one string has several surroundings, at the borders of repeated
-    passages, the windows themselves are ranked at the full 50 bytes.
+3.  Where one string has several surroundings, at the borders of repeated
+    passages and where texts meet by chance, its windows stay open.  If many do,
+    1 and 2 come again for these alone, with strings of 37 bytes.
+4.  Windows that are open still are ranked themselves at the full 50 bytes.
+
+How often strings meet by chance grows with the table, and an open window takes
+as much of a shuffle as half an anchor; hence strings longer than 16 bytes, of
+which most of 10 GB of text are repeated.
 
 Spark deals the rank pairs to buckets, where they are sorted and equal
 neighbours share a rank.  Within a task equal pairs are settled first, so a
@@ -47,7 +53,11 @@ from pyspark.sql import functions as F
 from . import shared, texts
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
+#: Of the second round, for windows that are open after the first.
+SECOND = 37
+#: The second round comes if more than one anchor in so many is open.
+SPARSE = 16
 #: Anchors a task holds before it deals them out.
 HELD_ANCHORS = 800_000
 #: Window names a task holds before it deals them out.
@@ -103,15 +113,8 @@ def _values(low: bytes, high: bytes) -> np.ndarray:
     return np.frombuffer(low, np.uint32).astype(np.uint64) << np.uint64(8) | np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(40)
 
 
-def _small(values: np.ndarray) -> bytes:
-    """Numbers in two bytes each if they fit, else in four and one more byte."""
-    if not len(values) or values.max() < 65536:
-        return values.astype(np.uint16).tobytes()
-    return values.astype(np.uint32).tobytes() + b"+"
-
-
-def _numbers(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob[:-1], np.uint32).astype(np.int64) if len(blob) % 2 else np.frombuffer(blob, np.uint16).astype(np.int64)
+def _signed(blob) -> np.ndarray:
+    return texts.numbers(blob).view(np.int64)
 
 
 _ANCHORED = "bucket int, low binary, high binary, around_low binary, around_high binary, number binary, rids binary, ids binary, counts binary"
@@ -129,9 +132,21 @@ def _runs_of(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(owner)))
 
 
-def _deal_anchors(buckets: int, length: int, gram: int):
+def _open_only(piece, data: np.ndarray, off: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Which anchors stand for a window that the round of `gram` left open."""
+    row, _, first, last, *_ = anchors(data, off, length, gram)
+    at = _numbered(piece, "open", row)
+    change = np.zeros(len(data) + 2, np.int32)
+    change[first[at]] += 1  # no two anchors begin or end at one place
+    change[last[at] + 1] -= 1
+    before = np.concatenate([[0], np.cumsum(np.cumsum(change) > 0)])
+    return before[high + 1] > before[low]
+
+
+def _deal_anchors(buckets: int, length: int, gram: int, after: int = 0):
     """Rank pairs by bucket; what a smaller document of the task settles goes to
-    the bucket below zero of its row instead."""
+    the bucket below zero of its row instead.  With `after`, the gram of the
+    round before, only of windows that it left open."""
 
     def hand_on(held):
         rid, doc, number, name, around = (np.concatenate([x[k] for x in held]) for k in range(5))
@@ -149,18 +164,21 @@ def _deal_anchors(buckets: int, length: int, gram: int):
             part = slice(a, a + n)
             own, count = _runs_of(rid[part])
             pairs = (b"", b"", b"", b"") if where[a] < 0 else (*_words(name[part]), *_words(around[part]))
-            yield _blob(_ANCHOR_NAMES, int(where[a]), *pairs, _small(number[part]), rid[part][own].tobytes(), doc[part][own].tobytes(), _small(count))
+            yield _blob(_ANCHOR_NAMES, int(where[a]), *pairs, texts.planes(number[part]), texts.planes(rid[part][own]), texts.planes(doc[part][own]), texts.planes(count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts.hold("suffix")
         held, total = [], 0
         for batch in batches:
             for piece, data, off in texts.blocks(batch, "text"):
-                row, _, _, _, name, around, _ = anchors(data, off, length, gram)
+                row, _, low, high, name, around, _ = anchors(data, off, length, gram)
                 if not len(row):
                     continue
                 rid, doc = piece.column("rid").to_numpy(), piece.column("doc_id").to_numpy()
                 number = np.arange(len(row)) - np.searchsorted(row, row)
+                if after:
+                    keep = _open_only(piece, data, off, low, high, length, after)
+                    row, number, name, around = row[keep], number[keep], name[keep], around[keep]
                 held.append((rid[row], doc[row], number, name, around))
                 total += len(row)
                 if total > HELD_ANCHORS:
@@ -185,7 +203,7 @@ def _settled(rid, number, done, buckets):
     order = np.lexsort((number, rid, home))
     rid, number, home = rid[order], number[order], home[order]
     first, counts = _runs_of(home)
-    rows = [(int(home[a]) // 2, bool(home[a] % 2), rid[a : a + n].tobytes(), number[a : a + n].astype(np.uint32).tobytes()) for a, n in zip(first.tolist(), counts.tolist())]
+    rows = [(int(home[a]) // 2, bool(home[a] % 2), texts.planes(rid[a : a + n]), texts.planes(number[a : a + n])) for a, n in zip(first.tolist(), counts.tolist())]
     columns = list(zip(*rows)) if rows else [()] * 4
     return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["home", "done", "rids", "numbers"])
 
@@ -197,11 +215,11 @@ def _rank(buckets: int):
         column = lambda k: table.column(k).to_pylist()
         rid, doc = [], []
         for r, d, c in zip(column("rids"), column("ids"), column("counts")):
-            n = _numbers(c)
-            rid.append(np.repeat(np.frombuffer(r, np.int64), n))
-            doc.append(np.repeat(np.frombuffer(d, np.int64), n))
+            n = _signed(c)
+            rid.append(np.repeat(_signed(r), n))
+            doc.append(np.repeat(_signed(d), n))
         rid, doc = np.concatenate(rid), np.concatenate(doc)
-        number = np.concatenate([_numbers(x) for x in column("number")])
+        number = np.concatenate([_signed(x) for x in column("number")])
         if column("bucket")[0] < 0:
             return _settled(rid, number, np.ones(len(rid), bool), buckets)
         name = np.concatenate([_values(a, b) for a, b in zip(column("low"), column("high"))])
@@ -242,8 +260,8 @@ def _by_row(table: pa.Table) -> pa.Table:
     """One row for each text: its covered and its open numbers."""
     rid, number, done = [], [], []
     for d, r, n in zip(*(table.column(k).to_pylist() for k in ("done", "rids", "numbers"))):
-        rid.append(np.frombuffer(r, np.int64))
-        number.append(np.frombuffer(n, np.uint32))
+        rid.append(_signed(r))
+        number.append(texts.numbers(n).astype(np.uint32))
         done.append(np.full(len(rid[-1]), d))
     rid, number, done = np.concatenate(rid), np.concatenate(number), np.concatenate(done)
     order = np.lexsort((number, rid))
@@ -295,14 +313,14 @@ def _deal_windows(buckets: int, length: int, gram: int):
         order = np.argsort(where, kind="stable")
         for a, n in zip(*(x.tolist() for x in _runs_of(where[order]))):
             part = order[a : a + n]
-            known = start[part].astype(np.uint32).tobytes(), _small(count[part]), rid[part].tobytes()
+            known = texts.planes(start[part]), texts.planes(count[part]), texts.planes(rid[part])
             if told[part[0]]:
                 yield _blob(_WINDOW_NAMES, int(where[part[0]]), b"", b"", b"", b"", *known, b"")
                 continue
             inner, place_ = texts.ragged(count[part])
             mine = windows[first[part][inner] + place_]
             pairs = (mine.astype(np.uint32).tobytes(), (mine >> np.uint64(32)).astype(np.uint16).tobytes())
-            yield _blob(_WINDOW_NAMES, int(where[part[0]]), *_words(name[part]), *pairs, *known, doc[part].tobytes())
+            yield _blob(_WINDOW_NAMES, int(where[part[0]]), *_words(name[part]), *pairs, *known, texts.planes(doc[part]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts.hold("suffix")
@@ -336,13 +354,13 @@ def _rank_windows(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         column = lambda k: table.column(k).to_pylist()
         join = lambda k, f: np.concatenate([f(x) for x in column(k)])
-        count = join("counts", _numbers)
+        count = join("counts", _signed)
         item, place = texts.ragged(count)
-        start = join("starts", lambda x: np.frombuffer(x, np.uint32)).astype(np.int64)[item] + place
-        rid = join("rids", lambda x: np.frombuffer(x, np.int64))[item]
+        start = join("starts", _signed)[item] + place
+        rid = join("rids", _signed)[item]
         if column("bucket")[0] < 0:
             return _settled(rid, start, np.ones(len(rid), bool), buckets)
-        doc = join("ids", lambda x: np.frombuffer(x, np.int64))[item]
+        doc = join("ids", _signed)[item]
         stand = np.concatenate([_values(a, b) for a, b in zip(column("low"), column("high"))])[item]
         name = join("windows_low", lambda x: np.frombuffer(x, np.uint32)).astype(np.uint64)
         name |= join("windows_high", lambda x: np.frombuffer(x, np.uint16)).astype(np.uint64) << np.uint64(32)
@@ -357,18 +375,24 @@ def _rank_windows(buckets: int):
     return run
 
 
-def _cut(length: int, gram: int, decode: bool, schema_names):
+def _cut(length: int, grams: dict[str, int], decode: bool, schema_names):
+    """`grams`: by column of covered numbers, the gram of its round."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, data, off in texts.blocks(batch, "text"):
                 change = np.zeros(len(data) + 1, np.int32)
-                if piece.column("done").null_count < len(piece) or piece.column("starts").null_count < len(piece):
-                    row, _, low, high, _, _, _ = anchors(data, off, length, gram)
-                    at = _numbered(piece, "done", row)
+                for column, gram in grams.items():
+                    if piece.column(column).null_count < len(piece):
+                        row, _, low, high, *_ = anchors(data, off, length, gram)
+                        at = _numbered(piece, column, row)
+                        np.add.at(change, low[at], 1)
+                        np.add.at(change, high[at] + length, -1)
+                if piece.column("starts").null_count < len(piece):
                     lists = [np.frombuffer(x or b"", np.uint32).astype(np.int64) for x in piece.column("starts").to_pylist()]
                     more = np.concatenate([x + o for x, o in zip(lists, off)])
-                    np.add.at(change, np.concatenate([low[at], more]), 1)
-                    np.add.at(change, np.concatenate([high[at], more]) + length, -1)
+                    np.add.at(change, more, 1)
+                    np.add.at(change, more + length, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 kept = data[~gone]
                 left = np.concatenate([[0], np.cumsum(~gone)])[off]
@@ -386,7 +410,7 @@ def _cut(length: int, gram: int, decode: bool, schema_names):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), decode: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, second: int = SECOND, sparse: int = SPARSE, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), decode: bool = False) -> DataFrame:
     """One row per document: doc_id, carried, n_bytes, n_removed, spans, kept.
 
     ``spans`` are the maximal runs of removed bytes and ``kept`` the bytes that
@@ -402,27 +426,41 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
     frame = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), carried.alias("carried"))
     known = frame.where("doc_id is not null").withColumn("rid", F.monotonically_increasing_id())
     name = f"lodegraph_texts_{uuid.uuid4().hex[:12]}"
-    known.repartition(buckets, "rid").write.option("compression", "zstd").bucketBy(buckets, "rid").option("path", f"{stage.root}/texts").saveAsTable(name)
+    with shared.shuffles_freed(spark):
+        known.repartition(buckets, "rid").write.option("compression", "zstd").bucketBy(buckets, "rid").option("path", f"{stage.root}/texts").saveAsTable(name)
     dealt = spark.table(name)
     # the catalogue is not needed once the files and their buckets are known; the
     # files go with the stage
     spark.sql(f"DROP TABLE {name}")
-    ranked = dealt.select("rid", "doc_id", "text").mapInArrow(_deal_anchors(buckets, length, gram), _ANCHORED).groupBy("bucket").applyInArrow(_rank(buckets), _SETTLED)
-    found = stage.write(ranked.groupBy("home").applyInArrow(_by_row, _BY_ROW))
-    opened = dealt.join(found.where("octet_length(open) > 0").select("rid", "open"), "rid")
-    windows = opened.select("rid", "doc_id", "text", "open").mapInArrow(_deal_windows(buckets, length, gram), _WINDOWED).groupBy("bucket").applyInArrow(_rank_windows(buckets), _SETTLED)
+
+    def ranked(frame: DataFrame, *round_: int) -> DataFrame:
+        pairs = frame.mapInArrow(_deal_anchors(buckets, length, *round_), _ANCHORED).groupBy("bucket").applyInArrow(_rank(buckets), _SETTLED)
+        return stage.write(pairs.groupBy("home").applyInArrow(_by_row, _BY_ROW))
+
+    def opened(found: DataFrame) -> DataFrame:
+        return dealt.join(found.where("octet_length(open) > 0").select("rid", "open"), "rid").select("rid", "doc_id", "text", "open")
+
+    found = ranked(dealt.select("rid", "doc_id", "text"), gram)
+    told, grams = found.where("octet_length(done) > 0").select("rid", "done"), {"done": gram}
+    left = found.agg(F.sum(F.octet_length("open"))).first()[0] or 0  # four bytes an anchor
+    every = (dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 2 // (length - gram + 2)
+    if left // 4 * sparse > every:
+        found = ranked(opened(found), second, gram)
+        told = told.join(found.where("octet_length(done) > 0").select("rid", F.col("done").alias("again")), "rid", "full")
+        grams["again"] = gram = second
+    windows = opened(found).mapInArrow(_deal_windows(buckets, length, gram), _WINDOWED).groupBy("bucket").applyInArrow(_rank_windows(buckets), _SETTLED)
     starts = stage.write(windows.groupBy("home").applyInArrow(_by_row, _BY_ROW).select("rid", F.col("done").alias("starts")))
-    told = found.where("octet_length(done) > 0").select("rid", "done").join(starts, "rid", "full")
-    joined = dealt.join(told, "rid", "left").select("doc_id", "carried", "text", "done", "starts")
+    told = told.join(starts, "rid", "full")
+    joined = dealt.join(told, "rid", "left").select("doc_id", "carried", "text", *grams, "starts")
     spans = "array<struct<start:bigint,end:bigint>>"
     schema = f"doc_id long, carried {frame.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, spans {spans}, kept binary, cleaned string"
-    out = joined.mapInArrow(_cut(length, gram, decode, ["doc_id", "carried", "n_bytes", "n_removed", "spans", "kept", "cleaned"]), schema)
+    out = joined.mapInArrow(_cut(length, grams, decode, ["doc_id", "carried", "n_bytes", "n_removed", "spans", "kept", "cleaned"]), schema)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     unknown = frame.where("doc_id is null").select("doc_id", "carried", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(spans).alias("spans"), F.coalesce("text", F.lit("")).cast("binary").alias("kept"), F.lit(None).cast("string").alias("cleaned"))
     return out.unionByName(unknown).drop("kept" if decode else "cleaned")
 
 
-def covered_by_doubling(docs: DataFrame, length: int = LENGTH, first: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def covered_by_doubling(docs: DataFrame, length: int = LENGTH, first: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start) of the windows that a smaller document has, by prefix
     doubling over every position: a row a position, ranked by its first bytes,
     then by pairs of ranks at offsets that double up to `length`.

@@ -141,6 +141,24 @@ def blobs(column) -> list:
     return [memoryview(b"") if v.as_buffer() is None else v.as_buffer() for v in column]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as fit, by planes of bytes, which
+    compress; the number of planes last.  Those below zero take eight."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = 8
+    while used > 1 and not planes[used - 1].any():
+        used -= 1
+    return planes[:used].tobytes() + bytes([used])
+
+
+def numbers(blob) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8)
+    used = int(raw[-1])
+    planes = np.zeros((8, (len(raw) - 1) // used), np.uint8)
+    planes[:used] = raw[:-1].reshape(used, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
 def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True, none across a row's border."""
     if not len(mask):

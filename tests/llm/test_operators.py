@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.llm import decontaminate, fingerprint, jaccard, language, lm_score, packing, quality, registry, sample, suffix_dedup, texts, tokens, toxicity
+from lodegraph.llm import decontaminate, fingerprint, jaccard, language, lm_score, packing, quality, registry, sample, shared, suffix_dedup, texts, tokens, toxicity
 
 from . import brute
 
@@ -275,6 +276,44 @@ def test_windows_settled_in_their_task(spark):
     assert not [t.name for t in spark.catalog.listTables() if "lodegraph" in t.name]
 
 
+def test_suffix_second_round(spark, small):
+    """Texts of few words, whose 24 bytes meet by chance: a second round comes, and bytes are those of brute force."""
+    rng = random.Random(8)
+    words = ["the", "and", "a", "of", "tion"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = text(60)
+    rows = [(k, text(rng.randint(0, 300)) + (passage[rng.randint(0, 40) :] + text(9) if k % 3 else "é")) for k in range(120)] + [(7, passage), (7, passage), (-5, passage + "ñ"), (2**62, text(200))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    masks = brute.removed(*zip(*rows))
+    want = sorted((d, brute.kept(t, m)) for (d, t), m in zip(rows, masks))
+    for sparse in (0, 16, 1 << 40):  # never, as it comes, always
+        assert sorted((r["doc_id"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(frame, sparse=sparse).collect()) == want
+
+
+def test_suffix_shuffle_stays_small():
+    """A table's many buckets don't make an anchor larger, and strings that meet by chance are few."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["tion", "er", "the", "on", "an", "re", "in", "ea"]) for _ in range(rng.randint(1, 3))) for _ in range(500)]
+    rows = [" ".join(rng.choice(words) for _ in range(600)) for _ in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(700) % 7 << 33 | np.arange(700)), pa.array(np.arange(700)), pa.array(rows)], names=["rid", "doc_id", "text"])
+    sent = list(suffix_dedup._deal_anchors(600, 50, suffix_dedup.GRAM)(iter([batch])))
+    size = sum(len(pa.compress(b"".join(b.column(k)[0].as_py() for k in range(1, b.num_columns)), "lz4_raw", asbytes=True)) for b in sent)
+    assert size < sum(map(len, rows))
+
+
+def test_shuffles_are_freed(spark):
+    """What a stage shuffled leaves the disk when its table is written."""
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = files()
+    table = shared.Stage(spark, "test").write(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert table.count() == 7
+
+
 def test_lm_base_and_score(spark, small, sf):
     got = lm_score.op2_context_tree(spark, sf).toPandas().set_index("doc_id").loc[small.doc_id]
     aside = [brute.held_out(d, 5, 1) for d in small.doc_id]
