@@ -47,10 +47,10 @@ def keep_one_of_linked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(docs, carry=("text", "lang", "source", "n_chars"), decode=True)
+    found = suffix_dedup.remove_repeats(docs, carry=("lang", "source", "n_chars"), decode=True)
     left = found.where("n_removed < n_bytes or n_bytes = 0")
     count = F.length("cleaned").cast(left.schema["carried"].dataType["n_chars"].dataType)
-    return left.select("doc_id", F.coalesce("cleaned", "carried.text").alias("text"), "carried.lang", "carried.source", F.coalesce(count, "carried.n_chars").alias("n_chars"))
+    return left.select("doc_id", F.col("cleaned").alias("text"), "carried.lang", "carried.source", F.when(F.col("n_removed") > 0, count).otherwise(F.col("carried.n_chars")).alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -373,6 +373,8 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     # a class of very many copies is a hot key; of two written tables joined as
     # they are, adaptive execution splits it
     final = stage.write(least.join(linked, "class", "left").select("class", F.coalesce("component", "first").alias("component_id")))
+    for done in (survivors, met, links):  # a later stage needs their disk
+        stage.drop(done)
     single = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "class")
     joined = rows.where("n > 0").join(final, "class").select("doc_id", "n", "component_id", "class")
     return joined.unionByName(single).withColumnRenamed("n", "n_shingles")

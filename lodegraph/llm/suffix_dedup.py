@@ -47,6 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -401,9 +402,13 @@ def _cut(length: int, grams: dict[str, int], decode: bool, schema_names):
                 spans = [[{"start": int(a - off[r]), "end": int(b - off[r])} for a, b in zip(start[edge[r] : edge[r + 1]], end[edge[r] : edge[r + 1]])] for r in range(len(off) - 1)]
                 rows = [kept[left[r] : left[r + 1]].tobytes() for r in range(len(off) - 1)]
                 size = np.diff(off)
-                cleaned = [k.decode("utf-8", "ignore") if decode and len(k) < n else None for k, n in zip(rows, size.tolist())]
+                cleaned = pa.nulls(len(rows), pa.string())
+                if decode:
+                    lost = np.diff(left) < size
+                    cleaned = pa.array([k.decode("utf-8", "ignore") if x else None for k, x in zip(rows, lost.tolist())], pa.string())
+                    cleaned = pc.if_else(pa.array(lost), cleaned, piece.column("text").cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("carried"), pa.array(size), pa.array(size - np.diff(left)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.nulls(len(rows), pa.binary()) if decode else pa.array(rows, pa.binary()), pa.array(cleaned, pa.string())],
+                    [piece.column("doc_id"), piece.column("carried"), pa.array(size), pa.array(size - np.diff(left)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.nulls(len(rows), pa.binary()) if decode else pa.array(rows, pa.binary()), cleaned],
                     names=schema_names,
                 )
 
@@ -415,8 +420,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, seco
 
     ``spans`` are the maximal runs of removed bytes and ``kept`` the bytes that
     remain, which may begin or end within a character; ``carried`` is a struct
-    of the columns named by `carry`.  With `decode`, ``cleaned`` takes the place
-    of ``kept``: the remaining characters of texts that lost any, else null.
+    of the columns named by `carry`, which needn't have the text.  With `decode`,
+    ``cleaned`` takes the place of ``kept``: the text as it is if it lost nothing,
+    null if it is, else its remaining characters.
     """
     spark = docs.sparkSession
     stage = shared.Stage(spark, "suffix")
@@ -456,7 +462,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, seco
     schema = f"doc_id long, carried {frame.schema['carried'].dataType.simpleString()}, n_bytes long, n_removed long, spans {spans}, kept binary, cleaned string"
     out = joined.mapInArrow(_cut(length, grams, decode, ["doc_id", "carried", "n_bytes", "n_removed", "spans", "kept", "cleaned"]), schema)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    unknown = frame.where("doc_id is null").select("doc_id", "carried", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(spans).alias("spans"), F.coalesce("text", F.lit("")).cast("binary").alias("kept"), F.lit(None).cast("string").alias("cleaned"))
+    unknown = frame.where("doc_id is null").select("doc_id", "carried", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast(spans).alias("spans"), F.coalesce("text", F.lit("")).cast("binary").alias("kept"), F.col("text").alias("cleaned"))
     return out.unionByName(unknown).drop("kept" if decode else "cleaned")
 
 

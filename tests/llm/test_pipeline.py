@@ -1,9 +1,12 @@
 """Each stage of the pipeline against a plain version on its own input."""
 
+import os
+from urllib.parse import urlparse
+
 import corpus_pipeline as pipeline
 import pandas as pd
 import pytest
-from lodegraph.llm import packing, toxicity
+from lodegraph.llm import jaccard, packing, shared, toxicity
 
 from . import brute
 
@@ -116,3 +119,17 @@ def test_repeated_rows_and_ties(spark, small, sf):
     packed = [r for r in out[4] if r["piece"] == 0]
     assert sorted(r["doc_id"] for r in packed) == kept[3]
     assert max(pd.DataFrame([r.asDict() for r in out[4]]).groupby("sequence_id").length.sum()) <= packing.CAPACITY
+
+
+def test_stages_leave_little_on_disk(spark, small):
+    """Texts are staged once for the cutting; of the join only tables of ids are left."""
+    frame = spark.createDataFrame(small)
+    begun = set(os.listdir(root := urlparse(shared.folder(spark)).path))
+    links = jaccard.link_components(frame)
+    assert len(os.listdir(f"{root}/{(set(os.listdir(root)) - begun).pop()}")) <= 4
+    assert links.count() == len(small)
+    begun = set(os.listdir(root))
+    cut = pipeline.cut_repeats(spark, frame, "")
+    made = spark.read.parquet(f"{root}/{(set(os.listdir(root)) - begun).pop()}/texts")
+    assert "text" in made.columns and "text" not in made.schema["carried"].dataType.names
+    assert cut.where("text is null").count() == small.text.isna().sum()
