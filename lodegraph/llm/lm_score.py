@@ -8,9 +8,11 @@ the mix ends at the deepest one that it met.
 
 How it runs: texts are written once, in chunks of a few MB.  A chunk deals its
 distinct byte grams and words to buckets, grams by their two nearest bytes of
-context, three where two are very common.  A bucket then holds all deeper contexts
-of its own, so it is weighted by itself; the shallow depths, at most 2^17 nodes,
-meet on the driver.  A bucket answers each chunk with the code lengths of the grams
+context, three where two are very common, and so on up to six: what a context brings
+to a bucket stays below a few MB of text, however large the table (up to 16 GB of
+text, then a 4,096th of it).  A bucket then holds all deeper contexts of its own, so it
+is weighted by itself, a few contexts at a time; the shallow depths, 2^16 nodes and
+those above very common contexts (at most 4,096 a depth), meet on the driver.  A bucket answers each chunk with the code lengths of the grams
 (the counts of the words) that it asked for, in their order, and a chunk sums
 them up by text.  So no table of the model is held as a whole anywhere, the
 texts are gone through twice whatever the size of the model, and the number of buckets
@@ -42,8 +44,16 @@ EDGE = 0xFF
 CHUNK_BYTES = 4 << 20
 #: Text bytes for each bucket.
 BUCKET_BYTES = 2 << 20
-#: A two-byte context with more than this share of all bytes is dealt by three.
+#: A context is dealt by one byte more if it has more than this share of all bytes,
+#: or more than so many bytes and one in MOST_COMMON.
 COMMON = 1 / 256
+COMMON_BYTES = 4 << 20
+MOST_COMMON = 4096
+#: Contexts of three bytes and more are counted at one place in so many; only how
+#: grams are dealt hangs on that.
+STRIDE = 16
+#: Grams weighted at a time, about.
+PIECE = 250_000
 #: Tasks of a shuffle at most, unless the session asks for more.
 MOST_PARTS = 1 << 16
 LOG2 = np.log(2.0)
@@ -66,7 +76,10 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out[own] = data
     key = out.astype(np.uint64)
     for k in range(1, step):
-        key[k:] |= out[:-k].astype(np.uint64) << np.uint64(8 * (step - k))
+        before = out[:-k].astype(np.uint64)
+        before <<= np.uint64(8 * (step - k))
+        key[k:] |= before
+        del before  # these arrays are a chunk's largest
     return key[body], np.concatenate([[0], np.cumsum(size + 1)])
 
 
@@ -152,25 +165,56 @@ def weigh(keys: np.ndarray, counts: np.ndarray, stop: int = 2):
     return levels, ups, at, bit.ravel()
 
 
-def _own_depth(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Is the gram's two-byte context one of the common ones?"""
-    is_common = np.zeros(1 << 16, bool)
-    is_common[common] = True
-    return is_common[(keys >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)]
+def _context(keys: np.ndarray, depth) -> np.ndarray:
+    return keys >> np.asarray(8 * (DEPTH + 1 - depth)).astype(np.uint64)
+
+
+def _own_depth(keys: np.ndarray, common: dict[int, np.ndarray]) -> np.ndarray:
+    """By how many bytes of context each of the sorted grams is dealt."""
+    change = np.zeros(len(keys) + 1, np.int64)
+    for depth, hot in common.items():  # each within one of the depth before
+        shift = np.uint64(8 * (DEPTH + 1 - depth))
+        np.add.at(change, np.searchsorted(keys, hot << shift), 1)
+        np.add.at(change, np.searchsorted(keys, (hot + np.uint64(1)) << shift), -1)
+    return 2 + np.cumsum(change[:-1])
+
+
+def _pieces(keys: np.ndarray, common: dict[int, np.ndarray]):
+    """Places of sorted grams that are weighted together, no context that they are
+    dealt by in two of them, and its depth."""
+    own = _own_depth(keys, common)
+    for depth in np.unique(own).tolist():
+        at = np.flatnonzero(own == depth)
+        context = _context(keys[at], depth)
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        wanted = np.searchsorted(first, np.arange(0, len(at), PIECE))
+        edge = np.unique(np.append(np.append(first, len(at))[wanted], len(at)))
+        for low, high in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            yield at[low:high], depth
 
 
 class Top:
     """Depths 1 and 0, as arrays over all their possible nodes, and the nodes of
-    depth 2 of the common contexts."""
+    the common contexts by depth."""
 
-    def __init__(self, depth: np.ndarray, nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray, common: np.ndarray):
+    def __init__(self, depth: np.ndarray, nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray, common: dict[int, np.ndarray]):
         self.common = common
         gather = lambda at, x, n: np.bincount(at, weights=x, minlength=n)
-        two, at = np.unique(nodes[depth == 2].astype(np.uint64), return_inverse=True)
-        self.two = Nodes(two, *(gather(at, x[depth == 2], len(two)) for x in (zeros, ones, weighted)))
-        below = np.concatenate([nodes[depth == 1].astype(np.int64), shorten(two).astype(np.int64)])
-        joined = (np.concatenate([x[depth == 1], y]) for x, y in zip((zeros, ones, weighted), (self.two.zeros, self.two.ones, self.two.log_weighted)))
-        self.one = Nodes(np.arange(1 << 16), *(gather(below, x, 1 << 16) for x in joined))
+        none = np.zeros(0)
+        last, self.levels = Nodes(none.astype(np.uint64), none, none, None), {}
+
+        def met(d):
+            """What buckets and the depth below add to the nodes of a depth."""
+            mine = depth == d
+            joined = (np.concatenate([x[mine], y]) for x, y in zip((zeros, ones, weighted), (last.zeros, last.ones, last.log_weighted)))
+            return np.concatenate([nodes[mine].astype(np.uint64), shorten(last.keys)]), joined
+
+        for d in range(DEPTH - 1, 1, -1):
+            below, joined = met(d)
+            keys, at = np.unique(below, return_inverse=True)
+            last = self.levels[d] = Nodes(keys, *(gather(at, x, len(keys)) for x in joined))
+        below, joined = met(1)
+        self.one = Nodes(np.arange(1 << 16), *(gather(below.astype(np.int64), x, 1 << 16) for x in joined))
         at = np.arange(1 << 16) & 0xFF
         self.none = Nodes(np.arange(256), *(gather(at, x, 256) for x in (self.one.zeros, self.one.ones, self.one.log_weighted)))
 
@@ -178,19 +222,15 @@ class Top:
 def code_lengths(keys: np.ndarray, counts: np.ndarray, top: Top) -> np.ndarray:
     """log10 probability of each gram's last byte after the others."""
     out = np.zeros(len(keys))
-    split = _own_depth(keys, top.common)
-    for mine, stop in ((~split, 2), (split, 3)):
-        if not mine.any():
-            continue
+    for mine, stop in _pieces(keys, top.common):
         levels, ups, at, bit = weigh(keys[mine], counts[mine], stop)
         p = levels[0].mixed(at, bit, None)
         for level, up in zip(levels[1:], ups):
             at = up[at]
             p = level.mixed(at, bit, p)
         above = shorten(levels[-1].keys)[at]
-        if stop == 3:
-            at = np.searchsorted(top.two.keys, above)
-            p = top.two.mixed(at, bit, p)
+        for d in range(stop - 1, 1, -1):
+            p = top.levels[d].mixed(np.searchsorted(top.levels[d].keys, above), bit, p)
             above = shorten(above)
         at = above.astype(np.int64)
         p = top.one.mixed(at, bit, p)
@@ -210,20 +250,49 @@ def _places(blob) -> np.ndarray:
     return np.cumsum(_numbers(blob), dtype=np.uint64)
 
 
-def _dealt(kind: int, keys: np.ndarray, buckets: int, common: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def _dealt(kind: int, keys: np.ndarray, buckets: int, common: dict[int, np.ndarray]) -> list[tuple[int, np.ndarray]]:
     """The places of each bucket's keys."""
     spread = keys
     if kind == GRAMS:
-        near = keys >> np.uint64(8 * (DEPTH - 1))
-        spread = texts.mix(np.where(_own_depth(keys, common), keys >> np.uint64(8 * (DEPTH - 2)) | np.uint64(1 << 40), near))
+        depth = _own_depth(keys, common)
+        spread = texts.mix(_context(keys, depth) | depth.astype(np.uint64) << np.uint64(56))
     where = (spread >> np.uint64(33)).astype(np.int64) % buckets
     order = np.argsort(where, kind="stable")
     edge = np.searchsorted(where[order], np.arange(buckets + 1))
     return [(int(b), order[edge[b] : edge[b + 1]]) for b in np.flatnonzero(np.diff(edge))]
 
 
+def _seen(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts, their depth above them, and how many bytes follow each: all of two
+    bytes, of more those that more than a few follow, as a sample has them."""
+    pair = data[1:].astype(np.int64) << 8 | data[:-1]
+    seen = np.bincount(pair, minlength=1) if len(pair) else np.zeros(0, np.int64)
+    at = np.flatnonzero(seen)
+    contexts, counts = [at | 2 << 48], [seen[at]]
+    place = np.arange(DEPTH - 2, len(data), STRIDE)
+    context = data[place].astype(np.int64)
+    for d in range(2, DEPTH):
+        context = context << 8 | data[place - d + 1]
+        if d > 2:
+            found, n = np.unique(context, return_counts=True)
+            many = n * STRIDE * 2 * MOST_COMMON > len(data)
+            contexts.append(found[many] | d << 48)
+            counts.append(n[many] * STRIDE)
+    return np.concatenate(contexts), np.concatenate(counts)
+
+
+def _common(rows: list) -> dict[int, np.ndarray]:
+    """The contexts by depth, each within one of the depth before."""
+    found = np.array(sorted(rows), np.int64)
+    common = {}
+    for d in range(2, DEPTH):
+        mine = (found[found >> 48 == d] & ((1 << 48) - 1)).astype(np.uint64)
+        common[d] = mine if d == 2 else mine[np.isin(mine >> np.uint64(8), common[d - 1])]
+    return common
+
+
 def _chunks(schema: T.StructType, limit: int):
-    """Rows of one chunk of texts each, with the counts of two-byte contexts."""
+    """Rows of one chunk of texts each, with the counts of its contexts."""
 
     def pack(held, number) -> pa.RecordBatch:
         from pyspark import TaskContext
@@ -231,9 +300,7 @@ def _chunks(schema: T.StructType, limit: int):
         train = np.concatenate([h[1] for h in held])
         data = np.concatenate([h[2] for h in held])
         off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[3]) for h in held]))])
-        pair = data[1:].astype(np.int64) << 8 | data[:-1]
-        seen = np.bincount(pair, minlength=1) if len(pair) else np.zeros(0, np.int64)
-        at = np.flatnonzero(seen)
+        contexts, counts = _seen(data)
         ids = pa.concat_arrays([h[0] for h in held])
         columns = [
             pa.array([TaskContext.get().partitionId() << 32 | number]),
@@ -241,8 +308,7 @@ def _chunks(schema: T.StructType, limit: int):
             *(pa.array([x.tobytes()], pa.binary()) for x in (train, data, off)),
             pa.array([int(train.sum())]),
             pa.array([len(data)]),
-            pa.array([at.tolist()], pa.list_(pa.int32())),
-            pa.array([seen[at].tolist()], pa.list_(pa.int64())),
+            *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64())) for x in (contexts, counts)),
         ]
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -270,7 +336,7 @@ def _unpacked(batch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return train, data, off
 
 
-def _ask(buckets: int, common: np.ndarray):
+def _ask(buckets: int, common: dict[int, np.ndarray]):
     """A chunk's distinct grams and words, with their counts in training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +348,11 @@ def _ask(buckets: int, common: np.ndarray):
                     keys, first = _keys(kind, data, off)
                     learn = np.repeat(train, np.diff(first))
                     if kind == GRAMS:  # one sort, with training as the lowest bit
-                        keys = np.sort(keys << np.uint64(1) | learn)
-                        learn, keys = (keys & np.uint64(1)).astype(bool), keys >> np.uint64(1)
+                        keys <<= np.uint64(1)
+                        keys |= learn
+                        keys.sort()
+                        learn = keys.astype(np.uint8) & 1
+                        keys >>= np.uint64(1)
                     else:
                         order = np.argsort(keys, kind="stable")
                         keys, learn = keys[order], learn[order]
@@ -329,20 +398,19 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([x], k) for x, k in zip(row, kinds)], names=["kind", "bucket", "keys", "counts", "chunks", "sizes", "places", "seen", "total"])
 
 
-def _tops(common: np.ndarray):
+def _tops(common: dict[int, np.ndarray]):
     """What a bucket adds to the shallow nodes above its contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, c in zip(texts.blobs(batch.column("keys")), texts.blobs(batch.column("counts"))):
                 keys, counts = _places(k), _numbers(c)
-                split = _own_depth(keys, common)
-                for mine, stop in ((~split, 2), (split, 3)):
-                    if mine.any():
-                        last = weigh(keys[mine], counts[mine], stop)[0][-1]
-                        nodes, up = np.unique(shorten(last.keys), return_inverse=True)
-                        sums = [np.bincount(up, weights=x, minlength=len(nodes)) for x in (last.zeros, last.ones, last.log_weighted)]
-                        yield pa.RecordBatch.from_arrays([pa.array([stop - 1] * len(nodes), pa.int32()), pa.array(nodes.astype(np.int32)), *map(pa.array, sums)], names=["depth", "node", "zeros", "ones", "weighted"])
+                for mine, stop in _pieces(keys, common):
+                    last = weigh(keys[mine], counts[mine], stop)[0][-1]
+                    nodes, up = np.unique(shorten(last.keys), return_inverse=True)
+                    sums = [np.bincount(up, weights=x, minlength=len(nodes)) for x in (last.zeros, last.ones, last.log_weighted)]
+                    yield pa.RecordBatch.from_arrays([pa.array([stop - 1] * len(nodes), pa.int32()), pa.array(nodes.astype(np.int64)), *map(pa.array, sums)], names=["depth", "node", "zeros", "ones", "weighted"])
+                texts.release()
 
     return run
 
@@ -383,18 +451,20 @@ def score(docs: DataFrame, held_out: int | None = 1, modulus: int = 5, doc_id: s
     id_type = frame.schema["doc_id"].dataType
     longs = lambda *names: [T.StructField(k, T.LongType()) for k in names]
     blobs = [T.StructField(k, T.BinaryType()) for k in ("train", "data", "off")]
-    chunked = T.StructType([*longs("chunk"), T.StructField("doc_ids", T.ArrayType(id_type)), *blobs, *longs("ends", "bytes"), T.StructField("pairs", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))])
-    chunks = stage.write(frame.mapInArrow(_chunks(chunked, chunk_bytes), chunked))
+    chunked = T.StructType([*longs("chunk"), T.StructField("doc_ids", T.ArrayType(id_type)), *blobs, *longs("ends", "bytes"), T.StructField("contexts", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    # Spark reads a file's rows by the thousand, and these are of some MB each
+    chunks = stage.write(frame.mapInArrow(_chunks(chunked, chunk_bytes), chunked), rows=2)
     ends, size = (int(x or 0) for x in chunks.agg(F.sum("ends"), F.sum("bytes")).first())
-    pairs = chunks.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).groupBy("p.pairs").agg(F.sum("p.counts").alias("n"))
-    common = np.array(sorted(r[0] for r in pairs.where(F.col("n") > size * common_share).select("pairs").collect()), np.int64)  # at most 1 / common_share
+    contexts = chunks.select(F.explode(F.arrays_zip("contexts", "counts")).alias("p")).groupBy("p.contexts").agg(F.sum("p.counts").alias("n"))
+    much = min(size * common_share, max(COMMON_BYTES, size / MOST_COMMON))
+    common = _common([r[0] for r in contexts.where(F.col("n") > much).select("contexts").collect()])
     buckets = max(shared.partitions(spark), min(1 << 20, size // bucket_bytes))
     parts = min(buckets, max(shared.partitions(spark), MOST_PARTS))  # tasks, too, grow in number with the input
     texts_ = chunks.select("chunk", "doc_ids", "train", "data", "off")
     asked = texts_.drop("doc_ids").mapInArrow(_ask(buckets, common), _ASKED)
     gathered = stage.write(asked.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_gather, _GATHERED))
     seen, total = (int(x or 0) for x in gathered.where(F.col("kind") == WORDS).agg(F.sum("seen"), F.sum("total")).first())
-    tops = gathered.where(F.col("kind") == GRAMS).select("keys", "counts").mapInArrow(_tops(common), "depth int, node int, zeros double, ones double, weighted double")
+    tops = gathered.where(F.col("kind") == GRAMS).select("keys", "counts").mapInArrow(_tops(common), "depth int, node long, zeros double, ones double, weighted double")
     tops = tops.groupBy("depth", "node").agg(*(F.sum(k).alias(k) for k in ("zeros", "ones", "weighted"))).toPandas()
     top = shared.ship(spark, Top(*(tops[k].to_numpy() for k in ("depth", "node", "zeros", "ones", "weighted")), common))
     answers = gathered.drop("seen", "total").mapInArrow(_answer(top), "chunk long, kind int, bucket int, value binary")
@@ -404,13 +474,20 @@ def score(docs: DataFrame, held_out: int | None = 1, modulus: int = 5, doc_id: s
     return dealt[0].cogroup(dealt[1]).applyInArrow(_sums(facts, buckets, common, scored.names), scored)
 
 
-def _sums(facts: dict, buckets: int, common: np.ndarray, names: list[str]):
+def _sums(facts: dict, buckets: int, common: dict[int, np.ndarray], names: list[str]):
     """A chunk's texts with the sums over its answers."""
     tokens, kinds, ends = facts["tokens"], facts["vocabulary"], facts["ends"]
     cost = lambda c: np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))
 
     def values(kind: int, keys: np.ndarray, answers: dict) -> np.ndarray:
-        known, at = np.unique(keys, return_inverse=True)
+        order = np.argsort(keys)
+        ranked = keys[order]
+        opens = np.append(True, ranked[1:] != ranked[:-1]) if len(keys) else np.zeros(0, bool)
+        known = ranked[opens]
+        del ranked
+        at = np.empty(len(keys), np.int32)
+        at[order] = np.cumsum(opens, dtype=np.int32) - 1
+        del order, opens
         value = np.zeros(len(known), np.float32 if kind == GRAMS else np.int64)
         for bucket, places in _dealt(kind, known, buckets, common):
             blob = answers[kind, bucket]
@@ -423,7 +500,8 @@ def _sums(facts: dict, buckets: int, common: np.ndarray, names: list[str]):
         answers = {(k, b): v for k, b, v in zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), texts.blobs(right.column("value")))}
         rows = len(off) - 1
         got, first = grams(data, off)
-        total = np.add.reduceat(values(GRAMS, got, answers), first[:-1], dtype=np.float64)
+        got = values(GRAMS, got, answers)
+        total = np.add.reduceat(got, first[:-1], dtype=np.float64)
         del got
         h, begin = words(data, off)
         count = values(WORDS, h, answers)

@@ -29,12 +29,12 @@ class Stage:
         self.count = 0
         weakref.finalize(spark, _remove, spark, self.root).atexit = True
 
-    def write(self, frame: DataFrame, *sort: str) -> DataFrame:
-        """Write as Parquet (zstd) and read again."""
+    def write(self, frame: DataFrame, *sort: str, rows: int = 0) -> DataFrame:
+        """Write as Parquet (zstd), so many rows a file if given, and read again."""
         self.count += 1
         path = f"{self.root}/{self.count}"
         with shuffles_freed(self.spark):
-            frame.write.option("compression", "zstd").parquet(path)
+            frame.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
         back = self.spark.read.schema(frame.schema).parquet(path)
         back._lodegraph_path = path
         return back

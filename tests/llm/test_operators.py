@@ -339,6 +339,21 @@ def test_lm_in_small_chunks_and_split_contexts(spark, sf):
     assert np.allclose(whole.score, parts.score) and np.allclose(whole.base_score, parts.base_score) and (whole.n_known == parts.n_known).all()
 
 
+def test_lm_buckets_stay_small(spark, monkeypatch):
+    """A bucket's share of the grams does not follow that of a common context of three bytes."""
+    rng, made = random.Random(5), []
+    rows = [(k, "".join("the" + "".join(rng.choices("abcdefghijklmnop", k=3)) for _ in range(400))) for k in range(100)]
+    docs, write = spark.createDataFrame(rows, "doc_id long, text string"), shared.Stage.write
+    monkeypatch.setattr(shared.Stage, "write", lambda self, frame, **more: made.append(write(self, frame, **more)) or made[-1])
+    got = lm_score.score(docs, chunk_bytes=20_000, bucket_bytes=2_000, common_share=0.004).toPandas().sort_values("doc_id", ignore_index=True)
+    most, every = made[-1].where("kind = 0").agg(F.max("total"), F.sum("total")).first()
+    assert most < 0.08 * every  # a sixth of the bytes follow "the"
+    files = made[0].groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first()
+    assert files[0] <= 2 and files[1] > 8  # rows of a file are read at once
+    whole = lm_score.score(docs, common_share=1.0).toPandas().sort_values("doc_id", ignore_index=True)
+    assert np.allclose(whole.score, got.score)
+
+
 def test_lm_packs_numbers():
     rng = np.random.default_rng(2)
     for values in (np.zeros(3, np.uint64), np.array([2**63, 5], np.uint64), rng.integers(0, 2**20, 1000).astype(np.uint64)):
